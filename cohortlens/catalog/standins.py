@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.times import to_kst
 from cohortlens.operators.running import running_totals
-from cohortlens.operators.skew import skew_join
+from cohortlens.operators.skew import hot_keys, skew_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,7 +116,14 @@ def recommendation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = who.select(F.col("id").alias("user2_id"), F.col("gender").alias("user2_gender"))
     log = event_log(spark, sf_dir)
     one = skew_join(log, first, ["user1_id"], ["event_id"], "left")
-    return skew_join(one, second, ["user2_id"], ["event_id"], "left")
+    hot = hot_keys(log, ["user2_id"], ["event_id"])
+    return skew_join(one, second, ["user2_id"], ["event_id"], "left", hot)
+
+
+def hot_viewers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hot first users of the log, found in the raw events."""
+    events = table(spark, sf_dir, "events")
+    return hot_keys(events, ["user_id"], ["event_id"])
 
 
 FULL_LOG_SQL = """full_log AS (
@@ -317,24 +324,42 @@ channels AS (SELECT c_custkey AS id, c_name AS name, date_ymd_snapshot FROM cust
 places AS (SELECT s_suppkey AS id, s_name AS title, date_ymd_snapshot FROM supplier, snapshot_days)"""
 
 
+def _user_hash() -> Column:
+    return F.concat(F.lit("u"), F.col("user_id").cast("string"))
+
+
+def _user_group() -> Column:
+    return F.when(F.col("user_id") % 2 == 0, "A").otherwise("B")
+
+
+def hot_spenders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hot (group, user) keys of the usage log, found in the raw events."""
+    events = table(spark, sf_dir, "events").select(
+        _user_group().alias("user_group"), _user_hash().alias("ci_hash"), "event_id"
+    )
+    return hot_keys(events, ["user_group", "ci_hash"], ["event_id"])
+
+
 def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered actions per user with purchases, spend, use type and description."""
     kind, value = F.col("event_type"), F.col("value")
     paid = (kind == "purchase") & (value >= 100)
+    events = table(spark, sf_dir, "events")
     numbered = running_totals(
-        table(spark, sf_dir, "events"),
+        events,
         ["user_id"],
         [F.asc("ts"), F.asc("event_id")],
         F.unix_date(F.to_date("ts")) * 24 + F.hour("ts"),
         {"action_num": F.lit(1), "purchases": F.when(paid, 1).otherwise(0)},
     )
     who = people(spark, sf_dir).select(F.col("id").alias("user_id"), "relative_score", "c_mktsegment")
-    joined = skew_join(numbered, who, ["user_id"], ["event_id"], "left")
+    hot = hot_keys(events, ["user_id"], ["event_id"])
+    joined = skew_join(numbered, who, ["user_id"], ["event_id"], "left", hot)
     return joined.select(
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("ci_hash"),
+        _user_hash().alias("ci_hash"),
         F.when(F.col("c_mktsegment") == "HOUSEHOLD", 1).otherwise(0).alias("get_referral_reward"),
         "relative_score",
-        F.when(F.col("user_id") % 2 == 0, "A").otherwise("B").alias("user_group"),
+        _user_group().alias("user_group"),
         F.when(paid, F.col("purchases").cast("double")).alias("purchase_num"),
         "action_num",
         F.when(value < 1, None).when(kind == "purchase", value).otherwise(-value).alias("quantity"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.times import full_hours
 from cohortlens.operators.matching import both_roles
-from cohortlens.operators.skew import HOT_ROWS, PROBE, skew_join
+from cohortlens.operators.skew import skew_join
 
 # Windows in hours since first approval, and the recommendation
 # types and channel whose profile opens do not count.
@@ -37,8 +37,7 @@ def two_sided_funnel(
     late: tuple[int, int] = LATE_WINDOW,
     special_types: list[int] = SPECIAL_TYPES,
     excluded_channel: int = EXCLUDED_CHANNEL,
-    hot_rows: int = HOT_ROWS,
-    probe: int = PROBE,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct counterparts per stage for cohort users, as receiver and as candidate.
 
@@ -58,8 +57,7 @@ def two_sided_funnel(
         ["user_id"],
         ["role", "other_id", "registered_time"],
         "inner",
-        hot_rows,
-        probe,
+        hot,
     )
 
     def since(stage: str) -> Column:

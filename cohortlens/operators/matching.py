@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators.skew import HOT_ROWS, PROBE, skew_join
+from cohortlens.operators.skew import skew_join
 
 
 def existence_flag(df: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
@@ -24,12 +24,11 @@ def without_keys(
     keys: DataFrame,
     key: str,
     spread: Sequence[str],
-    hot_rows: int = HOT_ROWS,
-    probe: int = PROBE,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Rows whose key does not occur in ``keys``; a NULL key occurs nowhere and stays."""
     known = keys.select(key).distinct().withColumn("_known", F.lit(True))
-    joined = skew_join(rows, known, [key], spread, "left", hot_rows, probe)
+    joined = skew_join(rows, known, [key], spread, "left", hot)
     return joined.filter(F.col("_known").isNull()).drop("_known")
 
 
@@ -39,8 +38,7 @@ def left_with_residual(
     keys: Sequence[str],
     residual: Column,
     spread: Sequence[str],
-    hot_rows: int = HOT_ROWS,
-    probe: int = PROBE,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Left join on ``keys`` and ``residual``, where ``per_key`` has one row per key.
 
@@ -49,7 +47,7 @@ def left_with_residual(
     partitioning it already has, and hot keys can be cut up.
     """
     added = [c for c in per_key.columns if c not in keys]
-    joined = skew_join(rows, per_key, keys, spread, "left", hot_rows, probe)
+    joined = skew_join(rows, per_key, keys, spread, "left", hot)
     return joined.withColumn("_met", residual).select(
         *rows.columns, *[F.when(F.col("_met"), F.col(c)).alias(c) for c in added]
     )
@@ -68,6 +66,7 @@ def merge_renamed(
     suffix: str,
     spread: Sequence[str],
     how: str = "left",
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join a column subset of ``right``; only names that ``left`` has too get ``suffix``.
 
@@ -76,7 +75,7 @@ def merge_renamed(
     picked = right.select(
         key, *[F.col(c).alias(c + suffix if c in left.columns else c) for c in columns]
     )
-    return skew_join(left, picked, [key], spread, how)
+    return skew_join(left, picked, [key], spread, how, hot)
 
 
 def both_roles(df: DataFrame, first: str, second: str, columns: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators.skew import HOT_ROWS, PROBE, skew_join
+from cohortlens.operators.skew import skew_join
 
 # The use type that was renamed, and its new name.
 RENAMED_USE_TYPE = ("타임어택", "친구 신청")
@@ -31,14 +31,14 @@ def label_periods(
     user: str,
     steps: tuple[int, int] = (10, 20),
     every: bool = False,
-    hot_rows: int = HOT_ROWS,
-    probe: int = PROBE,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Usage rows (quantity <= 0) with ``period`` and a positive ``quantity``.
 
     ``pre`` before the first purchase, ``post_10``/``post_20`` (named by ``steps``)
     for the actions after it, ``non`` for users who never purchased. The purchase
     itself, later actions and rows without a user have no period and are left out.
+    ``hot`` are the hot (group, user) keys, see ``skew_join``.
     """
     near, far = steps
     keys = [group, user]
@@ -50,8 +50,7 @@ def label_periods(
         keys,
         ["action_num", "quantity"],
         "left",
-        hot_rows,
-        probe,
+        hot,
     )
     action, start = F.col("action_num"), F.col("first_action")
     period = (

@@ -7,52 +7,68 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 1024
+STEPS = 4096
+_LOWEST_EXPONENT = -1075
+
+
+def value_counts(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(``keys``, ``_x``, ``_n``): how often each non-NULL value occurs in each group."""
+    return (
+        rows.filter(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).cast("double").alias("_x"))
+        .agg(F.count("*").alias("_n"))
+    )
+
+
+def magnitude_slice(x: Column) -> Column:
+    """Slice number that never decreases as ``x`` grows, ``STEPS`` slices per power of two.
+
+    It needs no knowledge of the value range, and a few huge values do not push all
+    others into one slice. Whole numbers up to ``STEPS`` have a slice each.
+    """
+    size = F.abs(x)
+    exponent = F.floor(F.log2(size))
+    step = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * STEPS)
+    number = (exponent - _LOWEST_EXPONENT) * STEPS + step
+    return F.when(x == 0, 0).when(x > 0, number).otherwise(-number).cast("bigint")
 
 
 def exact_quantiles(
-    rows: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    slices: int = SLICES,
+    rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]
 ) -> DataFrame:
     """Linearly interpolated quantiles per group: ``keys``, ``n`` and one ``q_i`` per prob.
 
-    The built-in percentile gathers all values of a group in one buffer. Here equal
-    values are counted first; each group's range is cut into ``slices`` equal slices
-    and the slice totals tell which few slices hold the wanted ranks; only the
-    distinct values of those slices are ranked, each slice on its own.
+    ``keys`` must name a small fixed set of groups, such as bins or column names.
+    NULL values are ignored; a group with none but NULLs has no row.
+    """
+    return quantiles_of_counts(value_counts(rows, keys, value), keys, probs)
+
+
+def quantiles_of_counts(
+    counts: DataFrame, keys: Sequence[str], probs: Sequence[float]
+) -> DataFrame:
+    """Quantiles from the output of ``value_counts``.
 
-    ``keys`` must name a small fixed set of groups (bins, column names): tables of
-    one row per group and of the wanted slices per group are broadcast. NULL values
-    are ignored; a group with none but NULLs has no row.
+    The built-in percentile gathers all values of a group in one buffer. Here the
+    totals of value slices tell which slices hold the wanted ranks (at most two per
+    quantile and group, hence the broadcast), and only the distinct values of those
+    slices are ranked, each slice on its own.
     """
     keys = list(keys)
-    x = F.col(value).cast("double")
-    counts = (
-        rows.filter(F.col(value).isNotNull())
-        .groupBy(*keys, x.alias("_x"))
-        .agg(F.count("*").alias("_n"))
-    )
-    spans = counts.groupBy(*keys).agg(
-        F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_n").alias("n")
-    )
-    share = (F.col("_x") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    placed = counts.join(F.broadcast(spans), keys).withColumn(
-        "_slice",
-        F.least(F.coalesce(F.floor(share * slices), F.lit(0)), F.lit(slices - 1)),
-    )
+    placed = counts.withColumn("_slice", magnitude_slice(F.col("_x")))
 
-    per_key = Window.partitionBy(*keys).orderBy("_slice")
+    whole = Window.partitionBy(*keys)
+    so_far = whole.orderBy("_slice")
     wanted = (
         placed.groupBy(*keys, "_slice")
-        .agg(F.sum("_n").alias("_n"), F.first("n").alias("n"))
-        .withColumn("_end", F.sum("_n").over(per_key))
-        .withColumn("_before", F.col("_end") - F.col("_n"))
+        .agg(F.sum("_n").alias("_total"))
+        .withColumns(
+            {"n": F.sum("_total").over(whole), "_end": F.sum("_total").over(so_far)}
+        )
+        .withColumn("_before", F.col("_end") - F.col("_total"))
         .withColumn("_ranks", _ranks_within(probs, F.col("_before"), F.col("_end")))
         .filter(F.size("_ranks") > 0)
-        .select(*keys, "_slice", "_before", "_ranks")
+        .select(*keys, "_slice", "n", "_before", "_ranks")
     )
 
     in_slice = Window.partitionBy(*keys, "_slice").orderBy("_x")
@@ -74,17 +90,7 @@ def exact_quantiles(
     return (
         ranked.groupBy(*keys, "n")
         .agg(*found)
-        .select(
-            *keys,
-            "n",
-            *[
-                (
-                    F.col(f"_a{i}")
-                    + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (_position(p) - F.floor(_position(p)))
-                ).alias(f"q_{i}")
-                for i, p in enumerate(probs)
-            ],
-        )
+        .select(*keys, "n", *[_between(i, p).alias(f"q_{i}") for i, p in enumerate(probs)])
     )
 
 
@@ -93,6 +99,11 @@ def _position(p: float) -> Column:
     return (F.col("n") - 1) * F.lit(float(p))
 
 
+def _between(i: int, p: float) -> Column:
+    low, high = F.col(f"_a{i}"), F.col(f"_b{i}")
+    return low + (high - low) * (_position(p) - F.floor(_position(p)))
+
+
 def _ranks_within(probs: Sequence[float], start: Column, end: Column) -> Column:
     ranks = []
     for p in probs:
@@ -100,19 +111,30 @@ def _ranks_within(probs: Sequence[float], start: Column, end: Column) -> Column:
     return F.filter(F.array_distinct(F.array(*ranks)), lambda r: (r >= start) & (r < end))
 
 
+def _fences(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Quartiles and the 1.5 IQR fences per group."""
+    iqr = F.col("q3") - F.col("q1")
+    return (
+        quantiles_of_counts(counts, keys, (0.25, 0.5, 0.75))
+        .withColumnsRenamed({"q_0": "q1", "q_1": "median", "q_2": "q3"})
+        .withColumns({"_fence_lo": F.col("q1") - iqr * 1.5, "_fence_hi": F.col("q3") + iqr * 1.5})
+    )
+
+
 def box_stats(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Quartiles, whisker ends within 1.5 IQR, and the number of points beyond them."""
-    quartiles = quartile_fences(rows, keys, value)
-    x = F.col(value).cast("double")
-    inside = x.between(F.col("_fence_lo"), F.col("_fence_hi"))
+    """Quartiles, whisker ends within 1.5 IQR, and the number of points beyond them.
+
+    Everything comes from the value counts, so the rows are read once.
+    """
+    counts = value_counts(rows, keys, value)
+    inside = F.col("_x").between(F.col("_fence_lo"), F.col("_fence_hi"))
     return (
-        rows.filter(F.col(value).isNotNull())
-        .join(F.broadcast(quartiles), list(keys))
+        counts.join(F.broadcast(_fences(counts, keys)), list(keys))
         .groupBy(*keys, "n", "q1", "median", "q3")
         .agg(
-            F.min(F.when(inside, x)).alias("_w_lo"),
-            F.max(F.when(inside, x)).alias("_w_hi"),
-            F.count(F.when(~inside, 1)).alias("n_outliers"),
+            F.min(F.when(inside, F.col("_x"))).alias("_w_lo"),
+            F.max(F.when(inside, F.col("_x"))).alias("_w_hi"),
+            F.sum(F.when(inside, 0).otherwise(F.col("_n"))).alias("n_outliers"),
         )
         .select(
             *keys,
@@ -129,20 +151,10 @@ def box_stats(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def box_outliers(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """The rows beyond the whiskers of their group."""
+    fences = _fences(value_counts(rows, keys, value), keys).select(*keys, "_fence_lo", "_fence_hi")
     x = F.col(value).cast("double")
-    fences = quartile_fences(rows, keys, value).select(*keys, "_fence_lo", "_fence_hi")
     return (
         rows.join(F.broadcast(fences), list(keys))
         .filter(~x.between(F.col("_fence_lo"), F.col("_fence_hi")))
         .drop("_fence_lo", "_fence_hi")
     )
-
-
-def quartile_fences(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    iqr = F.col("q3") - F.col("q1")
-    return (
-        exact_quantiles(rows, keys, value, (0.25, 0.5, 0.75))
-        .withColumnsRenamed({"q_0": "q1", "q_1": "median", "q_2": "q3"})
-        .withColumn("_fence_lo", F.col("q1") - iqr * 1.5)
-        .withColumn("_fence_hi", F.col("q3") + iqr * 1.5)
-    )

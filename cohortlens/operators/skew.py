@@ -54,18 +54,19 @@ def skew_join(
     keys: Sequence[str],
     spread: Sequence[str],
     how: str = "inner",
-    hot_rows: int = HOT_ROWS,
-    probe: int = PROBE,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """``rows.join(per_key, keys, how)`` for ``how`` inner or left, with hot keys cut up.
 
-    ``spread`` names columns that tell the rows of one key apart. A small
-    ``per_key`` side is still broadcast by the planner when its size allows.
+    ``spread`` names columns that tell the rows of one key apart. ``hot`` is the
+    output of ``hot_keys``, by default taken from ``rows``; pass it where ``rows`` is
+    itself costly and an upstream table has the same keys. A small ``per_key`` side
+    is still broadcast by the planner when its size allows.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"skew_join supports inner and left joins, not {how!r}")
     keys = list(keys)
-    hot = F.broadcast(hot_keys(rows, keys, spread, hot_rows, probe))
+    hot = F.broadcast(hot_keys(rows, keys, spread) if hot is None else hot)
     same_key = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     found = [f"_hot_{k}" for k in keys] + ["_parts"]

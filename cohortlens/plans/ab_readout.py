@@ -147,23 +147,27 @@ def _per_user(cells: DataFrame, focus_type: int, match_date: bool) -> DataFrame:
     """Cells joined to their pair's state by window, then summed per (user1, hour)."""
     pair = Window.partitionBy("user1_id", "user2_id")
     state = F.col("_in_state") == 1
-
-    def latest(column: str) -> Column:
-        return F.max(F.when(state, F.col(column))).over(pair)
-
-    known = F.col("user1_id").isNotNull() & F.col("user2_id").isNotNull()
+    latest = {
+        f"_last_{c}": F.max(F.when(state, F.col(c))).over(pair)
+        for c in ("hour_kst", "rcmd_type", "_request", "_accept", *(["date_ymd_kst"] * match_date))
+    }
     matched = (
-        known
-        & (F.col("hour_kst") == latest("hour_kst"))
-        & (F.col("rcmd_type") != latest("rcmd_type"))
+        F.col("user1_id").isNotNull()
+        & F.col("user2_id").isNotNull()
+        & (F.col("hour_kst") == F.col("_last_hour_kst"))
+        & (F.col("rcmd_type") != F.col("_last_rcmd_type"))
     )
     if match_date:
-        matched = matched & (F.col("date_ymd_kst") == latest("date_ymd_kst"))
+        matched = matched & (F.col("date_ymd_kst") == F.col("_last_date_ymd_kst"))
     seen = (
-        cells.withColumn("_matched", matched)
-        .withColumn("_requested", F.col("_matched") & latest("_request").isNotNull())
-        .withColumn("_accepted", F.col("_matched") & latest("_accept").isNotNull())
+        cells.withColumns(latest)
         .filter(F.col("_rows") > 0)
+        .withColumns(
+            {
+                "_requested": matched & F.col("_last__request").isNotNull(),
+                "_accepted": matched & F.col("_last__accept").isNotNull(),
+            }
+        )
     )
     focus = F.col("rcmd_type") == focus_type
 

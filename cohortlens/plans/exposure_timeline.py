@@ -9,7 +9,7 @@ from cohortlens.functions.measures import count_when
 from cohortlens.functions.times import full_minutes, in_kst_days, time_bucket
 from cohortlens.operators.firsts import first_per_key
 from cohortlens.operators.running import running_sums
-from cohortlens.operators.skew import HOT_ROWS, PROBE, skew_join
+from cohortlens.operators.skew import hot_keys, skew_join
 from cohortlens.sources.scans import date_partitions
 
 # Cohort days (KST), log days, bucket width, horizon and score bound.
@@ -50,8 +50,7 @@ def exposure_timeline(
     event_time: Column | None = None,
     tagged: Column | None = None,
     max_score: float = MAX_SCORE,
-    hot_rows: int = HOT_ROWS,
-    probe: int = PROBE,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """One row per user and bucket ``0..horizon_min/width_min``, more where dates differ.
 
@@ -59,7 +58,8 @@ def exposure_timeline(
     user and plain counts are distinct counts, also when summed over buckets. Buckets
     run from ``approval_time`` to ``event_time`` (default: the impression); a row
     without that time is in no bucket. Users without rows get the full grid of zeros.
-    ``users`` has one row per id.
+    ``users`` has one row per id. ``hot`` are the hot users, see ``skew_join``; they
+    are looked for in the log itself, before the first-per-pair step.
     """
     event_time = F.col("impression_time") if event_time is None else event_time
     if tagged is None:
@@ -74,21 +74,18 @@ def exposure_timeline(
         "approval_time",
         F.substring(F.col("location").cast("string"), 1, 3).alias("user_location"),
     )
+    shown = (
+        date_partitions(log, *log_days)
+        .filter(F.col("user1_gender") == gender)
+        .withColumnRenamed("user1_id", "user_id")
+    )
     first = first_per_key(
-        date_partitions(log, *log_days).filter(F.col("user1_gender") == gender),
-        ["user1_id", "user2_id"],
-        [F.asc_nulls_last("registered_time")],
+        shown, ["user_id", "user2_id"], [F.asc_nulls_last("registered_time")]
     ).filter(F.col("user1_relative_score") < max_score)
-
-    joined = skew_join(
-        first.withColumnRenamed("user1_id", "user_id"),
-        cohort,
-        ["user_id"],
-        ["user2_id", "registered_time"],
-        "inner",
-        hot_rows,
-        probe,
-    )
+    spread = ["user2_id", "registered_time"]
+    if hot is None:
+        hot = hot_keys(shown, ["user_id"], spread)
+    joined = skew_join(first, cohort, ["user_id"], spread, "inner", hot)
     bucketed = joined.withColumn(
         "min_rc", time_bucket(full_minutes(F.col("approval_time"), event_time), width_min)
     ).filter(F.col("min_rc").between(0, last_bucket))

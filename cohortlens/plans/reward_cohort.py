@@ -12,7 +12,7 @@ from cohortlens.operators.distincts import distinct_by_flags
 from cohortlens.operators.funnel import two_sided_funnel
 from cohortlens.operators.matching import existence_flag
 from cohortlens.operators.retention import daily_screens, retention_flags
-from cohortlens.operators.skew import HOT_ROWS, PROBE, skew_join
+from cohortlens.operators.skew import skew_join
 from cohortlens.sources.scans import date_partitions
 
 # Cohort bounds (KST clock), log days, screens and coupon name patterns.
@@ -90,8 +90,6 @@ def coupon_use_by_pattern(
     code: DataFrame,
     source: DataFrame,
     patterns: Mapping[str, str] = COUPON_PATTERNS,
-    hot_rows: int = HOT_ROWS,
-    probe: int = PROBE,
 ) -> DataFrame:
     """Distinct used coupons per user and name pattern; patterns may overlap.
 
@@ -103,7 +101,7 @@ def coupon_use_by_pattern(
         *[F.col("coupon_name").like(p).alias(f"_is_{n}") for n, p in patterns.items()],
     )
     named = skew_join(
-        used_coupons(code), matched, ["source_id"], ["coupon_id", "user_id"], "left", hot_rows, probe
+        used_coupons(code), matched, ["source_id"], ["coupon_id", "user_id"], "left"
     )
     flags = {n: F.coalesce(F.col(f"_is_{n}"), F.lit(False)) for n in patterns}
     return distinct_by_flags(named, ["user_id"], "coupon_id", flags)
@@ -125,8 +123,6 @@ def reward_cohort(
     patterns: Mapping[str, str] = COUPON_PATTERNS,
     max_score: float = MAX_SCORE,
     gender: int = 1,
-    hot_rows: int = HOT_ROWS,
-    probe: int = PROBE,
 ) -> DataFrame:
     """One row per cohort user: attributes, coupons, retention, two-sided funnel.
 
@@ -141,10 +137,8 @@ def reward_cohort(
     )
     coupons = coupon_issue_redeem(box, coupon_since)
     retention = cohort_retention(cohort, screen_log, log_days, screen)
-    funnel = two_sided_funnel(
-        date_partitions(log, *log_days), cohort, hot_rows=hot_rows, probe=probe
-    )
-    used = coupon_use_by_pattern(code, source, patterns, hot_rows, probe)
+    funnel = two_sided_funnel(date_partitions(log, *log_days), cohort)
+    used = coupon_use_by_pattern(code, source, patterns)
     joined = (
         with_approval_date(cohort)
         .join(people, "user_id")

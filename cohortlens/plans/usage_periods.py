@@ -11,7 +11,6 @@ from cohortlens.functions.bins import score_grade
 from cohortlens.operators.firsts import first_per_key
 from cohortlens.operators.periods import first_purchases, label_periods
 from cohortlens.operators.pivots import pair_label, usage_pivot
-from cohortlens.operators.skew import HOT_ROWS, PROBE
 
 # Groups, grade width and actions counted after the purchase.
 GROUPS = ("A", "B")
@@ -33,16 +32,16 @@ def usage_before_after_purchase(
     groups: Sequence[str] = GROUPS,
     steps: tuple[int, int] = STEPS,
     every_purchase: bool = False,
-    hot_rows: int = HOT_ROWS,
-    probe: int = PROBE,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Long form: (group, user, period, use type, description) with ``freq`` and ``vol``.
 
     All groups and periods come from one labelling and one aggregation. Rows without
-    a description belong to no column and are left out.
+    a description belong to no column and are left out. ``hot`` are the hot
+    (group, user) keys, see ``skew_join``.
     """
     kept = without_referral(log).filter(F.col(group).isin(list(groups)))
-    labelled = label_periods(kept, group, user, steps, every_purchase, hot_rows, probe)
+    labelled = label_periods(kept, group, user, steps, every_purchase, hot)
     return (
         labelled.filter(F.col("description").isNotNull())
         .groupBy(group, user, "period", "use_type", "description")
