@@ -35,13 +35,12 @@ def conditional_counts(spark, sf):
     )
 
 
-def _stage_flags():
-    return {
-        "rcmd_users": F.lit(True),
-        "impression_users": F.col("impression_time").isNotNull(),
-        "response_users": F.col("like_time").isNotNull() | F.col("dislike_time").isNotNull(),
-        "request_users": F.col("friend_request_time").isNotNull(),
-    }
+_STAGE_FLAGS = {
+    "rcmd_users": "true",
+    "impression_users": "impression_time IS NOT NULL",
+    "response_users": "like_time IS NOT NULL OR dislike_time IS NOT NULL",
+    "request_users": "friend_request_time IS NOT NULL",
+}
 
 
 _STAGES_SQL = """
@@ -56,14 +55,14 @@ _STAGES_SQL = """
     s.LOG_SQL, body=f"SELECT user1_id, date_ymd_kst, {_STAGES_SQL} FROM log GROUP BY 1, 2"))
 def conditional_distinct(spark, sf):
     return distinct_by_flags(
-        s.event_log(spark, sf), ["user1_id", "date_ymd_kst"], "user2_id", _stage_flags()
+        s.event_log(spark, sf), ["user1_id", "date_ymd_kst"], "user2_id", _STAGE_FLAGS
     )
 
 
 @query("distinct_by_flags", s.with_inputs(
     s.LOG_SQL, body=f"SELECT user1_id, {_STAGES_SQL} FROM log GROUP BY 1"))
 def distinct_by_flags_query(spark, sf):
-    return distinct_by_flags(s.event_log(spark, sf), ["user1_id"], "user2_id", _stage_flags())
+    return distinct_by_flags(s.event_log(spark, sf), ["user1_id"], "user2_id", _STAGE_FLAGS)
 
 
 @query("ratio_having", s.with_inputs(s.LOG_SQL, body="""

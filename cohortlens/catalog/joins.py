@@ -174,7 +174,7 @@ def fanout_distinct(spark, sf):
         flagged,
         ["gender"],
         "user_id",
-        {"num_users": F.lit(True), "num_rewarded": F.col("_rewarded") == 1},
+        {"num_users": "true", "num_rewarded": "_rewarded = 1"},
     )
 
 

@@ -8,14 +8,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cohortlens.functions.times import to_kst
 from cohortlens.operators.running import running_totals
 from cohortlens.operators.skew import hot_keys, skew_join
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; its footer is read for the schema once, not at every use."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _after(ts: str, interval: str) -> Column:
@@ -26,8 +34,12 @@ def _counterpart() -> Column:
     return F.get_json_object("props", "$.k").cast("bigint")
 
 
-def _kst_text(pattern: str) -> Column:
-    return F.date_format(to_kst(F.col("ts")), pattern)
+def _kst_day() -> Column:
+    return F.to_date(to_kst(F.col("ts"))).cast("string")
+
+
+def _kst_hour() -> Column:
+    return F.lpad(F.hour(to_kst(F.col("ts"))).cast("string"), 2, "0")
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +84,8 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(hour < 6, 3).when(hour < 12, 21).when(hour < 18, 5).otherwise(3).alias("channel_id"),
         props.alias("exp_props"),
         (value * 1000).alias("min_distance"),
-        _kst_text("HH").alias("hour_kst"),
-        _kst_text("yyyy-MM-dd").alias("date_ymd_kst"),
+        _kst_hour().alias("hour_kst"),
+        _kst_day().alias("date_ymd_kst"),
     )
 
 
@@ -188,7 +200,7 @@ def screen_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(value >= 50, "mobile_coupon").otherwise("home"),
             F.when(value < 10, "onboarding_step_mobile_coupon").otherwise("profile"),
         ).alias("navigations"),
-        _kst_text("yyyy-MM-dd").alias("date_ymd_kst"),
+        _kst_day().alias("date_ymd_kst"),
     )
 
 
@@ -286,7 +298,7 @@ def channel_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         _counterpart().alias("channel_id"),
         F.when(kind == "view", 0).when(kind == "click", 1).when(kind == "purchase", 2)
         .when(kind == "signup", 3).otherwise(9).alias("rcmd_type"),
-        _kst_text("yyyy-MM-dd").alias("date_ymd_kst"),
+        _kst_day().alias("date_ymd_kst"),
     )
 
 

@@ -29,20 +29,22 @@ def kst_date(ts: Column) -> Column:
     return F.to_date(to_kst(ts))
 
 
-def _part(unit: str, interval: Column) -> Column:
-    return F.extract(F.lit(unit), interval).cast("bigint")
+def full_hours(start: str, end: str) -> Column:
+    """Complete hours from ``start`` to ``end`` (bigint, negative when reversed).
 
-
-def full_hours(start: Column, end: Column) -> Column:
-    """Complete hours from ``start`` to ``end`` (bigint, negative when reversed)."""
-    gap = end - start
-    return _part("DAY", gap) * 24 + _part("HOUR", gap)
+    Both are column names or SQL expressions of zone-free instants.
+    """
+    gap = f"({end} - {start})"
+    return F.expr(f"extract(DAY FROM {gap}) * 24L + extract(HOUR FROM {gap})")
 
 
-def full_minutes(start: Column, end: Column) -> Column:
+def full_minutes(start: str, end: str) -> Column:
     """Complete minutes from ``start`` to ``end`` (bigint, negative when reversed)."""
-    gap = end - start
-    return _part("DAY", gap) * 1440 + _part("HOUR", gap) * 60 + _part("MINUTE", gap)
+    gap = f"({end} - {start})"
+    return F.expr(
+        f"extract(DAY FROM {gap}) * 1440L + extract(HOUR FROM {gap}) * 60L"
+        f" + extract(MINUTE FROM {gap})"
+    )
 
 
 def day_gap(start: Column, end: Column) -> Column:

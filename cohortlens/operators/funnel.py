@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.times import full_hours
+from cohortlens.operators.distincts import flag_bit, flag_mask
 from cohortlens.operators.matching import both_roles
 from cohortlens.operators.skew import skew_join
 
@@ -17,7 +17,7 @@ LATE_WINDOW = (24 * 8, 24 * 15)
 SPECIAL_TYPES = [4, 50, 80, 101, 102, 103, 105]
 EXCLUDED_CHANNEL = 21
 
-_STAGES = [
+_USED = [
     "registered_time",
     "profile_open_time",
     "impression_time",
@@ -26,9 +26,15 @@ _STAGES = [
     "friend_request_time",
     "other_accepted_time",
     "joined_time",
+    "rcmd_type",
+    "channel_id",
 ]
 
 
+def _elapsed(hours: int) -> Column:
+    return F.expr(f"first_approval_time + INTERVAL '{hours}' HOUR")
+
+
 def two_sided_funnel(
     log: DataFrame,
     cohort: DataFrame,
@@ -43,69 +49,72 @@ def two_sided_funnel(
 
     ``cohort`` is (``user_id``, ``first_approval_time``). A user who only ever was a
     candidate (side 2) has no row; one who never was has NULL on that side and in the
-    sums of both sides. Stage windows have no lower bound, and hour 192 belongs to
-    both windows.
+    sums of both sides. Windows count complete hours: "at most 192" is anything before
+    the 193rd hour is over, also before the approval, and hour 192 belongs to the
+    late window as well. So each window is a pair of instants per cohort user, and
+    rows only compare times.
 
     The log is read once: each row is viewed from both sides, joined to the cohort
-    with hot users cut up, reduced to one row of flags per (user, side, counterpart),
-    and summed.
+    with hot users cut up, reduced to one mask of flags per (user, side, counterpart),
+    and the bits are summed.
     """
-    sides = both_roles(log, "user1_id", "user2_id", [*_STAGES, "rcmd_type", "channel_id"])
-    joined = skew_join(
-        sides,
-        cohort.select("user_id", "first_approval_time"),
-        ["user_id"],
-        ["role", "other_id", "registered_time"],
-        "inner",
-        hot,
+    if short < 0 or ten_days < 0 or late[0] < 1:
+        raise ValueError("windows must be 0 hours or more, and the late one start at 1 or more")
+    both = both_roles(log, "user1_id", "user2_id", _USED)
+    bounds = cohort.select(
+        "user_id",
+        _elapsed(short + 1).alias("short_end"),
+        _elapsed(ten_days + 1).alias("ten_end"),
+        _elapsed(late[0]).alias("late_start"),
+        _elapsed(late[1] + 1).alias("late_end"),
     )
-
-    def since(stage: str) -> Column:
-        return full_hours(F.col("first_approval_time"), F.col(stage))
-
-    counts_profile = ~F.col("rcmd_type").isin(special_types) & (
-        F.col("channel_id") != excluded_channel
+    joined = skew_join(
+        both, bounds, ["user_id"], ["role", "other_id", "registered_time"], "inner", hot
     )
+    types = ", ".join(str(t) for t in special_types)
+    plain = f"rcmd_type NOT IN ({types}) AND channel_id <> {excluded_channel}"
     flags = {
-        "regi": since("registered_time") <= short,
-        "imp": since("impression_time") <= short,
-        "resp": (since("like_time") <= short) | (since("dislike_time") <= short),
-        "prof": (since("profile_open_time") <= short) & counts_profile,
-        "req": since("friend_request_time") <= short,
-        "mat": since("other_accepted_time") <= short,
-        "jo": since("joined_time") <= short,
-        "jo10": since("joined_time") <= ten_days,
-        "prof14": since("profile_open_time").between(*late) & counts_profile,
-        "req14": since("friend_request_time").between(*late),
-        "jo14": since("joined_time").between(*late),
+        "regi": "registered_time < short_end",
+        "imp": "impression_time < short_end",
+        "resp": "like_time < short_end OR dislike_time < short_end",
+        "prof": f"profile_open_time < short_end AND {plain}",
+        "req": "friend_request_time < short_end",
+        "mat": "other_accepted_time < short_end",
+        "jo": "joined_time < short_end",
+        "jo10": "joined_time < ten_end",
+        "prof14": f"profile_open_time >= late_start AND profile_open_time < late_end AND {plain}",
+        "req14": "friend_request_time >= late_start AND friend_request_time < late_end",
+        "jo14": "joined_time >= late_start AND joined_time < late_end",
     }
-    known = F.col("other_id").isNotNull()
-    per_pair = joined.groupBy("user_id", "role", "other_id").agg(
-        *[F.max(F.when(p & known, 1).otherwise(0)).alias(n) for n, p in flags.items()]
-    )
+    mask = F.when(F.col("other_id").isNotNull(), flag_mask(flags)).otherwise(0)
+    per_pair = joined.groupBy("user_id", "role", "other_id").agg(F.bit_or(mask).alias("_mask"))
+    position = {name: i for i, name in enumerate(flags)}
 
-    def side(role: int, flag: str) -> Column:
-        return F.sum(F.when(F.col("role") == role, F.col(flag)))
+    def side(role: int, flag: str) -> str:
+        return f"sum(CASE WHEN role = {role} THEN {flag_bit('_mask', position[flag])} END)"
 
+    sides = {
+        "rcmd_regi": side(1, "regi"),
+        "rcmd_imp": side(1, "imp"),
+        "rcmd_resp": side(1, "resp"),
+        "rcmd_req": side(1, "req"),
+        "rcmd_match": side(1, "mat"),
+        "rcmd_other_regi": side(2, "regi"),
+        "rcmd_other_profile": side(2, "prof"),
+        "rcmd_other_request": side(2, "req"),
+        "rcmd_other_match": side(2, "mat"),
+        "rcmd_join": f"{side(1, 'jo')} + {side(2, 'jo')}",
+        "rcmd_join_10d": side(1, "jo10"),
+        "rcmd_join_14d": f"{side(1, 'jo14')} + {side(2, 'jo14')}",
+        "rcmd_other_profile_14d": side(2, "prof14"),
+        "rcmd_other_request_14d": side(2, "req14"),
+    }
     return (
         per_pair.groupBy("user_id")
         .agg(
-            F.max(F.when(F.col("role") == 1, 1)).alias("_received"),
-            side(1, "regi").alias("rcmd_regi"),
-            side(1, "imp").alias("rcmd_imp"),
-            side(1, "resp").alias("rcmd_resp"),
-            side(1, "req").alias("rcmd_req"),
-            side(1, "mat").alias("rcmd_match"),
-            side(2, "regi").alias("rcmd_other_regi"),
-            side(2, "prof").alias("rcmd_other_profile"),
-            side(2, "req").alias("rcmd_other_request"),
-            side(2, "mat").alias("rcmd_other_match"),
-            (side(1, "jo") + side(2, "jo")).alias("rcmd_join"),
-            side(1, "jo10").alias("rcmd_join_10d"),
-            (side(1, "jo14") + side(2, "jo14")).alias("rcmd_join_14d"),
-            side(2, "prof14").alias("rcmd_other_profile_14d"),
-            side(2, "req14").alias("rcmd_other_request_14d"),
+            F.min("role").alias("_first_role"),
+            *[F.expr(e).alias(n) for n, e in sides.items()],
         )
-        .filter(F.col("_received").isNotNull())
-        .drop("_received")
+        .filter("_first_role = 1")
+        .drop("_first_role")
     )

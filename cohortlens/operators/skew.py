@@ -17,7 +17,7 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 2_000_000
+HOT_ROWS = 1_000_000
 PROBE = 1024
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions.measures import count_when
 from cohortlens.functions.times import full_minutes, in_kst_days, time_bucket
 from cohortlens.operators.firsts import first_per_key
 from cohortlens.operators.running import running_sums
@@ -18,8 +17,7 @@ LOG_DAYS = ("2025-12-01", "2025-12-29")
 WIDTH_MIN = 5
 HORIZON_MIN = 60 * 24
 MAX_SCORE = 100
-TAGGED_TYPE = 3
-TAGGED_CHANNEL = 3
+TAGGED = "rcmd_type = 3 AND channel_id = 3"
 
 MEASURES = [
     "rcmd_users",
@@ -34,9 +32,8 @@ MEASURES = [
 ATTRIBUTES = ["date_ymd_kst", "hour_kst", "user_location"]
 
 
-def response_time() -> Column:
-    """When the user reacted either way; the bucket to use for response curves."""
-    return F.greatest("like_time", "dislike_time")
+# When the user reacted either way; the event time to use for response curves.
+RESPONSE_TIME = "greatest(like_time, dislike_time)"
 
 
 def exposure_timeline(
@@ -47,8 +44,8 @@ def exposure_timeline(
     gender: int = 1,
     width_min: int = WIDTH_MIN,
     horizon_min: int = HORIZON_MIN,
-    event_time: Column | None = None,
-    tagged: Column | None = None,
+    event_time: str = "impression_time",
+    tagged: str = TAGGED,
     max_score: float = MAX_SCORE,
     hot: DataFrame | None = None,
 ) -> DataFrame:
@@ -56,14 +53,11 @@ def exposure_timeline(
 
     Only the first recommendation per pair counts, so a counterpart occurs once per
     user and plain counts are distinct counts, also when summed over buckets. Buckets
-    run from ``approval_time`` to ``event_time`` (default: the impression); a row
-    without that time is in no bucket. Users without rows get the full grid of zeros.
+    run from ``approval_time`` to ``event_time``; a row without that time is in no
+    bucket. ``event_time`` and ``tagged`` are SQL expressions over the log. Users without rows get the full grid of zeros.
     ``users`` has one row per id. ``hot`` are the hot users, see ``skew_join``; they
     are looked for in the log itself, before the first-per-pair step.
     """
-    event_time = F.col("impression_time") if event_time is None else event_time
-    if tagged is None:
-        tagged = (F.col("rcmd_type") == TAGGED_TYPE) & (F.col("channel_id") == TAGGED_CHANNEL)
     last_bucket = horizon_min // width_min
 
     cohort = users.filter(
@@ -87,7 +81,7 @@ def exposure_timeline(
         hot = hot_keys(shown, ["user_id"], spread)
     joined = skew_join(first, cohort, ["user_id"], spread, "inner", hot)
     bucketed = joined.withColumn(
-        "min_rc", time_bucket(full_minutes(F.col("approval_time"), event_time), width_min)
+        "min_rc", time_bucket(full_minutes("approval_time", event_time), width_min)
     ).filter(F.col("min_rc").between(0, last_bucket))
     counted = bucketed.groupBy(
         "user_id", "relative_score", "user1_relative_score", "min_rc", *ATTRIBUTES
@@ -95,16 +89,15 @@ def exposure_timeline(
     return _with_grid(counted, cohort, last_bucket)
 
 
-def _counts(tagged: Column) -> list[Column]:
-    other = F.col("user2_id")
+def _counts(tagged: str) -> list[Column]:
     stages = {
-        "rcmd_users": F.lit(True),
-        "rcmd_impression_users": F.col("impression_time").isNotNull(),
-        "rcmd_response_users": F.col("like_time").isNotNull() | F.col("dislike_time").isNotNull(),
-        "rcmd_request_users": F.col("friend_request_time").isNotNull(),
+        "rcmd_users": "true",
+        "rcmd_impression_users": "impression_time IS NOT NULL",
+        "rcmd_response_users": "(like_time IS NOT NULL OR dislike_time IS NOT NULL)",
+        "rcmd_request_users": "friend_request_time IS NOT NULL",
     }
-    plain = [count_when(p, other).alias(n) for n, p in stages.items()]
-    return plain + [count_when(p & tagged, other).alias(f"{n}_rcmded") for n, p in stages.items()]
+    tests = stages | {f"{n}_rcmded": f"{p} AND {tagged}" for n, p in stages.items()}
+    return [F.expr(f"count(CASE WHEN {p} THEN user2_id END)").alias(n) for n, p in tests.items()]
 
 
 def _with_grid(counted: DataFrame, cohort: DataFrame, last_bucket: int) -> DataFrame:

@@ -32,20 +32,20 @@ def first_reward_daily(
     ).withColumn("first_approval_date", F.to_date("first_approval_time"))
     granted = grants.filter(F.col("source_type") == source_type)
     flagged = existence_flag(users, granted, "user_id", "_rewarded")
-    mobile = F.coalesce(F.col("mobile_hash_user_seq"), F.lit(0)) == 1
-    ci = F.coalesce(F.col("ci_hash_user_seq"), F.lit(0)) == 1
-    rewarded = F.col("_rewarded") == 1
+    mobile = "coalesce(mobile_hash_user_seq, 0) = 1"
+    ci = "coalesce(ci_hash_user_seq, 0) = 1"
+    rewarded = "_rewarded = 1"
     return distinct_by_flags(
         flagged,
         ["first_approval_date"],
         "user_id",
         {
-            "num_users": F.lit(True),
+            "num_users": "true",
             "num_mobile_first_users": mobile,
             "num_ci_first_users": ci,
-            "num_ci_not_mobile_first_users": ci & ~mobile,
-            "num_mobile_not_ci_first_users": ~ci & mobile,
+            "num_ci_not_mobile_first_users": f"{ci} AND NOT {mobile}",
+            "num_mobile_not_ci_first_users": f"NOT {ci} AND {mobile}",
             "num_actual_rewarded_users": rewarded,
-            "num_rewarded_not_analyzed_users": ci & ~mobile & rewarded,
+            "num_rewarded_not_analyzed_users": f"{ci} AND NOT {mobile} AND {rewarded}",
         },
     ).orderBy("first_approval_date")

@@ -51,7 +51,7 @@ def sign_up_cohort(
         "first_approval_time",
         to_kst(approved).alias("approval_time_kst"),
         to_kst(F.col("last_active_at")).alias("last_active_time_kst"),
-        full_hours(approved, F.col("last_active_at")).alias("retention_hour"),
+        full_hours("first_approval_time", "last_active_at").alias("retention_hour"),
     )
 
 
@@ -103,7 +103,7 @@ def coupon_use_by_pattern(
     named = skew_join(
         used_coupons(code), matched, ["source_id"], ["coupon_id", "user_id"], "left"
     )
-    flags = {n: F.coalesce(F.col(f"_is_{n}"), F.lit(False)) for n in patterns}
+    flags = {n: f"_is_{n}" for n in patterns}
     return distinct_by_flags(named, ["user_id"], "coupon_id", flags)
 
 

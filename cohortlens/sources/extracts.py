@@ -24,7 +24,7 @@ def read_extract(
     if schema is None:
         return nan_to_null(reader.option("inferSchema", True).csv(path))
     if isinstance(schema, str):
-        schema = EXTRACTS[schema]
+        schema = StructType.fromDDL(EXTRACTS[schema])
     raw = reader.csv(path)
     return nan_to_null(
         raw.select([F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])

@@ -1,4 +1,4 @@
-"""Input schemas: the warehouse tables and the CSV extracts, all columns nullable.
+"""Input schemas as DDL: the warehouse tables and the CSV extracts, all columns nullable.
 
 Instants are stored in UTC without a zone; ``date_ymd_*`` columns are string
 partition columns in ``yyyy-MM-dd`` form and ``hour_kst`` is a zero-padded string.
@@ -6,9 +6,7 @@ partition columns in ``yyyy-MM-dd`` form and ``hour_kst`` is a zero-padded strin
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-_TABLES = {
+TABLES = {
     "recommendation_log": """
         user1_id bigint, user2_id bigint, registered_time timestamp_ntz,
         profile_open_time timestamp_ntz, impression_time timestamp_ntz,
@@ -39,7 +37,7 @@ _TABLES = {
     "place_snapshot": "id int, title string, date_ymd_snapshot string",
 }
 
-_EXTRACTS = {
+EXTRACTS = {
     "early_exposure": """
         user2_id bigint, min_rc bigint, cumul_rcmd_users bigint,
         cumul_rcmd_response_users bigint, cumul_rcmd_2way_response_users bigint,
@@ -62,6 +60,3 @@ _EXTRACTS = {
         relative_score double, min_rc bigint, cumul_rcmd_response_users double,
         cumul_rcmd_response_users_rcmded double""",
 }
-
-TABLES: dict[str, StructType] = {n: StructType.fromDDL(d) for n, d in _TABLES.items()}
-EXTRACTS: dict[str, StructType] = {n: StructType.fromDDL(d) for n, d in _EXTRACTS.items()}
