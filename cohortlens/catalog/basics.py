@@ -137,22 +137,26 @@ def derived_table_scan(spark, sf):
 
 
 @query("cte_reuse", """
-WITH per_user AS (SELECT user_id, count(*) AS cnt, max(ts) AS last_ts FROM events GROUP BY user_id),
-top AS (SELECT max(cnt) AS max_cnt FROM per_user)
-SELECT p.user_id, p.cnt, p.last_ts, t.max_cnt - p.cnt AS behind
-FROM per_user p JOIN top t ON true""")
+WITH cohort AS (SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY user_id)
+SELECT c.user_id, c.first_ts, c.last_ts, early_cnt, late_cnt FROM cohort c
+LEFT JOIN (SELECT e.user_id, count(*) AS early_cnt FROM events e JOIN cohort c ON c.user_id = e.user_id
+           WHERE e.ts < c.first_ts + INTERVAL 7 DAY GROUP BY 1) a ON a.user_id = c.user_id
+LEFT JOIN (SELECT e.user_id, count(*) AS late_cnt FROM events e JOIN cohort c ON c.user_id = e.user_id
+           WHERE e.event_type = 'purchase' AND e.ts > c.last_ts - INTERVAL 7 DAY GROUP BY 1) b
+  ON b.user_id = c.user_id""")
 def cte_reuse(spark, sf):
-    # One shared aggregate used twice; the maximum is a single value, found per task first.
-    per_user = (
-        s.table(spark, sf, "events")
-        .groupBy("user_id")
-        .agg(F.count("*").alias("cnt"), F.max("ts").alias("last_ts"))
-        .withColumn("_one", F.lit(1))
+    # Both branches need the same join to the cohort, so it is made once for both.
+    events = s.table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
+    cohort = events.groupBy("user_id").agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     )
-    top = per_user.groupBy("_one").agg(F.max("cnt").alias("_max"))
-    return per_user.join(F.broadcast(top), "_one").select(
-        "user_id", "cnt", "last_ts", (F.col("_max") - F.col("cnt")).alias("behind")
+    joined = s.skew_join(events, cohort, ["user_id"], ["event_id"])
+    early = F.expr("ts < first_ts + INTERVAL '7' DAY")
+    late = F.expr("event_type = 'purchase' AND ts > last_ts - INTERVAL '7' DAY")
+    branches = joined.groupBy("user_id").agg(
+        F.sum(F.when(early, 1)).alias("early_cnt"), F.sum(F.when(late, 1)).alias("late_cnt")
     )
+    return cohort.join(branches, "user_id", "left")
 
 
 @query("int_grid", """

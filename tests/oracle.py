@@ -41,7 +41,7 @@ def _types(table) -> dict[str, str]:
 
 def compare(df, con: duckdb.DuckDBPyConnection, sql: str) -> list[str]:
     """Differences in column types, row count and values; empty when equal."""
-    got, want = df.toArrow(), con.execute(sql).to_arrow_table()
+    got, want = df.toArrow(), con.sql(sql).to_arrow_table()
     problems = []
     if _types(got) != _types(want):
         a, b = _types(got), _types(want)
