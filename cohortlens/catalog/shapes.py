@@ -258,7 +258,7 @@ usage AS (
 SELECT user_group, ci_hash, action_num, period, use_type, quantity FROM labelled WHERE period IS NOT NULL"""))
 def period_segments(spark, sf):
     log = up.without_referral(s.usage_log(spark, sf)).filter(F.col("user_group").isin("A", "B"))
-    return label_periods(log, "user_group", "ci_hash", hot=s.hot_spenders(spark, sf)).select(
+    return label_periods(log, "user_group", "ci_hash", hot=lambda: s.hot_spenders(spark, sf)).select(
         "user_group", "ci_hash", "action_num", "period", "use_type", "quantity"
     )
 
@@ -273,7 +273,7 @@ SELECT c.user_group, c.ci_hash, c.period, {", ".join(
 FROM cells c JOIN seen s ON s.user_group = c.user_group AND s.period = c.period GROUP BY 1, 2, 3"""))
 def usage_pivot_query(spark, sf):
     usage = up.usage_before_after_purchase(
-        s.usage_log(spark, sf), hot=s.hot_spenders(spark, sf)
+        s.usage_log(spark, sf), hot=lambda: s.hot_spenders(spark, sf)
     )
     wide = up.usage_wide(usage, "vol", _LABELS)
     return wide.withColumns({c: F.round(F.col(f"`{c}`"), 4) for c in _LABELS})

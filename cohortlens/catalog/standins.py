@@ -128,8 +128,14 @@ def recommendation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = who.select(F.col("id").alias("user2_id"), F.col("gender").alias("user2_gender"))
     log = event_log(spark, sf_dir)
     one = skew_join(log, first, ["user1_id"], ["event_id"], "left")
-    hot = hot_keys(log, ["user2_id"], ["event_id"])
-    return skew_join(one, second, ["user2_id"], ["event_id"], "left", hot)
+    return skew_join(
+        one,
+        second,
+        ["user2_id"],
+        ["event_id"],
+        "left",
+        lambda: hot_keys(log, ["user2_id"], ["event_id"]),
+    )
 
 
 def hot_viewers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,8 +371,14 @@ def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"action_num": F.lit(1), "purchases": F.when(paid, 1).otherwise(0)},
     )
     who = people(spark, sf_dir).select(F.col("id").alias("user_id"), "relative_score", "c_mktsegment")
-    hot = hot_keys(events, ["user_id"], ["event_id"])
-    joined = skew_join(numbered, who, ["user_id"], ["event_id"], "left", hot)
+    joined = skew_join(
+        numbered,
+        who,
+        ["user_id"],
+        ["event_id"],
+        "left",
+        lambda: hot_keys(events, ["user_id"], ["event_id"]),
+    )
     return joined.select(
         _user_hash().alias("ci_hash"),
         F.when(F.col("c_mktsegment") == "HOUSEHOLD", 1).otherwise(0).alias("get_referral_reward"),

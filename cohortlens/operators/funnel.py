@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ def two_sided_funnel(
     late: tuple[int, int] = LATE_WINDOW,
     special_types: list[int] = SPECIAL_TYPES,
     excluded_channel: int = EXCLUDED_CHANNEL,
-    hot: DataFrame | None = None,
+    hot: Callable[[], DataFrame] | None = None,
 ) -> DataFrame:
     """Distinct counterparts per stage for cohort users, as receiver and as candidate.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ def without_keys(
     keys: DataFrame,
     key: str,
     spread: Sequence[str],
-    hot: DataFrame | None = None,
+    hot: Callable[[], DataFrame] | None = None,
 ) -> DataFrame:
     """Rows whose key does not occur in ``keys``; a NULL key occurs nowhere and stays."""
     known = keys.select(key).distinct().withColumn("_known", F.lit(True))
@@ -38,7 +38,7 @@ def left_with_residual(
     keys: Sequence[str],
     residual: Column,
     spread: Sequence[str],
-    hot: DataFrame | None = None,
+    hot: Callable[[], DataFrame] | None = None,
 ) -> DataFrame:
     """Left join on ``keys`` and ``residual``, where ``per_key`` has one row per key.
 
@@ -66,7 +66,7 @@ def merge_renamed(
     suffix: str,
     spread: Sequence[str],
     how: str = "left",
-    hot: DataFrame | None = None,
+    hot: Callable[[], DataFrame] | None = None,
 ) -> DataFrame:
     """Join a column subset of ``right``; only names that ``left`` has too get ``suffix``.
 

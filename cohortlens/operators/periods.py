@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,14 +31,14 @@ def label_periods(
     user: str,
     steps: tuple[int, int] = (10, 20),
     every: bool = False,
-    hot: DataFrame | None = None,
+    hot: Callable[[], DataFrame] | None = None,
 ) -> DataFrame:
     """Usage rows (quantity <= 0) with ``period`` and a positive ``quantity``.
 
     ``pre`` before the first purchase, ``post_10``/``post_20`` (named by ``steps``)
     for the actions after it, ``non`` for users who never purchased. The purchase
     itself, later actions and rows without a user have no period and are left out.
-    ``hot`` are the hot (group, user) keys, see ``skew_join``.
+    ``hot`` finds the hot (group, user) keys, see ``skew_join``.
     """
     near, far = steps
     keys = [group, user]

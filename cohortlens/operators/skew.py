@@ -2,7 +2,8 @@
 
 Joining on the key alone puts all rows of one key into one task, and the
 aggregate that follows reuses that partitioning, so run-time skew handling cannot
-step in. Here each hot key is cut into as many parts as its row count calls for:
+step in. A per-key table small enough to be broadcast needs nothing: its join does
+not move the rows. Otherwise each hot key is cut into as many parts as its row count calls for:
 its rows are dealt over the parts by a hash, its per-key row is repeated once per
 part, and all other keys stay as they are. The parts only steer where rows go; the
 result is the same for any choice of hot keys.
@@ -10,7 +11,7 @@ result is the same for any choice of hot keys.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
@@ -48,35 +49,51 @@ def hot_keys(
     )
 
 
+def broadcast_size(df: DataFrame) -> bool:
+    """Whether the planner's size estimate lets it broadcast ``df`` by itself.
+
+    Without column statistics the estimate is an upper bound: filters and aggregates
+    count as large as their input.
+    """
+    session = df.sparkSession
+    if not hasattr(df, "_jdf"):
+        return False
+    limit = session._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= limit
+
+
 def skew_join(
     rows: DataFrame,
     per_key: DataFrame,
     keys: Sequence[str],
     spread: Sequence[str],
     how: str = "inner",
-    hot: DataFrame | None = None,
+    hot: Callable[[], DataFrame] | None = None,
 ) -> DataFrame:
     """``rows.join(per_key, keys, how)`` for ``how`` inner or left, with hot keys cut up.
 
-    ``spread`` names columns that tell the rows of one key apart. ``hot`` is the
+    ``spread`` names columns that tell the rows of one key apart. ``hot`` returns the
     output of ``hot_keys``, by default taken from ``rows``; pass it where ``rows`` is
-    itself costly and an upstream table has the same keys. A small ``per_key`` side
-    is still broadcast by the planner when its size allows.
+    itself costly and an upstream table has the same keys. It is not called, and no
+    rows are probed, when the planner is going to broadcast ``per_key``.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"skew_join supports inner and left joins, not {how!r}")
     keys = list(keys)
-    hot = F.broadcast(hot_keys(rows, keys, spread) if hot is None else hot)
+    if broadcast_size(per_key):
+        return rows.join(per_key, keys, how)
+    found_hot = F.broadcast(hot_keys(rows, keys, spread) if hot is None else hot())
     same_key = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     found = [f"_hot_{k}" for k in keys] + ["_parts"]
     dealt = (
-        rows.join(hot, same_key, "left")
+        rows.join(found_hot, same_key, "left")
         .withColumn("_part", F.pmod(F.xxhash64(*spread), parts).cast("int"))
         .drop(*found)
     )
     repeated = (
-        per_key.join(hot, same_key, "left")
+        per_key.join(found_hot, same_key, "left")
         .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
         .drop(*found)
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,12 +32,12 @@ def usage_before_after_purchase(
     groups: Sequence[str] = GROUPS,
     steps: tuple[int, int] = STEPS,
     every_purchase: bool = False,
-    hot: DataFrame | None = None,
+    hot: Callable[[], DataFrame] | None = None,
 ) -> DataFrame:
     """Long form: (group, user, period, use type, description) with ``freq`` and ``vol``.
 
     All groups and periods come from one labelling and one aggregation. Rows without
-    a description belong to no column and are left out. ``hot`` are the hot
+    a description belong to no column and are left out. ``hot`` finds the hot
     (group, user) keys, see ``skew_join``.
     """
     kept = without_referral(log).filter(F.col(group).isin(list(groups)))

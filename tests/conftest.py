@@ -28,6 +28,16 @@ def sf_dir():
     return SF_DIR
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    """Joins of small tables take the way that large ones take."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
 @pytest.fixture
 def frame(spark):
     """A DataFrame from ``frame("a bigint, ts timestamp_ntz", [...])``; instants as text."""

@@ -7,6 +7,7 @@ import re
 import pytest
 
 import __spark_entry__ as contract
+from cohortlens.operators import skew
 from tests.oracle import compare, connect
 
 NAMES = sorted(contract.queries())
@@ -31,3 +32,23 @@ def test_same_rows_as_sql(spark, sf_dir, con, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|Python|MapInPandas", plan)
     assert compare(df, con, contract.oracle_sql()[name]) == []
+
+
+SALTED = [
+    "two_sided_funnel",
+    "exposure_timeline",
+    "ab_readout",
+    "usage_before_after_purchase",
+    "early_response_boxes",
+    "theta_residual_join",
+    "using_join",
+    "anti_join",
+    "merge_suffix",
+]
+
+
+@pytest.mark.parametrize("name", SALTED)
+def test_same_rows_with_hot_keys_cut_up(spark, sf_dir, con, no_broadcast, monkeypatch, name):
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", (20, 1))
+    df = contract.queries()[name](spark, sf_dir)
+    assert compare(df, con, contract.oracle_sql()[name]) == []

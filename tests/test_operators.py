@@ -28,15 +28,24 @@ def skewed(spark, n=3000):
 
 @pytest.mark.parametrize("how", ["inner", "left"])
 @pytest.mark.parametrize("hot_rows", [10, 100, 10**9])
-def test_skew_join_equals_plain_join(spark, how, hot_rows):
+def test_skew_join_equals_plain_join(spark, no_broadcast, how, hot_rows):
     rows = skewed(spark)
     dim = spark.range(0, 60, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("x"))
-    hot = hot_keys(rows, ["k"], ["row_id"], hot_rows=hot_rows, probe=1)
-    got = skew_join(rows, dim, ["k"], ["row_id"], how, hot)
+    got = skew_join(
+        rows, dim, ["k"], ["row_id"], how, lambda: hot_keys(rows, ["k"], ["row_id"], hot_rows, 1)
+    )
+    assert "_part" in got._jdf.queryExecution().analyzed().toString()
     want = rows.join(dim, "k", how)
     assert rows_of(got, "row_id", "k", "x") == rows_of(want, "row_id", "k", "x")
 
 
+def test_small_tables_are_joined_without_a_probe(spark):
+    dim = spark.range(9).withColumnRenamed("id", "k")
+    got = skew_join(skewed(spark), dim, ["k"], ["row_id"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "_part" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_hot_key_is_cut_into_even_parts(spark):
     rows = skewed(spark)
     hot = hot_keys(rows, ["k"], ["row_id"], hot_rows=100, probe=1)

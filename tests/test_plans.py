@@ -92,7 +92,7 @@ def test_timeline_grid_sums_and_edges(table):
     assert got[("2", "30-60%", 1440)] == 4.0 and got[("3", "60-90%", 0)] == 0.0 and len(got) == 578
 
 
-def test_timeline_two_rows_in_one_bucket(table):
+def test_timeline_two_rows_in_one_bucket(table, no_broadcast):
     users = table("accounts", [{"id": 1, "gender": 1, "relative_score": 40.0,
         "first_approval_time": "2025-12-01 00:00:00", "approval_time": "2025-12-01 00:00:00"}])
     log = table("recommendation_log", [
@@ -100,7 +100,11 @@ def test_timeline_two_rows_in_one_bucket(table):
         log_row(1, 11, "2025-12-01 01:00:10", impression_time="2025-12-01 00:07:00"),
         log_row(1, 12, "2025-12-01 01:00:10", impression_time="2025-12-01 00:07:00", user1_relative_score=100.0),
     ])
-    hot = hot_keys(log.withColumnRenamed("user1_id", "user_id"), ["user_id"], ["user2_id"], hot_rows=1, probe=1)
+    renamed = log.withColumnRenamed("user1_id", "user_id")
+
+    def hot():
+        return hot_keys(renamed, ["user_id"], ["user2_id"], hot_rows=1, probe=1)
+
     rows = exposure_timeline(log, users, hot=hot).filter("min_rc BETWEEN 0 AND 2")
     assert rows_of(rows, "min_rc", "hour_kst", "rcmd_users", "cumul_rcmd_users") == [
         (0, None, 0, 0), (1, "00", 1, 1), (1, "01", 1, 2), (2, None, 0, 2),
@@ -258,7 +262,7 @@ def usage(table, rows):
     return table("usage_log", [base | r for r in rows], EXTRACTS)
 
 
-def test_periods_around_the_first_purchase(table):
+def test_periods_around_the_first_purchase(table, no_broadcast):
     steps = [4, 5, 6, 15, 16, 25, 26]
     log = usage(table, [{"ci_hash": "p", "action_num": a, "quantity": -1.0} for a in steps]
                 + [{"ci_hash": "p", "action_num": 5, "quantity": 9.0, "purchase_num": 1.0},
@@ -268,7 +272,10 @@ def test_periods_around_the_first_purchase(table):
                    {"ci_hash": "n", "action_num": 3, "quantity": -2.0, "description": None},
                    {"ci_hash": None, "action_num": 3, "quantity": -2.0},
                    {"ci_hash": "r", "action_num": 3, "quantity": -2.0, "get_referral_reward": 1}])
-    hot = hot_keys(log, ["user_group", "ci_hash"], ["action_num"], hot_rows=1, probe=1)
+
+    def hot():
+        return hot_keys(log, ["user_group", "ci_hash"], ["action_num"], hot_rows=1, probe=1)
+
     for cut in (None, hot):
         labelled = label_periods(up.without_referral(log), "user_group", "ci_hash", hot=cut)
         assert rows_of(labelled, "ci_hash", "action_num", "period") == [
