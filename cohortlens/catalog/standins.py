@@ -38,10 +38,6 @@ def _kst_day() -> Column:
     return F.to_date(to_kst(F.col("ts"))).cast("string")
 
 
-def _kst_hour() -> Column:
-    return F.lpad(F.hour(to_kst(F.col("ts"))).cast("string"), 2, "0")
-
-
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"),
@@ -57,35 +53,26 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The recommendation log without the user attributes."""
-    kind, value, hour = F.col("event_type"), F.col("value"), F.hour("ts")
-    other = F.when(value >= 2, _counterpart())
-    rcmd_type = (
-        F.when(value < 20, 3).when(value < 35, 80).when(value < 50, 4)
-        .when(value < 70, 50).when(value < 100, 101).when(value < 150, 105)
-    )
-    props = F.when(
-        value >= 25, F.create_map(F.lit("ml_ver"), F.get_json_object("props", "$.k"))
-    ).otherwise(F.from_json("props", "map<string,string>"))
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").selectExpr(
         "event_id",
-        F.col("user_id").alias("user1_id"),
-        other.alias("user2_id"),
-        F.col("ts").alias("registered_time"),
-        F.when(kind.isin("click", "purchase"), _after("ts", "'5' MINUTE")).alias("profile_open_time"),
-        F.when(kind != "error", _after("ts", "'1' MINUTE")).alias("impression_time"),
-        F.when(kind == "click", _after("ts", "'30' MINUTE")).alias("like_time"),
-        F.when(kind == "error", _after("ts", "'10' MINUTE")).alias("dislike_time"),
-        F.when(kind == "purchase", _after("ts", "'2' HOUR")).alias("friend_request_time"),
-        F.when((kind == "purchase") & (value >= 50), _after("ts", "'26' HOUR")).alias(
-            "other_accepted_time"
-        ),
-        F.when(kind == "signup", _after("ts", "'3' DAY")).alias("joined_time"),
-        rcmd_type.alias("rcmd_type"),
-        F.when(hour < 6, 3).when(hour < 12, 21).when(hour < 18, 5).otherwise(3).alias("channel_id"),
-        props.alias("exp_props"),
-        (value * 1000).alias("min_distance"),
-        _kst_hour().alias("hour_kst"),
-        _kst_day().alias("date_ymd_kst"),
+        "user_id AS user1_id",
+        "CASE WHEN value >= 2 THEN CAST(get_json_object(props, '$.k') AS BIGINT) END AS user2_id",
+        "ts AS registered_time",
+        "CASE WHEN event_type IN ('click', 'purchase') THEN ts + INTERVAL '5' MINUTE END AS profile_open_time",
+        "CASE WHEN event_type <> 'error' THEN ts + INTERVAL '1' MINUTE END AS impression_time",
+        "CASE WHEN event_type = 'click' THEN ts + INTERVAL '30' MINUTE END AS like_time",
+        "CASE WHEN event_type = 'error' THEN ts + INTERVAL '10' MINUTE END AS dislike_time",
+        "CASE WHEN event_type = 'purchase' THEN ts + INTERVAL '2' HOUR END AS friend_request_time",
+        "CASE WHEN event_type = 'purchase' AND value >= 50 THEN ts + INTERVAL '26' HOUR END AS other_accepted_time",
+        "CASE WHEN event_type = 'signup' THEN ts + INTERVAL '3' DAY END AS joined_time",
+        """CASE WHEN value < 20 THEN 3 WHEN value < 35 THEN 80 WHEN value < 50 THEN 4
+             WHEN value < 70 THEN 50 WHEN value < 100 THEN 101 WHEN value < 150 THEN 105 END AS rcmd_type""",
+        "CASE WHEN hour(ts) < 6 THEN 3 WHEN hour(ts) < 12 THEN 21 WHEN hour(ts) < 18 THEN 5 ELSE 3 END AS channel_id",
+        """CASE WHEN value >= 25 THEN map('ml_ver', get_json_object(props, '$.k'))
+             ELSE from_json(props, 'map<string,string>') END AS exp_props""",
+        "value * 1000 AS min_distance",
+        "lpad(CAST(hour(ts + INTERVAL '9' HOUR) AS STRING), 2, '0') AS hour_kst",
+        "CAST(CAST(ts + INTERVAL '9' HOUR AS DATE) AS STRING) AS date_ymd_kst",
     )
 
 

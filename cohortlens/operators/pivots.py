@@ -54,17 +54,17 @@ def usage_pivot(
 
     ``frame`` (a subset of ``keys``) marks what would be separate tables stacked on
     each other: within a frame an absent cell is 0, but a label that never occurs in
-    the frame is NULL. The label table per frame is small by construction (frames x
-    labels) and broadcast.
+    the frame is NULL. What occurs is read off the wide rows, one row per frame; there
+    are as many frames as there would be tables, so that side is broadcast.
     """
-    kept = cells.filter(F.col(label).isNotNull())
-    wide = kept.groupBy(*keys).pivot(label, list(labels)).agg(F.sum(value))
-    seen = kept.groupBy(*frame).agg(F.collect_set(label).alias("_seen"))
-    filled = wide.join(F.broadcast(seen), list(frame))
-    return filled.select(
+    wide = (
+        cells.dropna(subset=[label, *keys]).groupBy(*keys).pivot(label, list(labels)).agg(F.sum(value))
+    )
+    named = wide.toDF(*keys, *[f"_v{i}" for i in range(len(labels))])
+    occurs = named.groupBy(*frame).agg(
+        *[F.expr(f"max(_v{i} IS NOT NULL)").alias(f"_o{i}") for i in range(len(labels))]
+    )
+    return named.join(F.broadcast(occurs), list(frame)).select(
         *keys,
-        *[
-            F.when(F.array_contains("_seen", c), F.coalesce(F.col(f"`{c}`"), F.lit(0))).alias(c)
-            for c in labels
-        ],
+        *[F.expr(f"CASE WHEN _o{i} THEN coalesce(_v{i}, 0) END").alias(c) for i, c in enumerate(labels)],
     )

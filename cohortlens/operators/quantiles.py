@@ -12,9 +12,12 @@ _LOWEST_EXPONENT = -1075
 
 
 def value_counts(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(``keys``, ``_x``, ``_n``): how often each non-NULL value occurs in each group."""
+    """(``keys``, ``_x``, ``_n``): how often each value occurs in each group.
+
+    Rows with a NULL value or a NULL key are in no group.
+    """
     return (
-        rows.filter(F.col(value).isNotNull())
+        rows.dropna(subset=[*keys, value])
         .groupBy(*keys, F.col(value).cast("double").alias("_x"))
         .agg(F.count("*").alias("_n"))
     )
@@ -33,6 +36,12 @@ def magnitude_slice(x: Column) -> Column:
     return F.when(x == 0, 0).when(x > 0, number).otherwise(-number).cast("bigint")
 
 
+def _sliced(counts: DataFrame) -> DataFrame:
+    # Not NULL by type, so that no NULL test is pushed into one of the two uses of the
+    # counts only: both then read the same shuffled counts.
+    return counts.withColumn("_slice", F.coalesce(magnitude_slice(F.col("_x")), F.lit(0)))
+
+
 def exact_quantiles(
     rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]
 ) -> DataFrame:
@@ -55,7 +64,7 @@ def quantiles_of_counts(
     slices are ranked, each slice on its own.
     """
     keys = list(keys)
-    placed = counts.withColumn("_slice", magnitude_slice(F.col("_x")))
+    placed = _sliced(counts)
 
     whole = Window.partitionBy(*keys)
     so_far = whole.orderBy("_slice")
