@@ -263,22 +263,45 @@ def period_segments(spark, sf):
     )
 
 
-@query("usage_pivot", s.with_inputs(s.PEOPLE_SQL, s.USAGE_SQL, PERIODS_SQL, """cells AS (
-  SELECT user_group, ci_hash, period, use_type || '|' || description AS label, vol FROM usage),
-seen AS (SELECT user_group, period, list(DISTINCT label) AS labels FROM cells GROUP BY 1, 2)""", body=f"""
-SELECT c.user_group, c.ci_hash, c.period, {", ".join(
-    f'CASE WHEN list_contains(any_value(labels), {chr(39)}{c}{chr(39)}) THEN '
-    f'round(coalesce(sum(CASE WHEN label = {chr(39)}{c}{chr(39)} THEN vol END), 0), 4) END AS "{c}"'
-    for c in _LABELS)}
-FROM cells c JOIN seen s ON s.user_group = c.user_group AND s.period = c.period GROUP BY 1, 2, 3"""))
-def usage_pivot_query(spark, sf):
-    usage = up.usage_before_after_purchase(
+def _wide_sql(value: str) -> str:
+    def cell(label: str) -> str:
+        return (
+            f"CASE WHEN list_contains(any_value(labels), '{label}') THEN "
+            f"coalesce(sum(CASE WHEN label = '{label}' THEN {value} END), 0) END"
+        )
+
+    cast = "CAST({} AS BIGINT)" if value == "freq" else "round({}, 4)"
+    cells = ", ".join(f'{cast.format(cell(c))} AS "{c}"' for c in _LABELS)
+    return s.with_inputs(
+        s.PEOPLE_SQL,
+        s.USAGE_SQL,
+        PERIODS_SQL,
+        f"""cells AS (
+  SELECT user_group, ci_hash, period, use_type || '|' || description AS label, {value} FROM usage),
+seen AS (SELECT user_group, period, list(DISTINCT label) AS labels FROM cells GROUP BY 1, 2)""",
+        body=f"""
+SELECT c.user_group, c.ci_hash, c.period, {cells}
+FROM cells c JOIN seen s ON s.user_group = c.user_group AND s.period = c.period GROUP BY 1, 2, 3""",
+    )
+
+
+def _usage(spark, sf):
+    return up.usage_before_after_purchase(
         s.usage_log(spark, sf), hot=lambda: s.hot_spenders(spark, sf)
     )
-    wide = up.usage_wide(usage, "vol", _LABELS)
+
+
+@query("usage_pivot", _wide_sql("vol"))
+def usage_pivot_query(spark, sf):
+    wide = up.usage_wide(_usage(spark, sf), "vol", _LABELS)
     return wide.withColumns({c: F.round(F.col(f"`{c}`"), 4) for c in _LABELS})
 
 
+@query("usage_pivot_freq", _wide_sql("freq"))
+def usage_pivot_freq(spark, sf):
+    return up.usage_wide(_usage(spark, sf), "freq", _LABELS)
+
+
 @query("union_missing_columns", """
 SELECT event_type, purchases, NULL::DOUBLE AS clicks, 'pre' AS period FROM (
   SELECT event_type, round(sum(value), 4) AS purchases FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1)

@@ -11,11 +11,13 @@ from cohortlens.functions.bins import score_grade
 from cohortlens.operators.firsts import first_per_key
 from cohortlens.operators.periods import first_purchases, label_periods
 from cohortlens.operators.pivots import pair_label, usage_pivot
+from cohortlens.sources.extracts import write_extract
 
 # Groups, grade width and actions counted after the purchase.
 GROUPS = ("A", "B")
 GRADE_WIDTH = 10
 STEPS = (10, 20)
+MAX_LABELS = 10_000
 
 
 def without_referral(log: DataFrame) -> DataFrame:
@@ -82,3 +84,51 @@ def user_grades(log: DataFrame, user: str = "ci_hash") -> DataFrame:
         [user],
         [F.asc_nulls_last("action_num")],
     ).select(user, "rs_grade")
+
+
+def occurring_labels(
+    usage: DataFrame, group: str = "user_group", limit: int = MAX_LABELS
+) -> dict[tuple[str, str], list[str]]:
+    """The column labels of each (group, period), for pivots without a given list.
+
+    Labels become columns, so there can only be a limited number of them; more than
+    ``limit`` is an error, as it is for a pivot.
+    """
+    label = pair_label(F.col("use_type"), F.col("description"))
+    found = usage.select(group, "period", label).distinct().limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} use type and description pairs")
+    labels: dict[tuple[str, str], list[str]] = {}
+    for row in found:
+        labels.setdefault((row[0], row[1]), []).append(row[2])
+    return {frame: sorted(names) for frame, names in sorted(labels.items())}
+
+
+def write_usage_extracts(
+    log: DataFrame,
+    path: str,
+    user: str = "ci_hash",
+    group: str = "user_group",
+    hot: Callable[[], DataFrame] | None = None,
+) -> None:
+    """All CSV extracts of the analysis under ``path``.
+
+    Per group and value (freq, vol): one directory with all periods stacked, and one
+    per period with only the labels that occur in it; and the user grades. The long
+    form is written first and read back, so the log is processed once.
+    """
+    long_path = f"{path}/usage_long"
+    usage_before_after_purchase(log, user, group, hot=hot).write.parquet(long_path)
+    usage = log.sparkSession.read.parquet(long_path)
+    labels = occurring_labels(usage, group)
+    for name in sorted({g for g, _ in labels}):
+        periods = {p: found for (g, p), found in labels.items() if g == name}
+        rows = usage.filter(F.col(group) == name)
+        for value in ("freq", "vol"):
+            every = sorted({c for found in periods.values() for c in found})
+            stacked = usage_wide(rows, value, every, user, group).drop(group)
+            write_extract(stacked, f"{path}/{name.lower()}_all_{value}_periods")
+            for period, found in periods.items():
+                one = usage_wide(rows.filter(F.col("period") == period), value, found, user, group)
+                write_extract(one.drop(group, "period"), f"{path}/{name.lower()}_{period}_{value}")
+    write_extract(user_grades(log, user), f"{path}/user_grade")

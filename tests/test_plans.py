@@ -292,6 +292,30 @@ def test_periods_around_the_first_purchase(table, no_broadcast):
     assert ("A", "p", "pre", 1, None) in rows_of(wide) and ("A", "n", "non", None, 1) in rows_of(wide)
 
 
+def test_usage_extracts(spark, table, tmp_path):
+    log = usage(table, [
+        {"ci_hash": "p", "action_num": 1, "quantity": -1.0, "description": "a"},
+        {"ci_hash": "p", "action_num": 2, "quantity": 5.0, "purchase_num": 1.0},
+        {"ci_hash": "p", "action_num": 3, "quantity": -2.0},
+        {"ci_hash": "q", "action_num": 1, "quantity": -4.0, "user_group": "B"},
+    ])
+    out = str(tmp_path / "extracts")
+    up.write_usage_extracts(log, out)
+
+    def extract(name):
+        df = spark.read.option("header", True).csv(f"{out}/{name}")
+        return df.columns, rows_of(df)
+
+    assert extract("a_all_vol_periods") == (
+        ["ci_hash", "period", "x|a", "x|d"], [("p", "post_10", None, "2.0"), ("p", "pre", "1.0", None)],
+    )
+    assert extract("a_pre_freq") == (["ci_hash", "x|a"], [("p", "1")])
+    assert extract("b_non_vol") == (["ci_hash", "x|d"], [("q", "4.0")])
+    assert extract("user_grade")[1] == [("p", "4"), ("q", "4")]
+    with pytest.raises(ValueError):
+        up.occurring_labels(spark.read.parquet(f"{out}/usage_long"), limit=2)
+
+
 def test_use_type_cleaning_is_optional(frame):
     plain = frame("a int", [(1,)])
     assert clean_use_type(plain).columns == ["a"]
