@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions.measures import count_when, percent
+from cohortlens.functions.measures import percent
 from cohortlens.operators.funnel import SPECIAL_TYPES
 from cohortlens.sources.scans import in_hours
 
@@ -45,18 +45,19 @@ def ab_readout(
     left; a pair has at most hours x types cells.
     """
     since = match_since or start[0]
-    in_state = F.col("date_ymd_kst") >= since
     in_test = (
         in_hours(start, end)
         & F.col("rcmd_type").isin(list(types))
         & (F.col("user1_gender") == genders[0])
         & (F.col("user2_gender") == genders[1])
     )
-    rows = log.filter(F.col("date_ymd_kst") >= min(since, start[0]))
-    per_user = _per_user(_cells(rows, in_state, in_test, match_date), focus_type, match_date)
+    rows = log.filter(F.col("date_ymd_kst") >= min(since, start[0])).withColumns(
+        {"_in_state": F.col("date_ymd_kst") >= since, "_in_test": in_test}
+    )
+    per_user = _per_user(_cells(rows, match_date), focus_type, match_date)
     group = F.col("user1_id") % 2
     rule_based = (
-        rows.filter(in_test & F.col("exp_props")[MODEL_KEY].isNull())
+        rows.filter(F.col("_in_test") & F.col("exp_props")[MODEL_KEY].isNull())
         .groupBy(group.alias("_group"), F.col("hour_kst").alias("_hour"))
         .agg(F.count_distinct(F.col("registered_time")).alias("_rb"))
     )
@@ -93,104 +94,76 @@ def ab_readout(
     ).orderBy(F.desc_nulls_last("user1_group"), F.asc_nulls_last("hour_kst"))
 
 
-_SUMS = [
-    "all_rcmd_cnt",
-    "all_rcmd_friend_request_cnt",
-    "all_rcmd_match_cnt",
-    "all_rcmd_like_cnt",
-    "og_booster_cnt",
-    "og_booster_like_cnt",
-    "og_booster_friend_request_cnt",
-    "og_booster_match_cnt",
-    "_liked",
-    "_dist_sum",
-    "_dist_n",
-    "_like_dist_sum",
-    "_like_dist_n",
-    "_request_dist_sum",
-    "_request_dist_n",
-]
+# Sums over the test rows of a user and hour, as SQL over the cells.
+_SUMS = {
+    "all_rcmd_cnt": "_n",
+    "all_rcmd_friend_request_cnt": "CASE WHEN _requested THEN _n ELSE _n_request END",
+    "all_rcmd_match_cnt": "CASE WHEN _accepted THEN _n ELSE _n_accept END",
+    "all_rcmd_like_cnt": "_n_like",
+    "og_booster_cnt": "CASE WHEN _focus THEN _n ELSE 0 END",
+    "og_booster_like_cnt": "CASE WHEN _focus THEN _n_like_time ELSE 0 END",
+    "og_booster_friend_request_cnt": "CASE WHEN _focus AND _requested THEN _n ELSE 0 END",
+    "og_booster_match_cnt": "CASE WHEN _focus AND _accepted THEN _n ELSE 0 END",
+    "_liked": "CASE WHEN _focus THEN _n_like ELSE 0 END",
+    "_dist_sum": "CASE WHEN _focus THEN _d END",
+    "_dist_n": "CASE WHEN _focus THEN _d_n END",
+    "_like_dist_sum": "CASE WHEN _focus THEN _d_like END",
+    "_like_dist_n": "CASE WHEN _focus THEN _d_like_n END",
+    "_request_dist_sum": "CASE WHEN _focus AND _requested THEN _d END",
+    "_request_dist_n": "CASE WHEN _focus AND _requested THEN _d_n END",
+}
+
+# What a cell holds: the state maxima and the counts over its test rows.
+_CELL = {
+    "_state": "max(_in_state)",
+    "_request": "max(CASE WHEN _in_state THEN friend_request_time END)",
+    "_accept": "max(CASE WHEN _in_state THEN other_accepted_time END)",
+    "_rows": "count(CASE WHEN _in_test THEN 1 END)",
+    "_n": "count(CASE WHEN _in_test THEN registered_time END)",
+    "_n_request": "count(CASE WHEN _in_test AND friend_request_time IS NOT NULL THEN registered_time END)",
+    "_n_accept": "count(CASE WHEN _in_test AND other_accepted_time IS NOT NULL THEN registered_time END)",
+    "_n_like": "count(CASE WHEN _in_test AND like_time IS NOT NULL THEN registered_time END)",
+    "_n_like_time": "count(CASE WHEN _in_test THEN like_time END)",
+    "_d": "sum(CASE WHEN _in_test THEN min_distance END)",
+    "_d_n": "count(CASE WHEN _in_test THEN min_distance END)",
+    "_d_like": "sum(CASE WHEN _in_test AND like_time IS NOT NULL THEN min_distance END)",
+    "_d_like_n": "count(CASE WHEN _in_test AND like_time IS NOT NULL THEN min_distance END)",
+}
 
 
 def _km(name: str) -> Column:
     return F.try_divide(F.col(f"{name}_sum"), F.col(f"{name}_n")) / 1000
 
 
-def _cells(rows: DataFrame, in_state: Column, in_test: Column, match_date: bool) -> DataFrame:
-    """Per (pair, hour, type): the state maxima and the sums over the test rows."""
+def _cells(rows: DataFrame, match_date: bool) -> DataFrame:
+    """One row per (pair, hour, type), and day where days are to be matched."""
     keys = ["user1_id", "user2_id", "hour_kst", "rcmd_type"]
     if match_date:
         keys.append("date_ymd_kst")
-    counted = F.col("registered_time")
-    requested = F.col("friend_request_time").isNotNull()
-    accepted = F.col("other_accepted_time").isNotNull()
-    liked = F.col("like_time").isNotNull()
-    distance = F.col("min_distance")
-    return rows.groupBy(*keys).agg(
-        F.max(F.when(in_state, 1)).alias("_in_state"),
-        F.max(F.when(in_state, F.col("friend_request_time"))).alias("_request"),
-        F.max(F.when(in_state, F.col("other_accepted_time"))).alias("_accept"),
-        count_when(in_test).alias("_rows"),
-        count_when(in_test, counted).alias("_n"),
-        count_when(in_test & requested, counted).alias("_n_request"),
-        count_when(in_test & accepted, counted).alias("_n_accept"),
-        count_when(in_test & liked, counted).alias("_n_like"),
-        count_when(in_test & liked, F.col("like_time")).alias("_n_like_time"),
-        F.sum(F.when(in_test, distance)).alias("_d"),
-        count_when(in_test, distance).alias("_d_n"),
-        F.sum(F.when(in_test & liked, distance)).alias("_d_like"),
-        count_when(in_test & liked, distance).alias("_d_like_n"),
-    )
+    return rows.groupBy(*keys).agg(*[F.expr(e).alias(n) for n, e in _CELL.items()])
 
 
 def _per_user(cells: DataFrame, focus_type: int, match_date: bool) -> DataFrame:
     """Cells joined to their pair's state by window, then summed per (user1, hour)."""
     pair = Window.partitionBy("user1_id", "user2_id")
-    state = F.col("_in_state") == 1
+    compared = ["hour_kst", "rcmd_type", "_request", "_accept"] + ["date_ymd_kst"] * match_date
     latest = {
-        f"_last_{c}": F.max(F.when(state, F.col(c))).over(pair)
-        for c in ("hour_kst", "rcmd_type", "_request", "_accept", *(["date_ymd_kst"] * match_date))
+        f"_last_{c}": F.max(F.expr(f"CASE WHEN _state THEN {c} END")).over(pair) for c in compared
     }
     matched = (
-        F.col("user1_id").isNotNull()
-        & F.col("user2_id").isNotNull()
-        & (F.col("hour_kst") == F.col("_last_hour_kst"))
-        & (F.col("rcmd_type") != F.col("_last_rcmd_type"))
+        "user1_id IS NOT NULL AND user2_id IS NOT NULL"
+        " AND hour_kst = _last_hour_kst AND rcmd_type <> _last_rcmd_type"
     )
     if match_date:
-        matched = matched & (F.col("date_ymd_kst") == F.col("_last_date_ymd_kst"))
-    seen = (
-        cells.withColumns(latest)
-        .filter(F.col("_rows") > 0)
-        .withColumns(
-            {
-                "_requested": matched & F.col("_last__request").isNotNull(),
-                "_accepted": matched & F.col("_last__accept").isNotNull(),
-            }
-        )
+        matched += " AND date_ymd_kst = _last_date_ymd_kst"
+    seen = cells.withColumns(latest).filter("_rows > 0")
+    marked = seen.withColumns(
+        {
+            "_requested": F.expr(f"{matched} AND _last__request IS NOT NULL"),
+            "_accepted": F.expr(f"{matched} AND _last__accept IS NOT NULL"),
+            "_focus": F.col("rcmd_type") == focus_type,
+        }
     )
-    focus = F.col("rcmd_type") == focus_type
-
-    def total(condition: Column, column: str) -> Column:
-        return F.sum(F.when(condition, F.col(column)).otherwise(0))
-
-    request_count = F.when(F.col("_requested"), F.col("_n")).otherwise(F.col("_n_request"))
-    match_count = F.when(F.col("_accepted"), F.col("_n")).otherwise(F.col("_n_accept"))
-    asked = focus & F.col("_requested")
-    return seen.groupBy("user1_id", "hour_kst").agg(
-        F.sum("_n").alias("all_rcmd_cnt"),
-        F.sum(request_count).alias("all_rcmd_friend_request_cnt"),
-        F.sum(match_count).alias("all_rcmd_match_cnt"),
-        F.sum("_n_like").alias("all_rcmd_like_cnt"),
-        total(focus, "_n").alias("og_booster_cnt"),
-        total(focus, "_n_like_time").alias("og_booster_like_cnt"),
-        total(asked, "_n").alias("og_booster_friend_request_cnt"),
-        total(focus & F.col("_accepted"), "_n").alias("og_booster_match_cnt"),
-        total(focus, "_n_like").alias("_liked"),
-        F.sum(F.when(focus, F.col("_d"))).alias("_dist_sum"),
-        total(focus, "_d_n").alias("_dist_n"),
-        F.sum(F.when(focus, F.col("_d_like"))).alias("_like_dist_sum"),
-        total(focus, "_d_like_n").alias("_like_dist_n"),
-        F.sum(F.when(asked, F.col("_d"))).alias("_request_dist_sum"),
-        total(asked, "_d_n").alias("_request_dist_n"),
+    return marked.groupBy("user1_id", "hour_kst").agg(
+        *[F.expr(f"sum({e})").alias(n) for n, e in _SUMS.items()]
     )
