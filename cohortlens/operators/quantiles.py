@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STEPS = 4096
+STEPS = 16_384
 _LOWEST_EXPONENT = -1075
 
 
