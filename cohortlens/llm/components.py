@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import new_folder, remove
+from cohortlens.llm.common import cut, new_folder, remove
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -16,7 +16,10 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     sided = both if large else pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = sided.groupBy("a").agg(F.min("b").alias("_m")).withColumn("_m", F.least("_m", "a"))
+    low = cut(
+        sided.groupBy("a").agg(F.min("b").alias("_m")).withColumn("_m", F.least("_m", "a")),
+        "component-lows",
+    )
     met = sided.join(low, "a")
     if large:
         out = met.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("_m").alias("b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import packed
+from cohortlens.llm.common import cut, packed
 
 #: Lines of a window.
 WIDTH = 3
@@ -41,11 +41,12 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     of all documents share is split by the skew handling of that join.
     """
     found = _windows(docs, width)
-    first = (
+    first = cut(
         found.groupBy("_a", "_b")
         .agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_th", "_pos")).alias("_first"))
         .filter("_n > 1")
-        .select("_a", "_b", "_first")
+        .select("_a", "_b", "_first"),
+        "repeated-windows",
     )
     later = found.join(first, ["_a", "_b"]).filter(
         ~F.struct("_id", "_th", "_pos").eqNullSafe(F.col("_first"))

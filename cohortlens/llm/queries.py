@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortlens.llm import sql
 from cohortlens.llm.common import table
 from cohortlens.llm.decontamination import decontamination_digest
+from cohortlens.llm.embedding_dedup import embedding_digest
+from cohortlens.llm.language_model import language_model_digest
 from cohortlens.llm.licenses import license_digest
 from cohortlens.llm.line_dedup import line_dedup_digest
 from cohortlens.llm.mixing import mixing_digest
@@ -21,6 +23,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_digest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding_digest(table(spark, sf_dir, "documents"))
 
@@ -33,6 +39,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_digest(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -51,9 +61,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity,
+        op3_embedding_dedup,
         op4_sharding,
         op5_licenses,
         op6_mixing,
+        op7_language_model,
         op8_decontamination,
         op9_simhash,
         op10_line_dedup,
@@ -61,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_embedding_dedup": sql.EMBEDDING_DEDUP,
     "op6_mixing": sql.MIXING,
     "op8_decontamination": sql.DECONTAMINATION,
     "op10_line_dedup": sql.LINE_DEDUP,

@@ -178,7 +178,8 @@ def fingerprint_links(prints: DataFrame, bits: int = BITS, piece: int = PIECE) -
         raise ValueError("the keys hold for at most 3 differing bits")
     keys = cut(candidate_keys(prints), "simhash-keys")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    cuts = sizes.select(F.col("key"), F.ceil(F.col("n") / piece).cast("int").alias("g"))
+    # A table of its own, so that the join may split a key with many fingerprints.
+    cuts = cut(sizes.select("key", F.ceil(F.col("n") / piece).cast("int").alias("g")), "simhash-sizes")
     own = F.pmod(F.xxhash64("print"), F.col("g")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
     placed = (
@@ -213,7 +214,7 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame
 def simhash_digest(docs: DataFrame) -> DataFrame:
     """Per document: fingerprint as 16 hex digits and the smallest doc_id of its group."""
     rows = cut(near_duplicate_classes(docs), "simhash-classes")
-    ids = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    ids = cut(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "simhash-ids")
     return rows.join(ids, "root").select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
     )

@@ -94,3 +94,25 @@ SELECT doc_id, len(l)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_re
     coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
 FROM docs LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+EMBEDDING_DEDUP = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b
+    FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+    SELECT a AS x, a AS y FROM links
+    UNION
+    SELECT r.x, l.b FROM reach r JOIN links l ON r.y = l.a
+), found AS (
+    SELECT x, min(y) AS y FROM reach GROUP BY x
+), degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(y, vec_id) AS component_id,
+    coalesce(y, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN found ON x = vec_id LEFT JOIN degrees ON a = vec_id
+"""
