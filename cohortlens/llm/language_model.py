@@ -23,18 +23,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import cut, id_text, new_folder, packed, text_bytes
-from cohortlens.llm.shared_arrays import map_array, pack, save_array, summed, unpack
-
-#: Bytes of text for each bucket of counts, of text taken in one go, and entries held.
+from cohortlens.llm.shared_arrays import (
+    BUCKET_ROWS,
+    BucketCounter,
+    bucket_row,
+    map_array,
+    merged_rows,
+    range_bucket,
+    save_array,
+    summed,
+)
+
+#: Bytes of text for each bucket of counts, and of text taken in one go.
 BUCKET_BYTES = 32 << 20
 CHUNK_BYTES = 4 << 20
-HELD = 3_000_000
 #: A line break is in no word, so this hash stands for the end of a text.
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 
-_ROWS = "kind string, bucket int, data binary"
-
-
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows never learned from: crc32 of the id as text, mod 7, is 2."""
     return F.pmod(F.crc32(id_text(doc_id).cast("binary")), F.lit(7)) == 2
@@ -64,57 +69,9 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), sizes
 
 
-def _range_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket by hash range: rises with the hash."""
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
 def _pair_bucket(pairs: np.ndarray, buckets: int) -> np.ndarray:
     mixed = pairs * np.uint64(0x9E3779B97F4A7C15)
-    return _range_bucket(mixed ^ (mixed >> np.uint64(29)), buckets)
-
-
-class _Counter:
-    """Adds up keys, and hands them out by bucket when it holds many."""
-
-    def __init__(self, kind: str, bucket_of, buckets: int) -> None:
-        self.kind, self.bucket_of, self.buckets = kind, bucket_of, buckets
-        self.held: list[list[np.ndarray]] = []
-        self.size = 0
-
-    def add(self, keys: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append([keys, *columns])
-        self.size += len(keys)
-        if self.size >= HELD:
-            self._merge()
-            if self.size >= HELD // 2:
-                yield from self.flush()
-
-    def _merge(self) -> None:
-        self.held = [summed(*[np.concatenate(c) for c in zip(*self.held, strict=True)])]
-        self.size = len(self.held[0][0])
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.size:
-            return
-        self._merge()
-        keys, *columns = self.held[0]
-        self.held, self.size = [], 0
-        bucket = self.bucket_of(keys, self.buckets)
-        order = np.argsort(bucket, kind="stable")
-        ends = np.cumsum(np.bincount(bucket, minlength=self.buckets))
-        for b, (begin, end) in enumerate(zip([0, *ends], ends, strict=False)):
-            if end > begin:
-                own = order[begin:end]
-                data = pack(keys[own], *[c[own] for c in columns])
-                yield _row(self.kind, b, data)
-
-
-def _row(kind: str, bucket: int, data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([kind]), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())],
-        ["kind", "bucket", "data"],
-    )
+    return range_bucket(mixed ^ (mixed >> np.uint64(29)), buckets)
 
 
 @dataclass
@@ -142,7 +99,7 @@ class Words:
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number, count) of each hash; -1 and 0 for unknown ones. ``hashes`` is sorted."""
         number, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        bucket = _range_bucket(hashes, self.buckets)
+        bucket = range_bucket(hashes, self.buckets)
         for b in np.unique(bucket):
             if not self.sizes[b]:
                 continue
@@ -156,7 +113,7 @@ class Words:
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    counter = _Counter("word", _range_bucket, buckets)
+    counter = BucketCounter("word", range_bucket, buckets)
     for batch in batches:
         for texts in _chunks(batch.column(0).to_pylist()):
             keys, counts = np.unique(_tokens(texts)[0], return_counts=True)
@@ -164,22 +121,17 @@ def _word_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.R
     yield from counter.flush()
 
 
-def _merged(rows: pd.DataFrame) -> list[np.ndarray]:
-    parts = [unpack(d) for d in rows["data"]]
-    return summed(*[np.concatenate(c) for c in zip(*parts, strict=True)])
-
-
 def count_words(texts: DataFrame, folder: str, buckets: int) -> Words:
     """Counts of all training tokens, written by hash range. ``texts`` has one binary column."""
 
     def write(rows: pd.DataFrame) -> pd.DataFrame:
         bucket = int(rows["bucket"].iloc[0])
-        keys, counts = _merged(rows)
+        keys, counts = merged_rows(rows)
         save_array(f"{folder}/words-{bucket}", keys)
         save_array(f"{folder}/counts-{bucket}", counts)
         return pd.DataFrame({"bucket": [bucket], "n": [len(keys)], "total": [counts.sum()]})
 
-    rows = texts.mapInArrow(lambda b: _word_rows(b, buckets), _ROWS)
+    rows = texts.mapInArrow(lambda b: _word_rows(b, buckets), BUCKET_ROWS)
     found = rows.groupBy("bucket").applyInPandas(write, "bucket int, n bigint, total bigint").collect()
     sizes = np.zeros(buckets, np.int64)
     for r in found:
@@ -207,7 +159,7 @@ def _joined(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def _pair_rows(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[pa.RecordBatch]:
-    counter = _Counter("pair", _pair_bucket, words.buckets)
+    counter = BucketCounter("pair", _pair_bucket, words.buckets)
     for batch in batches:
         for texts in _chunks(batch.column(0).to_pylist()):
             u, v, _, _ = _pairs(texts, words)
@@ -231,7 +183,7 @@ def _place_bucket(words: Words):
 def _pair_part(rows: pd.DataFrame, words: Words) -> Iterator[pa.RecordBatch]:
     """Write one part of the bigram counts; send on what it says of words and contexts."""
     bucket = int(rows["bucket"].iloc[0])
-    keys, counts = _merged(rows)
+    keys, counts = merged_rows(rows)
     save_array(f"{words.folder}/pairs-{bucket}", keys)
     save_array(f"{words.folder}/pair_counts-{bucket}", counts.astype(np.uint32))
     u, v = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
@@ -239,11 +191,11 @@ def _pair_part(rows: pd.DataFrame, words: Words) -> Iterator[pa.RecordBatch]:
     yield from _sent("left", words, left, distinct.astype(np.int64))
     kinds = [(counts == 1), (counts == 2), (counts >= 3)]
     yield from _sent("context", words, *summed(u, counts, *[k.astype(np.int64) for k in kinds]))
-    yield _row("seen", bucket, _count_of_counts(counts).astype(np.int64).tobytes())
+    yield bucket_row("seen", bucket, _count_of_counts(counts).astype(np.int64).tobytes())
 
 
 def _sent(kind: str, words: Words, keys: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    counter = _Counter(kind, _place_bucket(words), words.buckets)
+    counter = BucketCounter(kind, _place_bucket(words), words.buckets)
     yield from counter.add(keys, *columns)
     yield from counter.flush()
 
@@ -256,11 +208,11 @@ def _word_part(rows: pd.DataFrame, words: Words) -> pd.DataFrame:
     left, context = np.zeros(size, np.int64), np.zeros((size, 4), np.int64)
     own = rows[rows["kind"] == "left"]
     if len(own):
-        keys, n = _merged(own)
+        keys, n = merged_rows(own)
         left[keys.astype(np.int64) - start] = n
     own = rows[rows["kind"] == "context"]
     if len(own):
-        keys, *columns = _merged(own)
+        keys, *columns = merged_rows(own)
         context[keys.astype(np.int64) - start] = np.stack(columns, axis=1)
     save_array(f"{words.folder}/left-{bucket}", left)
     save_array(f"{words.folder}/context-{bucket}", context)
@@ -368,8 +320,8 @@ def train(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> KneserNey:
     def pair_parts(rows: pd.DataFrame) -> pd.DataFrame:
         return pa.Table.from_batches(list(_pair_part(rows, words))).to_pandas()
 
-    rows = texts.mapInArrow(lambda b: _pair_rows(b, words), _ROWS)
-    sent = cut(rows.groupBy("bucket").applyInPandas(pair_parts, _ROWS), "kneser-ney-sums")
+    rows = texts.mapInArrow(lambda b: _pair_rows(b, words), BUCKET_ROWS)
+    sent = cut(rows.groupBy("bucket").applyInPandas(pair_parts, BUCKET_ROWS), "kneser-ney-sums")
     seen = np.zeros(4, np.int64)
     for r in sent.filter("kind = 'seen'").select("data").toLocalIterator():
         seen += np.frombuffer(bytes(r["data"]), np.int64)

@@ -16,6 +16,7 @@ from cohortlens.llm.line_dedup import line_dedup_digest
 from cohortlens.llm.mixing import mixing_digest
 from cohortlens.llm.sharding import sharding_digest
 from cohortlens.llm.simhash import simhash_digest
+from cohortlens.llm.suffix_dedup import suffix_dedup_digest
 from cohortlens.llm.toxicity import toxicity_digest
 
 
@@ -23,6 +24,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_digest(table(spark, sf_dir, "embeddings"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity,
+        op2_suffix_dedup,
         op3_embedding_dedup,
         op4_sharding,
         op5_licenses,

@@ -1,4 +1,4 @@
-"""Arrays that tasks write to the shared folder and other tasks memory-map."""
+"""Counts that tasks send by bucket, and arrays in the shared folder that tasks memory-map."""
 
 from __future__ import annotations
 
@@ -6,12 +6,20 @@ import os
 import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlsplit
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyarrow import fs
 
+#: Entries that a counter holds before it hands them out.
+HELD = 3_000_000
+
+BUCKET_ROWS = "kind string, bucket int, data binary"
+
 
 def local_path(uri: str) -> str | None:
     """Path of a ``file:`` URI or plain path; None for other stores."""
@@ -80,3 +88,56 @@ def summed(keys: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
     keys = keys[order]
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return [keys[begin], *[np.add.reduceat(c[order], begin) for c in columns]]
+
+
+def range_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket by hash range: rises with the hash."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def bucket_row(kind: str, bucket: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([kind]), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())],
+        ["kind", "bucket", "data"],
+    )
+
+
+def merged_rows(rows: pd.DataFrame) -> list[np.ndarray]:
+    """Distinct keys and sums of the packed rows of a bucket."""
+    parts = [unpack(d) for d in rows["data"]]
+    return summed(*[np.concatenate(c) for c in zip(*parts, strict=True)])
+
+
+class BucketCounter:
+    """Adds up keys, and hands them out by bucket when it holds many."""
+
+    def __init__(self, kind: str, bucket_of: Callable, buckets: int) -> None:
+        self.kind, self.bucket_of, self.buckets = kind, bucket_of, buckets
+        self.held: list[list[np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append([keys, *columns])
+        self.size += len(keys)
+        if self.size >= HELD:
+            self._merge()
+            if self.size >= HELD // 2:
+                yield from self.flush()
+
+    def _merge(self) -> None:
+        self.held = [summed(*[np.concatenate(c) for c in zip(*self.held, strict=True)])]
+        self.size = len(self.held[0][0])
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        self._merge()
+        keys, *columns = self.held[0]
+        self.held, self.size = [], 0
+        bucket = self.bucket_of(keys, self.buckets)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.cumsum(np.bincount(bucket, minlength=self.buckets))
+        for b, (begin, end) in enumerate(zip([0, *ends], ends, strict=False)):
+            if end > begin:
+                own = order[begin:end]
+                yield bucket_row(self.kind, b, pack(keys[own], *[c[own] for c in columns]))
