@@ -36,9 +36,10 @@ LENGTH = 400
 PIECE = 32
 #: Windows taken in one go; a longer text is taken in parts.
 PART = 1 << 20
-#: Bytes of text for each bucket of anchor hashes, and of segments for each shard.
+#: Bytes of text for each bucket of anchor hashes, and of segments (with second copies)
+#: for each shard. Sorting takes about 50 bytes of memory a byte.
 BUCKET_BYTES = 128 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 24) - 1)
@@ -263,7 +264,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         .withColumn("cid", F.monotonically_increasing_id()),
         "suffix-contents",
     )
-    total = contents.agg(F.sum("len")).first()[0] or 0
+    total = contents.agg(F.sum(F.col("len") * F.least("n", F.lit(2)))).first()[0] or 0
     _write_representatives(contents, folder, buckets, max(1, -(-total // SHARD_BYTES)))
     texts = rows.select(F.xxhash64("id", "hash").alias("doc"), "hash", "text").mapInArrow(
         lambda b: _content_rows(b, folder, buckets), "shard int, cid bigint, n bigint, text binary"
