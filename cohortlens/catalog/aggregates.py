@@ -11,6 +11,7 @@ from cohortlens.operators.distincts import distinct_by_flags
 from cohortlens.operators.firsts import first_per_key, top_rows
 from cohortlens.operators.funnel import two_sided_funnel
 from cohortlens.operators.matching import both_roles
+from cohortlens.operators.running import running_totals
 from cohortlens.operators.running import running_sums
 
 
@@ -71,11 +72,10 @@ SELECT user_group, hour_kst, user_cnt, focus_cnt,
 FROM (SELECT CAST(user1_id % 2 AS BIGINT) AS user_group, hour_kst, count(DISTINCT user1_id) AS user_cnt,
     count(CASE WHEN rcmd_type = 80 THEN 1 END) AS focus_cnt,
     count(CASE WHEN rcmd_type = 80 AND like_time IS NOT NULL THEN 1 END) AS liked
-  FROM log WHERE channel_id <> 21 GROUP BY 1, 2 HAVING count(DISTINCT user1_id) > 5)"""))
+  FROM log GROUP BY 1, 2 HAVING count(DISTINCT user1_id) > 5)"""))
 def ratio_having(spark, sf):
     focus = F.col("rcmd_type") == 80
-    log = s.event_log(spark, sf).filter(F.col("channel_id") != 21)
-    per_user = log.groupBy("user1_id", "hour_kst").agg(
+    per_user = s.event_log(spark, sf).groupBy("user1_id", "hour_kst").agg(
         count_when(focus).alias("focus_cnt"),
         count_when(focus & F.col("like_time").isNotNull()).alias("liked"),
     )
@@ -229,7 +229,7 @@ SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)
     OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS purchases
 FROM events""")
 def running_totals_query(spark, sf):
-    return s.running_totals(
+    return running_totals(
         s.table(spark, sf, "events"),
         ["user_id"],
         [F.asc("ts"), F.asc("event_id")],

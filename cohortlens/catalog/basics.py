@@ -19,7 +19,7 @@ def _with_approval(spark, sf):
         F.col("id").alias("user1_id"), "first_approval_time", "approval_time"
     )
     log = s.event_log(spark, sf).select("event_id", "user1_id", "registered_time", "joined_time")
-    return s.skew_join(log, users, ["user1_id"], ["event_id"])
+    return log.join(users, "user1_id")
 
 
 _WITH_APPROVAL = """with_approval AS (
@@ -150,7 +150,7 @@ def cte_reuse(spark, sf):
     cohort = events.groupBy("user_id").agg(
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     )
-    joined = s.skew_join(events, cohort, ["user_id"], ["event_id"])
+    joined = events.join(cohort, "user_id")
     early = F.expr("ts < first_ts + INTERVAL '7' DAY")
     late = F.expr("event_type = 'purchase' AND ts > last_ts - INTERVAL '7' DAY")
     branches = joined.groupBy("user_id").agg(

@@ -8,7 +8,6 @@ from cohortlens.catalog import standins as s
 from cohortlens.catalog.registry import query
 from cohortlens.operators import matching as m
 from cohortlens.operators.distincts import distinct_by_flags
-from cohortlens.operators.skew import skew_join
 from cohortlens.plans.reward_cohort import used_coupons
 from cohortlens.sources.grids import with_grid
 
@@ -23,7 +22,7 @@ def computed_key_join(spark, sf):
     places = s.table(spark, sf, "supplier").select(
         F.col("s_suppkey").cast("string").alias("_place"), F.col("s_name").alias("place_title")
     )
-    return skew_join(channels, places, ["_place"], ["c_custkey"], "left").drop("_place")
+    return channels.join(places, "_place", "left").drop("_place")
 
 
 @query("chained_left_join", """
@@ -50,9 +49,7 @@ FROM (SELECT id AS coupon_id, source_id, assigned_user_id AS user_id FROM code
 LEFT JOIN (SELECT id AS source_id, coupon_name, source_channel FROM coupon_source) d USING (source_id)"""))
 def using_join(spark, sf):
     sources = s.coupon_source(spark, sf).withColumnRenamed("id", "source_id")
-    return skew_join(
-        used_coupons(s.coupon_code(spark, sf)), sources, ["source_id"], ["coupon_id"], "left"
-    )
+    return used_coupons(s.coupon_code(spark, sf)).join(sources, "source_id", "left")
 
 
 def _pair_state(spark, sf):
@@ -88,7 +85,7 @@ LEFT JOIN state rr ON rc.user1_id = rr.user1_id AND rc.user2_id = rr.user2_id
 def theta_residual_join(spark, sf):
     residual = (F.col("hour_kst") == F.col("rr_hour")) & (F.col("rcmd_type") != F.col("rr_type"))
     return m.left_with_residual(
-        _log_keys(spark, sf), _pair_state(spark, sf), ["user1_id", "user2_id"], residual, ["event_id"]
+        _log_keys(spark, sf), _pair_state(spark, sf), ["user1_id", "user2_id"], residual
     ).select("event_id", "hour_kst", "rcmd_type", "rr_request", "rr_type")
 
 
@@ -100,8 +97,8 @@ LEFT JOIN state b ON rc.user1_id = b.user1_id AND rc.user2_id = b.user2_id
   AND rc.hour_kst = b.rr_hour AND rc.date_ymd_kst = b.rr_date"""))
 def self_eq_join(spark, sf):
     same_hour = F.col("hour_kst") == F.col("rr_hour")
-    joined = skew_join(
-        _log_keys(spark, sf), _pair_state(spark, sf), ["user1_id", "user2_id"], ["event_id"], "left"
+    joined = _log_keys(spark, sf).join(
+        _pair_state(spark, sf), ["user1_id", "user2_id"], "left"
     )
     return joined.select(
         "event_id",
@@ -133,7 +130,7 @@ WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' A
 def anti_join(spark, sf):
     events = s.table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
     payers = events.filter((F.col("event_type") == "purchase") & (F.col("value") >= 100))
-    return m.without_keys(events.drop("value"), payers, "user_id", ["event_id"])
+    return m.without_keys(events.drop("value"), payers, "user_id")
 
 
 @query("merge_suffix", s.with_inputs(s.PEOPLE_SQL, s.EXTRACTS_SQL, body="""

@@ -8,22 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from cohortlens.functions.times import to_kst
 from cohortlens.operators.running import running_totals
-from cohortlens.operators.skew import hot_keys, skew_join
-
-
-_SCHEMAS: dict[str, StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; its footer is read for the schema once, not at every use."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _after(ts: str, interval: str) -> Column:
@@ -114,21 +106,7 @@ def recommendation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     second = who.select(F.col("id").alias("user2_id"), F.col("gender").alias("user2_gender"))
     log = event_log(spark, sf_dir)
-    one = skew_join(log, first, ["user1_id"], ["event_id"], "left")
-    return skew_join(
-        one,
-        second,
-        ["user2_id"],
-        ["event_id"],
-        "left",
-        lambda: hot_keys(log, ["user2_id"], ["event_id"]),
-    )
-
-
-def hot_viewers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hot first users of the log, found in the raw events."""
-    events = table(spark, sf_dir, "events")
-    return hot_keys(events, ["user_id"], ["event_id"])
+    return log.join(first, "user1_id", "left").join(second, "user2_id", "left")
 
 
 FULL_LOG_SQL = """full_log AS (
@@ -337,14 +315,6 @@ def _user_group() -> Column:
     return F.when(F.col("user_id") % 2 == 0, "A").otherwise("B")
 
 
-def hot_spenders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hot (group, user) keys of the usage log, found in the raw events."""
-    events = table(spark, sf_dir, "events").select(
-        _user_group().alias("user_group"), _user_hash().alias("ci_hash"), "event_id"
-    )
-    return hot_keys(events, ["user_group", "ci_hash"], ["event_id"])
-
-
 def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered actions per user with purchases, spend, use type and description."""
     kind, value = F.col("event_type"), F.col("value")
@@ -358,15 +328,7 @@ def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"action_num": F.lit(1), "purchases": F.when(paid, 1).otherwise(0)},
     )
     who = people(spark, sf_dir).select(F.col("id").alias("user_id"), "relative_score", "c_mktsegment")
-    joined = skew_join(
-        numbered,
-        who,
-        ["user_id"],
-        ["event_id"],
-        "left",
-        lambda: hot_keys(events, ["user_id"], ["event_id"]),
-    )
-    return joined.select(
+    return numbered.join(who, "user_id", "left").select(
         _user_hash().alias("ci_hash"),
         F.when(F.col("c_mktsegment") == "HOUSEHOLD", 1).otherwise(0).alias("get_referral_reward"),
         "relative_score",
@@ -398,9 +360,7 @@ usage_log AS (
 
 def _scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = people(spark, sf_dir).select(F.col("id").alias("o_custkey"), "relative_score")
-    return skew_join(
-        table(spark, sf_dir, "orders"), score, ["o_custkey"], ["o_orderkey"], "left"
-    )
+    return table(spark, sf_dir, "orders").join(score, "o_custkey", "left")
 
 
 def exposure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,14 @@ def flag_bit(mask: str, position: int) -> str:
     return f"shiftright({mask}, {position}) & 1"
 
 
+def flag_masks(flags: Mapping[str, str]) -> list[Column]:
+    """As many masks as the flags need, ``MAX_FLAGS`` in each."""
+    named = list(flags.items())
+    return [
+        flag_mask(dict(named[i : i + MAX_FLAGS])) for i in range(0, len(named), MAX_FLAGS)
+    ]
+
+
 def distinct_by_flags(
     rows: DataFrame,
     keys: Sequence[str],
@@ -39,8 +47,14 @@ def distinct_by_flags(
     by its counted values. The NULL test is in the mask: a group that has only NULL
     values stays, with zeros.
     """
-    mask = F.when(F.col(counted).isNotNull(), flag_mask(flags)).otherwise(0)
-    per_value = rows.groupBy(*keys, counted).agg(F.bit_or(mask).alias("_mask"))
+    known = F.col(counted).isNotNull()
+    per_value = rows.groupBy(*keys, counted).agg(
+        *[
+            F.bit_or(F.when(known, mask).otherwise(0)).alias(f"_mask{i}")
+            for i, mask in enumerate(flag_masks(flags))
+        ]
+    )
+    bits = [flag_bit(f"_mask{i // MAX_FLAGS}", i % MAX_FLAGS) for i in range(len(flags))]
     return per_value.groupBy(*keys).agg(
-        *[F.expr(f"sum({flag_bit('_mask', i)})").alias(n) for i, n in enumerate(flags)]
+        *[F.expr(f"sum({bit})").alias(n) for bit, n in zip(bits, flags, strict=True)]
     )

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators.distincts import flag_bit, flag_mask
-from cohortlens.operators.matching import both_roles
-from cohortlens.operators.skew import skew_join
 
 # Windows in hours since first approval, and the recommendation
 # types and channel whose profile opens do not count.
@@ -45,7 +41,6 @@ def two_sided_funnel(
     late: tuple[int, int] = LATE_WINDOW,
     special_types: list[int] = SPECIAL_TYPES,
     excluded_channel: int = EXCLUDED_CHANNEL,
-    hot: Callable[[], DataFrame] | None = None,
 ) -> DataFrame:
     """Distinct counterparts per stage for cohort users, as receiver and as candidate.
 
@@ -56,13 +51,12 @@ def two_sided_funnel(
     late window as well. So each window is a pair of instants per cohort user, and
     rows only compare times.
 
-    The log is read once: each row is viewed from both sides, joined to the cohort
-    with hot users cut up, reduced to one mask of flags per (user, side, counterpart),
-    and the bits are summed.
+    The log is joined to the cohort once on either side, so that rows of other users
+    are gone before anything is stacked; then it is reduced to one mask of flags per
+    (user, side, counterpart), and the bits are summed.
     """
     if short < 0 or ten_days < 0 or late[0] < 1:
         raise ValueError("windows must be 0 hours or more, and the late one start at 1 or more")
-    both = both_roles(log, "user1_id", "user2_id", _USED)
     bounds = cohort.select(
         "user_id",
         _elapsed(short + 1).alias("short_end"),
@@ -70,9 +64,17 @@ def two_sided_funnel(
         _elapsed(late[0]).alias("late_start"),
         _elapsed(late[1] + 1).alias("late_end"),
     )
-    joined = skew_join(
-        both, bounds, ["user_id"], ["role", "other_id", "registered_time"], "inner", hot
-    )
+
+    def seen_from(own: str, other: str, role: int) -> DataFrame:
+        return log.join(bounds.withColumnRenamed("user_id", own), own).select(
+            F.col(own).alias("user_id"),
+            F.col(other).alias("other_id"),
+            F.lit(role).alias("role"),
+            *_USED,
+            *[c for c in bounds.columns if c != "user_id"],
+        )
+
+    joined = seen_from("user1_id", "user2_id", 1).unionByName(seen_from("user2_id", "user1_id", 2))
     types = ", ".join(str(t) for t in special_types)
     plain = f"rcmd_type NOT IN ({types}) AND channel_id <> {excluded_channel}"
     flags = {

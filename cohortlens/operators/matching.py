@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators.skew import skew_join
-
 
 def existence_flag(df: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
     """``df`` (one row per key) with ``flag`` = 1 where ``key`` occurs in ``keys``, else 0.
@@ -19,35 +17,24 @@ def existence_flag(df: DataFrame, keys: DataFrame, key: str, flag: str) -> DataF
     return df.join(known, key, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(0)))
 
 
-def without_keys(
-    rows: DataFrame,
-    keys: DataFrame,
-    key: str,
-    spread: Sequence[str],
-    hot: Callable[[], DataFrame] | None = None,
-) -> DataFrame:
+def without_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key does not occur in ``keys``; a NULL key occurs nowhere and stays."""
     known = keys.select(key).distinct().withColumn("_known", F.lit(True))
-    joined = skew_join(rows, known, [key], spread, "left", hot)
+    joined = rows.join(known, key, "left")
     return joined.filter(F.col("_known").isNull()).drop("_known")
 
 
 def left_with_residual(
-    rows: DataFrame,
-    per_key: DataFrame,
-    keys: Sequence[str],
-    residual: Column,
-    spread: Sequence[str],
-    hot: Callable[[], DataFrame] | None = None,
+    rows: DataFrame, per_key: DataFrame, keys: Sequence[str], residual: Column
 ) -> DataFrame:
     """Left join on ``keys`` and ``residual``, where ``per_key`` has one row per key.
 
     The residual (any condition over both sides; unknown counts as false) blanks the
-    right columns after an equality join. So the per-key aggregate is joined in the
-    partitioning it already has, and hot keys can be cut up.
+    right columns after an equality join, so the per-key aggregate is joined in the
+    partitioning it already has.
     """
     added = [c for c in per_key.columns if c not in keys]
-    joined = skew_join(rows, per_key, keys, spread, "left", hot)
+    joined = rows.join(per_key, list(keys), "left")
     return joined.withColumn("_met", residual).select(
         *rows.columns, *[F.when(F.col("_met"), F.col(c)).alias(c) for c in added]
     )
@@ -64,9 +51,7 @@ def merge_renamed(
     key: str,
     columns: Sequence[str],
     suffix: str,
-    spread: Sequence[str],
     how: str = "left",
-    hot: Callable[[], DataFrame] | None = None,
 ) -> DataFrame:
     """Join a column subset of ``right``; only names that ``left`` has too get ``suffix``.
 
@@ -75,7 +60,7 @@ def merge_renamed(
     picked = right.select(
         key, *[F.col(c).alias(c + suffix if c in left.columns else c) for c in columns]
     )
-    return skew_join(left, picked, [key], spread, how, hot)
+    return left.join(picked, key, how)
 
 
 def both_roles(df: DataFrame, first: str, second: str, columns: Sequence[str]) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators.skew import skew_join
-
 # The use type that was renamed, and its new name.
 RENAMED_USE_TYPE = ("타임어택", "친구 신청")
 
@@ -31,27 +29,18 @@ def label_periods(
     user: str,
     steps: tuple[int, int] = (10, 20),
     every: bool = False,
-    hot: Callable[[], DataFrame] | None = None,
 ) -> DataFrame:
     """Usage rows (quantity <= 0) with ``period`` and a positive ``quantity``.
 
     ``pre`` before the first purchase, ``post_10``/``post_20`` (named by ``steps``)
     for the actions after it, ``non`` for users who never purchased. The purchase
     itself, later actions and rows without a user have no period and are left out.
-    ``hot`` finds the hot (group, user) keys, see ``skew_join``.
     """
     near, far = steps
     keys = [group, user]
     known = log.dropna(subset=keys)
     first = first_purchases(known, keys, every).withColumn("_payer", F.lit(True))
-    joined = skew_join(
-        known.filter(F.col("quantity") <= 0),
-        first,
-        keys,
-        ["action_num", "quantity"],
-        "left",
-        hot,
-    )
+    joined = known.filter(F.col("quantity") <= 0).join(first, keys, "left")
     action, start = F.col("action_num"), F.col("first_action")
     period = (
         F.when(F.col("_payer").isNull(), "non")

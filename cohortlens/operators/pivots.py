@@ -55,10 +55,15 @@ def usage_pivot(
     ``frame`` (a subset of ``keys``) marks what would be separate tables stacked on
     each other: within a frame an absent cell is 0, but a label that never occurs in
     the frame is NULL. What occurs is read off the wide rows, one row per frame; there
-    are as many frames as there would be tables, so that side is broadcast.
+    are as many frames as there would be tables, so that side is broadcast. A cell
+    whose label has no column is an error.
     """
+    missing = F.raise_error(F.concat(F.lit("no column for the label "), F.col(label)))
+    known = cells.dropna(subset=[label, *keys]).withColumn(
+        label, F.when(F.col(label).isin(list(labels)), F.col(label)).otherwise(missing)
+    )
     wide = (
-        cells.dropna(subset=[label, *keys]).groupBy(*keys).pivot(label, list(labels)).agg(F.sum(value))
+        known.groupBy(*keys).pivot(label, list(labels)).agg(F.sum(value))
     )
     named = wide.toDF(*keys, *[f"_v{i}" for i in range(len(labels))])
     occurs = named.groupBy(*frame).agg(

@@ -9,16 +9,19 @@ from pyspark.sql import functions as F
 
 STEPS = 16_384
 _LOWEST_EXPONENT = -1075
+_LAST_SLICE = 1 << 40
 
 
 def value_counts(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(``keys``, ``_x``, ``_n``): how often each value occurs in each group.
 
-    Rows with a NULL value or a NULL key are in no group.
+    Rows with a NULL or NaN value or a NULL key are in no group.
     """
+    x = F.col(value).cast("double")
     return (
         rows.dropna(subset=[*keys, value])
-        .groupBy(*keys, F.col(value).cast("double").alias("_x"))
+        .filter(~F.isnan(x))
+        .groupBy(*keys, x.alias("_x"))
         .agg(F.count("*").alias("_n"))
     )
 
@@ -27,19 +30,29 @@ def magnitude_slice(x: Column) -> Column:
     """Slice number that never decreases as ``x`` grows, ``STEPS`` slices per power of two.
 
     It needs no knowledge of the value range, and a few huge values do not push all
-    others into one slice. Whole numbers up to ``STEPS`` have a slice each.
+    others into one slice. Whole numbers up to ``STEPS`` have a slice each, infinities
+    the first and the last.
     """
-    size = F.abs(x)
+    infinite = F.abs(x) == float("inf")
+    size = F.when(~infinite, F.abs(x)).otherwise(1.0)
     exponent = F.floor(F.log2(size))
     step = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * STEPS)
     number = (exponent - _LOWEST_EXPONENT) * STEPS + step
+    number = F.when(infinite, F.lit(_LAST_SLICE)).otherwise(number)
     return F.when(x == 0, 0).when(x > 0, number).otherwise(-number).cast("bigint")
 
 
-def _sliced(counts: DataFrame) -> DataFrame:
-    # Not NULL by type, so that no NULL test is pushed into one of the two uses of the
-    # counts only: both then read the same shuffled counts.
-    return counts.withColumn("_slice", F.coalesce(magnitude_slice(F.col("_x")), F.lit(0)))
+def _sliced(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counts with the slice of each value's distance from its group's least finite value.
+
+    Values that are close together relative to their size so get many slices.
+    """
+    finite = F.when(F.abs("_x") < float("inf"), F.col("_x"))
+    least = counts.groupBy(*keys).agg(F.coalesce(F.min(finite), F.lit(0.0)).alias("_least"))
+    # Not NULL by type, so that no NULL test is pushed into one of the uses of the
+    # counts only: all then read the same shuffled counts.
+    placed = F.coalesce(magnitude_slice(F.col("_x") - F.col("_least")), F.lit(0))
+    return counts.join(F.broadcast(least), list(keys)).withColumn("_slice", placed).drop("_least")
 
 
 def exact_quantiles(
@@ -64,7 +77,7 @@ def quantiles_of_counts(
     slices are ranked, each slice on its own.
     """
     keys = list(keys)
-    placed = _sliced(counts)
+    placed = _sliced(counts, keys)
 
     whole = Window.partitionBy(*keys)
     so_far = whole.orderBy("_slice")
@@ -110,7 +123,8 @@ def _position(p: float) -> Column:
 
 def _between(i: int, p: float) -> Column:
     low, high = F.col(f"_a{i}"), F.col(f"_b{i}")
-    return low + (high - low) * (_position(p) - F.floor(_position(p)))
+    between = low + (high - low) * (_position(p) - F.floor(_position(p)))
+    return F.when(low == high, low).otherwise(between)
 
 
 def _ranks_within(probs: Sequence[float], start: Column, end: Column) -> Column:

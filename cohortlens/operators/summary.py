@@ -20,14 +20,31 @@ def _long(df: DataFrame, columns: Sequence[str], as_type: str) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, sample deviation, minimum, exact quartiles and maximum."""
-    long = _long(df, columns, "double")
-    plain = long.groupBy("column_name").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    """Count, mean, sample deviation, minimum, exact quartiles and maximum.
+
+    NaN counts as missing. All but the quartiles come from one aggregate over the
+    wide rows; only the quartiles need a row for each cell.
+    """
+    numbers = df.select(
+        *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns]
+    )
+    long = _long(numbers, columns, "double")
+    measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    wide = numbers.agg(
+        *[f(c).alias(f"{name}_{i}") for i, c in enumerate(columns) for name, f in measures.items()]
+    )
+    plain = wide.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(c).alias("column_name"),
+                        *[F.col(f"{name}_{i}").alias(name) for name in measures],
+                    )
+                    for i, c in enumerate(columns)
+                ]
+            )
+        )
     )
     quartiles = exact_quantiles(long, ["column_name"], "value", (0.25, 0.5, 0.75))
     return plain.join(quartiles.drop("n"), "column_name", "left").select(

@@ -37,7 +37,6 @@ def early_exposure_response(
         "user2_id",
         [RESPONSES],
         "_rr",
-        ["cumul_rcmd_users", "cumul_rcmd_response_users"],
     )
     return merged.na.fill({RESPONSES_RR: 0}) if fill else merged
 

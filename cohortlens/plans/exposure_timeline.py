@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.times import full_minutes, in_kst_days, time_bucket
 from cohortlens.operators.firsts import first_per_key
 from cohortlens.operators.running import running_sums
-from cohortlens.operators.skew import skew_join
 from cohortlens.sources.scans import date_partitions
 
 # Cohort days (KST), log days, bucket width, horizon and score bound.
@@ -49,7 +46,6 @@ def exposure_timeline(
     event_time: str = "impression_time",
     tagged: str = TAGGED,
     max_score: float = MAX_SCORE,
-    hot: Callable[[], DataFrame] | None = None,
 ) -> DataFrame:
     """One row per user and bucket ``0..horizon_min/width_min``, more where dates differ.
 
@@ -57,7 +53,7 @@ def exposure_timeline(
     user and plain counts are distinct counts, also when summed over buckets. Buckets
     run from ``approval_time`` to ``event_time``; a row without that time is in no
     bucket. ``event_time`` and ``tagged`` are SQL expressions over the log. Users without rows get the full grid of zeros.
-    ``users`` has one row per id. ``hot`` finds the hot users, see ``skew_join``.
+    ``users`` has one row per id.
 
     The cohort join comes first, so that rows of other users are gone before the log
     is sorted and shuffled by pair; it keeps or drops all rows of a pair together.
@@ -77,9 +73,7 @@ def exposure_timeline(
         .filter(F.col("user1_gender") == gender)
         .withColumnRenamed("user1_id", "user_id")
     )
-    joined = skew_join(
-        shown, cohort, ["user_id"], ["user2_id", "registered_time"], "inner", hot
-    )
+    joined = shown.join(cohort, "user_id")
     first = first_per_key(
         joined, ["user_id", "user2_id"], [F.asc_nulls_last("registered_time")]
     ).filter(F.col("user1_relative_score") < max_score)

@@ -12,7 +12,6 @@ from cohortlens.operators.distincts import distinct_by_flags
 from cohortlens.operators.funnel import two_sided_funnel
 from cohortlens.operators.matching import existence_flag
 from cohortlens.operators.retention import daily_screens, retention_flags
-from cohortlens.operators.skew import skew_join
 from cohortlens.sources.scans import date_partitions
 
 # Cohort bounds (KST clock), log days, screens and coupon name patterns.
@@ -29,8 +28,8 @@ COUPON_PATTERNS = {
     "counts_1d_am": "%바나프레소 아메리카노%",
     "counts_2d_am": "%아메리카노 1잔 2일차%",
     "counts_4d_cl": "%크리미라떼 1잔 4일차%",
-    "counts_7d_cl": "%크리미라떼 1잔 7일차%",
     "counts_7d_am": "%아메리카노 1잔 7일차%",
+    "counts_7d_cl": "%크리미라떼 1잔 7일차%",
 }
 
 
@@ -100,9 +99,7 @@ def coupon_use_by_pattern(
         F.col("id").alias("source_id"),
         *[F.col("coupon_name").like(p).alias(f"_is_{n}") for n, p in patterns.items()],
     )
-    named = skew_join(
-        used_coupons(code), matched, ["source_id"], ["coupon_id", "user_id"], "left"
-    )
+    named = used_coupons(code).join(matched, "source_id", "left")
     flags = {n: f"_is_{n}" for n in patterns}
     return distinct_by_flags(named, ["user_id"], "coupon_id", flags)
 

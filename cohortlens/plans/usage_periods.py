@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +17,6 @@ from cohortlens.sources.extracts import write_extract
 GROUPS = ("A", "B")
 GRADE_WIDTH = 10
 STEPS = (10, 20)
-MAX_LABELS = 10_000
 
 
 def without_referral(log: DataFrame) -> DataFrame:
@@ -34,16 +33,14 @@ def usage_before_after_purchase(
     groups: Sequence[str] = GROUPS,
     steps: tuple[int, int] = STEPS,
     every_purchase: bool = False,
-    hot: Callable[[], DataFrame] | None = None,
 ) -> DataFrame:
     """Long form: (group, user, period, use type, description) with ``freq`` and ``vol``.
 
     All groups and periods come from one labelling and one aggregation. Rows without
-    a description belong to no column and are left out. ``hot`` finds the hot
-    (group, user) keys, see ``skew_join``.
+    a description belong to no column and are left out.
     """
     kept = without_referral(log).filter(F.col(group).isin(list(groups)))
-    labelled = label_periods(kept, group, user, steps, every_purchase, hot)
+    labelled = label_periods(kept, group, user, steps, every_purchase)
     return (
         labelled.filter(F.col("description").isNotNull())
         .groupBy(group, user, "period", "use_type", "description")
@@ -87,21 +84,16 @@ def user_grades(log: DataFrame, user: str = "ci_hash") -> DataFrame:
 
 
 def occurring_labels(
-    usage: DataFrame, group: str = "user_group", limit: int = MAX_LABELS
+    usage: DataFrame, group: str = "user_group"
 ) -> dict[tuple[str, str], list[str]]:
     """The column labels of each (group, period), for pivots without a given list.
 
-    Labels become columns, so there can only be a limited number of them; more than
-    ``limit`` is an error, as it is for a pivot.
+    One row per frame reaches the driver, with the distinct labels, which become the
+    columns of its table; no row of the data does.
     """
     label = pair_label(F.col("use_type"), F.col("description"))
-    found = usage.select(group, "period", label).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} use type and description pairs")
-    labels: dict[tuple[str, str], list[str]] = {}
-    for row in found:
-        labels.setdefault((row[0], row[1]), []).append(row[2])
-    return {frame: sorted(names) for frame, names in sorted(labels.items())}
+    found = usage.groupBy(group, "period").agg(F.sort_array(F.collect_set(label)).alias("labels"))
+    return {(r[0], r[1]): r[2] for r in found.orderBy(group, "period").toLocalIterator()}
 
 
 def write_usage_extracts(
@@ -109,17 +101,19 @@ def write_usage_extracts(
     path: str,
     user: str = "ci_hash",
     group: str = "user_group",
-    hot: Callable[[], DataFrame] | None = None,
 ) -> None:
-    """All CSV extracts of the analysis under ``path``.
+    """All CSV extracts of the analysis under ``path``, in place of earlier ones.
 
     Per group and value (freq, vol): one directory with all periods stacked, and one
     per period with only the labels that occur in it; and the user grades. The long
-    form is written first and read back, so the log is processed once.
+    form is written first, by group and period, and read back, so the log is processed
+    once and each extract reads its own part; ``path`` must be on storage that the
+    driver and all executors share. One job is started for each extract.
     """
     long_path = f"{path}/usage_long"
-    usage_before_after_purchase(log, user, group, hot=hot).write.parquet(long_path)
-    usage = log.sparkSession.read.parquet(long_path)
+    long = usage_before_after_purchase(log, user, group)
+    long.write.mode("overwrite").partitionBy(group, "period").parquet(long_path)
+    usage = log.sparkSession.read.schema(long.schema).parquet(long_path)
     labels = occurring_labels(usage, group)
     for name in sorted({g for g, _ in labels}):
         periods = {p: found for (g, p), found in labels.items() if g == name}
@@ -127,8 +121,8 @@ def write_usage_extracts(
         for value in ("freq", "vol"):
             every = sorted({c for found in periods.values() for c in found})
             stacked = usage_wide(rows, value, every, user, group).drop(group)
-            write_extract(stacked, f"{path}/{name.lower()}_all_{value}_periods")
+            write_extract(stacked, f"{path}/{name.lower()}_all_{value}_periods", "overwrite")
             for period, found in periods.items():
                 one = usage_wide(rows.filter(F.col("period") == period), value, found, user, group)
-                write_extract(one.drop(group, "period"), f"{path}/{name.lower()}_{period}_{value}")
-    write_extract(user_grades(log, user), f"{path}/user_grade")
+                write_extract(one.drop(group, "period"), f"{path}/{name.lower()}_{period}_{value}", "overwrite")
+    write_extract(user_grades(log, user), f"{path}/user_grade", "overwrite")

@@ -13,14 +13,26 @@ def read_extract(
     spark: SparkSession,
     path: str,
     schema: StructType | str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """A headed CSV file or directory.
+    """A headed CSV file or directory; quotes inside quoted cells are doubled.
 
     ``schema`` is a ``StructType``, the name of a known extract, or None to infer
     the types (one more pass over the file). NaN cells become NULL, so that
-    NULL-aware operators treat them as missing. Columns are taken by header name.
+    NULL-aware operators treat them as missing. Columns are taken by header name. A
+    record with other cells than the header is an error. ``multi_line`` allows line
+    breaks in quoted cells, but makes each file one task; without it a large file is
+    split.
     """
-    reader = spark.read.option("header", True).option("nanValue", "NaN")
+    reader = spark.read.options(
+        header=True,
+        nanValue="NaN",
+        quote='"',
+        escape='"',
+        multiLine=multi_line,
+        mode="FAILFAST",
+        columnPruning=False,
+    )
     if schema is None:
         return nan_to_null(reader.option("inferSchema", True).csv(path))
     if isinstance(schema, str):
@@ -38,5 +50,8 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def write_extract(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A headed CSV directory, one file per task; nothing passes through the driver."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """A headed CSV directory, one file per task; nothing passes through the driver.
+
+    Quotes inside cells are doubled, as CSV readers expect.
+    """
+    df.write.mode(mode).options(header=True, quote='"', escape='"').csv(path)

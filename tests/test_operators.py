@@ -1,4 +1,4 @@
-"""Building blocks: skewed joins, distinct flags, running totals, quantiles, pivots."""
+"""Building blocks: joins, distinct flags, running totals, quantiles, pivots."""
 
 from __future__ import annotations
 
@@ -13,59 +13,29 @@ from cohortlens.operators.distincts import MAX_FLAGS, distinct_by_flags, flag_ma
 from cohortlens.operators.firsts import first_per_key, top_rows
 from cohortlens.operators.pivots import distinct_users_by_bin, mean_by, usage_pivot
 from cohortlens.operators.running import running_totals
-from cohortlens.operators.skew import hot_keys, skew_join
 from cohortlens.operators.summary import describe_all
 from cohortlens.sources.extracts import read_extract, write_extract
 from cohortlens.sources.scans import date_partitions, in_hours, snapshots
 from tests.conftest import rows_of
 
 
-def skewed(spark, n=3000):
-    """A third of the rows on key 1, another part on the NULL key."""
-    key = F.expr("CASE WHEN id % 3 = 0 THEN 1 WHEN id % 50 = 1 THEN NULL ELSE id % 40 END")
-    return spark.range(n).select(F.col("id").alias("row_id"), key.alias("k"))
-
-
-@pytest.mark.parametrize("how", ["inner", "left"])
-@pytest.mark.parametrize("hot_rows", [10, 100, 10**9])
-def test_skew_join_equals_plain_join(spark, no_broadcast, how, hot_rows):
-    rows = skewed(spark)
-    dim = spark.range(0, 60, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("x"))
-    got = skew_join(
-        rows, dim, ["k"], ["row_id"], how, lambda: hot_keys(rows, ["k"], ["row_id"], hot_rows, 1)
+def test_a_hot_key_is_split_at_run_time(spark, no_broadcast):
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    rows = spark.range(200_000).repartition(8).select(
+        F.col("id").alias("row_id"), F.expr("if(id % 5 < 3, 1, id % 40)").alias("k")
     )
-    assert "_part" in got._jdf.queryExecution().analyzed().toString()
-    want = rows.join(dim, "k", how)
-    assert rows_of(got, "row_id", "k", "x") == rows_of(want, "row_id", "k", "x")
-
-
-def test_small_tables_are_joined_without_a_probe(spark):
-    dim = spark.range(9).withColumnRenamed("id", "k")
-    got = skew_join(skewed(spark), dim, ["k"], ["row_id"])
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "_part" not in plan and "BroadcastHashJoin" in plan
-
-
-def test_hot_key_is_cut_into_even_parts(spark):
-    rows = skewed(spark)
-    hot = hot_keys(rows, ["k"], ["row_id"], hot_rows=100, probe=1)
-    parts = {r["_hot_k"]: r["_parts"] for r in hot.collect()}
-    assert set(parts) == {1} and parts[1] >= 10
-    dealt = rows.filter("k = 1").groupBy(F.pmod(F.xxhash64("row_id"), F.lit(parts[1]))).count()
-    sizes = [r["count"] for r in dealt.collect()]
-    assert max(sizes) < 2 * 100
-
-
-def test_hot_keys_do_not_depend_on_row_order(spark):
-    rows = skewed(spark)
-    a = hot_keys(rows, ["k"], ["row_id"], hot_rows=50, probe=4)
-    b = hot_keys(rows.repartition(7).orderBy(F.rand(3)), ["k"], ["row_id"], hot_rows=50, probe=4)
-    assert rows_of(a) == rows_of(b) != []
-
-
-def test_skew_join_rejects_other_types(spark):
-    with pytest.raises(ValueError):
-        skew_join(skewed(spark), skewed(spark), ["k"], ["row_id"], "full")
+    dim = spark.range(60).select(F.col("id").alias("k"), (F.col("id") * 10).alias("x"))
+    joined = m.merge_renamed(rows, dim, "k", ["x"], "_r").groupBy("k").agg(F.sum("x"))
+    joined.collect()
+    for key in settings:
+        spark.conf.unset(key)
+    assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
 
 
 def test_distinct_flags_keep_groups_with_only_null(frame):
@@ -205,21 +175,21 @@ def test_usage_pivot_zero_inside_a_frame_null_across(frame):
 def test_residual_join_blanks_but_keeps_rows(frame):
     rows = frame("id int, k int, h string", [(1, 1, "05"), (2, 1, "06"), (3, 2, None), (4, None, "05")])
     state = frame("k int, hh string, x int", [(1, "05", 9), (2, "05", 8)])
-    got = m.left_with_residual(rows, state, ["k"], F.col("h") == F.col("hh"), ["id"])
+    got = m.left_with_residual(rows, state, ["k"], F.col("h") == F.col("hh"))
     assert rows_of(got, "id", "hh", "x") == [(1, "05", 9), (2, None, None), (3, None, None), (4, None, None)]
 
 
 def test_merge_renames_only_what_overlaps(frame):
     left = frame("k int, a int, id int", [(1, 5, 1), (2, 6, 2), (None, 7, 3)])
     right = frame("k int, a int, b int", [(1, 50, 500), (None, 70, 700)])
-    got = m.merge_renamed(left, right, "k", ["a", "b"], "_rr", ["id"])
+    got = m.merge_renamed(left, right, "k", ["a", "b"], "_rr")
     assert set(got.columns) == {"k", "a", "id", "a_rr", "b"}
     assert rows_of(got, "k", "a", "a_rr", "b") == [(1, 5, 50, 500), (2, 6, None, None), (None, 7, None, None)]
 
 
 def test_without_keys_keeps_null(frame):
     rows = frame("id int, k int", [(1, 1), (2, 2), (3, None)])
-    assert rows_of(m.without_keys(rows, rows.filter("k = 1"), "k", ["id"]), "id") == [(2,), (3,)]
+    assert rows_of(m.without_keys(rows, rows.filter("k = 1"), "k"), "id") == [(2,), (3,)]
 
 
 def test_date_partitions_are_pruned(spark, tmp_path):
@@ -266,3 +236,49 @@ def test_csv_round_trip(spark, frame, tmp_path):
     want = [(1, 1.5, 10, 2.0), (2, None, 20, None), (3, None, None, 0.5)]
     assert rows_of(typed) == want and typed.dtypes == df.dtypes
     assert rows_of(inferred.select(*df.columns)) == want
+
+
+def test_more_flags_than_one_mask_holds(frame):
+    df = frame("k int, v int", [(1, i % 70) for i in range(140)])
+    got = distinct_by_flags(df, ["k"], "v", {f"f{i}": f"v <= {i}" for i in range(70)}).first()
+    assert [got[f"f{i}"] for i in range(70)] == [i + 1 for i in range(70)]
+
+
+def test_a_label_without_column_is_an_error(frame):
+    cells = frame("u int, period string, label string, v double", [(1, "p", "x", 1.0), (1, "p", "zz", 2.0)])
+    with pytest.raises(Exception, match="no column for the label zz"):
+        usage_pivot(cells, ["u", "period"], ["period"], "label", "v", ["x"]).collect()
+
+
+def test_quantiles_take_infinity_and_leave_out_nan(frame):
+    inf = float("inf")
+    df = frame("k int, x double", [(1, v) for v in (1.0, 2.0, 3.0, inf, inf, -inf, float("nan"))])
+    got = q.exact_quantiles(df, ["k"], "x", (0.0, 0.5, 1.0)).first()
+    assert (got["n"], got["q_0"], got["q_1"], got["q_2"]) == (6, -inf, 2.5, inf)
+    summary = describe_all(frame("x double, t string", [(1.0, "a"), (3.0, "a"), (float("nan"), "b")]), ["x"], ["t"])
+    row = {r["column_name"]: r for r in summary.collect()}["x"]
+    assert (row["count"], row["mean"], row["p50"], row["max"]) == (2, 2.0, 2.0, 3.0)
+
+
+def test_close_values_lie_in_many_slices(spark):
+    hour = spark.range(1_000_000).select(F.lit(1).alias("k"), (F.col("id") * 3600 + 1_700_000_000_000_000).alias("x"))
+    placed = q._sliced(q.value_counts(hour, ["k"], "x"), ["k"])
+    top = placed.groupBy("_slice").count().agg(F.max("count"), F.count("*")).first()
+    assert top[0] < 1000 and top[1] > 10_000
+
+
+def test_csv_cells_survive_other_readers(spark, frame, tmp_path):
+    import duckdb
+
+    cells = ['a "q", b', "two\nlines", "plain", "comma, only", 'back\\"slash']
+    df = frame("n int, t string", list(enumerate(cells)))
+    path = str(tmp_path / "out")
+    write_extract(df.coalesce(1), path)
+    theirs = duckdb.sql(f"SELECT n, t FROM read_csv('{path}/*.csv', header = true, quote = '\"', escape = '\"') ORDER BY n").fetchall()
+    assert theirs == list(enumerate(cells))
+    other = str(tmp_path / "other.csv")
+    duckdb.sql(f"COPY (SELECT * FROM read_csv('{path}/*.csv', header = true)) TO '{other}' (HEADER, QUOTE '\"', ESCAPE '\"')")
+    assert rows_of(read_extract(spark, other), "n", "t") == rows_of(df, "n", "t")
+    (tmp_path / "long.csv").write_text("n,t\n1,a,extra\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_extract(spark, str(tmp_path / "long.csv")).collect()

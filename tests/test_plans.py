@@ -8,7 +8,6 @@ from pyspark.sql.types import StructType
 
 from cohortlens.operators.funnel import two_sided_funnel
 from cohortlens.operators.periods import clean_use_type, first_purchases, label_periods
-from cohortlens.operators.skew import hot_keys
 from cohortlens.plans import early_response as er
 from cohortlens.plans import reward_cohort as rw
 from cohortlens.plans import usage_periods as up
@@ -100,12 +99,7 @@ def test_timeline_two_rows_in_one_bucket(table, no_broadcast):
         log_row(1, 11, "2025-12-01 01:00:10", impression_time="2025-12-01 00:07:00"),
         log_row(1, 12, "2025-12-01 01:00:10", impression_time="2025-12-01 00:07:00", user1_relative_score=100.0),
     ])
-    renamed = log.withColumnRenamed("user1_id", "user_id")
-
-    def hot():
-        return hot_keys(renamed, ["user_id"], ["user2_id"], hot_rows=1, probe=1)
-
-    rows = exposure_timeline(log, users, hot=hot).filter("min_rc BETWEEN 0 AND 2")
+    rows = exposure_timeline(log, users).filter("min_rc BETWEEN 0 AND 2")
     assert rows_of(rows, "min_rc", "hour_kst", "rcmd_users", "cumul_rcmd_users") == [
         (0, None, 0, 0), (1, "00", 1, 1), (1, "01", 1, 2), (2, None, 0, 2),
     ]
@@ -273,15 +267,11 @@ def test_periods_around_the_first_purchase(table, no_broadcast):
                    {"ci_hash": None, "action_num": 3, "quantity": -2.0},
                    {"ci_hash": "r", "action_num": 3, "quantity": -2.0, "get_referral_reward": 1}])
 
-    def hot():
-        return hot_keys(log, ["user_group", "ci_hash"], ["action_num"], hot_rows=1, probe=1)
-
-    for cut in (None, hot):
-        labelled = label_periods(up.without_referral(log), "user_group", "ci_hash", hot=cut)
-        assert rows_of(labelled, "ci_hash", "action_num", "period") == [
-            ("n", 1, "non"), ("n", 3, "non"), ("p", 15, "post_10"), ("p", 16, "post_20"),
-            ("p", 25, "post_20"), ("p", 4, "pre"), ("p", 6, "post_10"),
-        ]
+    labelled = label_periods(up.without_referral(log), "user_group", "ci_hash")
+    assert rows_of(labelled, "ci_hash", "action_num", "period") == [
+        ("n", 1, "non"), ("n", 3, "non"), ("p", 15, "post_10"), ("p", 16, "post_20"),
+        ("p", 25, "post_20"), ("p", 4, "pre"), ("p", 6, "post_10"),
+    ]
     every = label_periods(up.without_referral(log), "user_group", "ci_hash", every=True)
     assert every.filter("ci_hash = 'p' AND action_num = 4").count() == 2
     long = up.usage_before_after_purchase(log)
@@ -312,8 +302,8 @@ def test_usage_extracts(spark, table, tmp_path):
     assert extract("a_pre_freq") == (["ci_hash", "x|a"], [("p", "1")])
     assert extract("b_non_vol") == (["ci_hash", "x|d"], [("q", "4.0")])
     assert extract("user_grade")[1] == [("p", "4"), ("q", "4")]
-    with pytest.raises(ValueError):
-        up.occurring_labels(spark.read.parquet(f"{out}/usage_long"), limit=2)
+    up.write_usage_extracts(log, out)
+    assert extract("b_non_vol") == (["ci_hash", "x|d"], [("q", "4.0")])
 
 
 def test_use_type_cleaning_is_optional(frame):
