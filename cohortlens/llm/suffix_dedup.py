@@ -33,7 +33,7 @@ from cohortlens.llm.shared_arrays import (
 
 #: Bytes of a repeat, and of the hashed pieces.
 LENGTH = 400
-PIECE = 32
+PIECE = 128
 #: Windows taken in one go; a longer text is taken in parts.
 PART = 1 << 20
 #: Bytes of text for each bucket of anchor hashes, and of segments (with second copies)
