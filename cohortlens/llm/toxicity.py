@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -181,7 +182,7 @@ def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES
 ) -> DataFrame:
-    """(buckets, lang, toxic) of at most ``rows`` labelled rows and ``size`` bytes of text.
+    """(buckets, lang, toxic, place) of at most ``rows`` labelled rows and ``size`` bytes of text.
 
     Taken in the order of a hash of the id, from rows that are not held out. A
     document labelled both ways counts as toxic. ``buckets`` holds the buckets of the
@@ -210,7 +211,7 @@ def labelled_sample(
         .limit(rows)
         .withColumn("_upto", F.sum(F.octet_length("text")).over(order))
         .filter(F.col("_upto") <= size)
-        .select(buckets("text").alias("buckets"), "lang", "toxic")
+        .select(buckets("text").alias("buckets"), "lang", "toxic", F.col("_upto").alias("place"))
     )
 
 
@@ -229,14 +230,31 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     0.5 is the best cut, and each language with enough rows of both kinds gets its
     own cut. None where the sample lacks toxic or clean rows.
     """
-    rows = labelled_sample(docs, labels).collect()
-    toxic = np.array([r["toxic"] for r in rows], float)
+    found = (
+        labelled_sample(docs, labels)
+        .withColumn("all", F.lit("all"))
+        .groupBy("all")
+        .applyInPandas(_trained, "model binary")
+        .collect()
+    )
+    return Model(**pickle.loads(found[0]["model"])) if found else None
+
+
+def _trained(rows: pd.DataFrame) -> pd.DataFrame:
+    """The pickled fields of a model of the sample, which is bounded, in one task."""
+    model = _train(rows)
+    return pd.DataFrame({"model": [pickle.dumps(vars(model))] if model else []})
+
+
+def _train(rows: pd.DataFrame) -> Model | None:
+    rows = rows.sort_values("place", ignore_index=True)
+    toxic = rows["toxic"].to_numpy(float)
     if len(rows) < 10 or toxic.min() == toxic.max():
         return None
     fitted = np.arange(len(rows)) % CALIBRATE > 0
     if toxic[fitted].min() == toxic[fitted].max():
         return None
-    words = [np.frombuffer(r["buckets"], np.int32) for r in rows]
+    words = [np.frombuffer(b, np.int32) for b in rows["buckets"]]
     own = [np.unique(w) for w, f in zip(words, fitted, strict=True) if f]
     seen, count = np.unique(np.concatenate(own), return_counts=True)
     kept = seen[count >= max(LEAST_TEXTS, LEAST_SHARE * len(own))].astype(np.int64)
@@ -249,7 +267,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     truth = toxic[other]
     if truth.min() < truth.max():
         model.shift = best_threshold(logits, truth)
-        langs = np.array([rows[i]["lang"] or "" for i in other])
+        langs = np.array([lang or "" for lang in rows["lang"].iloc[other]])
         for lang in np.unique(langs):
             own = langs == lang
             if min(truth[own].sum(), (1 - truth[own]).sum()) >= LEAST_OF_LANGUAGE:
