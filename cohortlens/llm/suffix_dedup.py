@@ -34,8 +34,8 @@ from cohortlens.llm.shared_arrays import (
 #: Bytes of a repeat, and of the hashed pieces.
 LENGTH = 400
 PIECE = 128
-#: Windows taken in one go; a longer text is taken in parts.
-PART = 1 << 20
+#: Windows taken in one go, at about 90 bytes of memory each; a longer text is taken in parts.
+PART = 255 << 10
 #: Bytes of text for each bucket of anchor hashes, and of segments (with second copies)
 #: for each shard. Sorting takes about 50 bytes of memory a byte.
 BUCKET_BYTES = 128 << 20
