@@ -58,48 +58,62 @@ class WordRows(dict):
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
+#: Each filter is a row of numbers for each of its words, a tap: filter and place of each tap.
+FILTER_OF_TAP = np.concatenate([np.tile(np.arange(FILTERS), w) + FILTERS * k for k, w in enumerate(WIDTHS)])
+PLACE_OF_TAP = np.concatenate([np.repeat(np.arange(w), FILTERS) for w in WIDTHS])
+#: Positions of a text that are compared with the filters at a time.
+BLOCK = 1 << 15
+
+
 @dataclass
 class Model:
-    """Embeddings (row 0 is zero), filters by width, and the logistic output."""
+    """Embeddings (row 0 is zero), filters by tap, their biases, and the logistic output."""
 
     buckets: np.ndarray
     embedding: np.ndarray
-    filters: list[np.ndarray] = field(default_factory=list)
-    biases: list[np.ndarray] = field(default_factory=list)
-    out: np.ndarray | None = None
+    taps: np.ndarray
+    bias: np.ndarray
+    out: np.ndarray
     shift: float = 0.0
     thresholds: dict[str, float] = field(default_factory=dict)
 
     def rows(self) -> WordRows:
         return WordRows({int(b): i + 1 for i, b in enumerate(self.buckets)})
 
-    def tables(self) -> list[list[np.ndarray]]:
-        """Filter responses of each embedding row, by width and position in the filter."""
-        return [[self.embedding @ f[j] for j in range(len(f))] for f in self.filters]
-
-    def logit(self, rows: np.ndarray, tables: list[list[np.ndarray]]) -> float:
-        features = [
-            np.maximum(_responses(rows, t).max(axis=0) + b, 0)
-            for t, b in zip(tables, self.biases, strict=True)
-        ]
-        return float(np.concatenate([*features, [1.0]]) @ self.out) - self.shift
-
-
-def _responses(rows: np.ndarray, tables: Sequence[np.ndarray]) -> np.ndarray:
-    """(position, filter) of one width; a text shorter than the filter is padded."""
-    width = len(tables)
-    rows = np.concatenate([rows, np.zeros(max(width - len(rows), 0), rows.dtype)])
-    n = len(rows) - width + 1
-    total = tables[0][rows[:n]]
-    for j in range(1, width):
-        total = total + tables[j][rows[j : j + n]]
-    return total
-
-
-def _windows(vectors: np.ndarray, filters: np.ndarray) -> np.ndarray:
-    """(position, filter) responses to word vectors in a row."""
-    n = len(vectors) - len(filters) + 1
-    return sum(vectors[j : j + n] @ f for j, f in enumerate(filters))
+    def peaks(self, rows: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Largest response of each filter to a text of ``words`` words, and its position.
+
+        ``rows`` is padded by zeros to the widest filter; a text shorter than a filter
+        has one position for it.
+        """
+        best = np.full(len(self.bias), -np.inf, np.float32)
+        places = np.zeros(len(self.bias), np.int64)
+        for begin in range(0, max(words, 1), BLOCK):
+            part = rows[begin : begin + BLOCK + max(WIDTHS) - 1]
+            seen = self.taps @ self.embedding[part].T
+            tap = 0
+            for k, width in enumerate(WIDTHS):
+                n = min(max(words - width + 1, 1) - begin, BLOCK)
+                if n > 0:
+                    total = seen[tap : tap + FILTERS, :n]
+                    for j in range(1, width):
+                        total = total + seen[tap + j * FILTERS : tap + (j + 1) * FILTERS, j : j + n]
+                    own = slice(k * FILTERS, (k + 1) * FILTERS)
+                    at = total.argmax(axis=1)
+                    value = total[np.arange(FILTERS), at]
+                    more = value > best[own]
+                    best[own] = np.where(more, value, best[own])
+                    places[own] = np.where(more, at + begin, places[own])
+                tap += width * FILTERS
+        return best, places
+
+    def logit(self, rows: np.ndarray) -> float:
+        best, _ = self.peaks(_padded(rows), len(rows))
+        return float(np.maximum(best + self.bias, 0) @ self.out[:-1] + self.out[-1]) - self.shift
+
+
+def _padded(rows: np.ndarray) -> np.ndarray:
+    return np.concatenate([rows, np.zeros(max(max(WIDTHS) - len(rows), 0), rows.dtype)])
 
 
 def _sigmoid(z):
@@ -112,51 +126,41 @@ def fit(texts: Sequence[np.ndarray], labels: np.ndarray, embeddings: int) -> Mod
     The gradient of a pooled filter goes to the words at its largest response only.
     """
     rng = np.random.default_rng(SEED)
-    model = Model(np.zeros(0, np.int64), rng.normal(0, 0.1, (embeddings + 1, SIZE)))
-    model.embedding[0] = 0
-    model.filters = [rng.normal(0, 0.3, (w, SIZE, FILTERS)) for w in WIDTHS]
-    model.biases = [np.zeros(FILTERS) for _ in WIDTHS]
-    model.out = np.concatenate([rng.normal(0, 0.3, FILTERS * len(WIDTHS)), [_prior(labels)]])
-    params = [model.embedding, *model.filters, *model.biases, model.out]
-    memory = [np.full(p.shape, 1e-6) for p in params]
+    filters = FILTERS * len(WIDTHS)
+    start = [(embeddings + 1, SIZE, 0.1), (len(FILTER_OF_TAP), SIZE, 0.3), (1, filters, 0.3)]
+    embedding, taps, out = (rng.normal(0, s, (n, m)).astype(np.float32) for n, m, s in start)
+    embedding[0] = 0
+    out = np.append(out[0], np.float32(_prior(labels)))
+    model = Model(np.zeros(0, np.int64), embedding, taps, np.zeros(filters, np.float32), out)
+    params = [model.embedding, model.taps, model.bias, model.out]
+    memory = [np.full(p.shape, 1e-6, np.float32) for p in params]
+    texts, sizes = [_padded(t) for t in texts], [len(t) for t in texts]
     for _ in range(EPOCHS):
         order = rng.permutation(len(texts))
         for begin in range(0, len(order), BATCH):
             part = order[begin : begin + BATCH]
-            grads = [np.zeros_like(p) for p in params[1:]]
-            rows_of, row_grads = [], []
-            # All texts of the batch in a row, each with room for the widest filter.
-            gap = np.zeros(max(WIDTHS), np.int32)
-            pieces = [np.concatenate([texts[i], gap]) for i in part]
-            starts = np.cumsum([0, *[len(p) for p in pieces]])
-            rows = np.concatenate(pieces)
-            vectors = model.embedding[rows]
-            seen = [_windows(vectors, f) for f in model.filters]
-            for i, at in zip(part, starts[:-1], strict=True):
-                pooled, places = [], []
-                for s, b, width in zip(seen, model.biases, WIDTHS, strict=True):
-                    own = s[at : at + max(len(texts[i]) - width + 1, 1)]
-                    best = own.argmax(axis=0)
-                    places.append(best + at)
-                    pooled.append(own[best, np.arange(FILTERS)] + b)
-                z = np.concatenate(pooled)
-                features = np.concatenate([np.maximum(z, 0), [1.0]])
-                slope = (_sigmoid(features @ model.out) - labels[i]) / len(part)
-                grads[-1] += slope * features
-                down = slope * model.out[:-1] * (z > 0)
-                for k, width in enumerate(WIDTHS):
-                    g = down[k * FILTERS : (k + 1) * FILTERS]
-                    grads[len(WIDTHS) + k] += g
-                    for j in range(width):
-                        grads[k][j] += vectors[places[k] + j].T * g
-                        rows_of.append(rows[places[k] + j])
-                        row_grads.append((model.filters[k][j] * g).T)
+            z = np.empty((len(part), filters), np.float32)
+            hit = np.empty((len(part), len(FILTER_OF_TAP)), np.int32)
+            for at, i in enumerate(part):
+                z[at], places = model.peaks(texts[i], sizes[i])
+                hit[at] = texts[i][places[FILTER_OF_TAP] + PLACE_OF_TAP]
+            z += model.bias
+            features = np.append(np.maximum(z, 0), np.ones((len(part), 1), np.float32), axis=1)
+            slope = ((_sigmoid(features @ model.out) - labels[part]) / len(part)).astype(np.float32)
+            down = slope[:, None] * model.out[:-1] * (z > 0)
+            by_tap = down[:, FILTER_OF_TAP]
+            grads = [
+                np.einsum("bt,bts->ts", by_tap, model.embedding[hit]),
+                down.sum(axis=0),
+                slope @ features,
+            ]
+            row_grads = (by_tap[:, :, None] * model.taps).reshape(-1, SIZE)
             for p, m, g in zip(params[1:], memory[1:], grads, strict=True):
                 m += g * g
                 p -= RATE * g / np.sqrt(m)
-            touched, where = np.unique(np.concatenate(rows_of), return_inverse=True)
-            total = np.zeros((len(touched), SIZE))
-            np.add.at(total, where, np.concatenate(row_grads))
+            touched, where = np.unique(hit.ravel(), return_inverse=True)
+            total = np.zeros((len(touched), SIZE), np.float32)
+            np.add.at(total, where, row_grads)
             total[touched == 0] = 0
             memory[0][touched] += total * total
             model.embedding[touched] -= RATE * total / np.sqrt(memory[0][touched])
@@ -261,9 +265,8 @@ def _train(rows: pd.DataFrame) -> Model | None:
     texts = [_places(w, kept) for w in words]
     model = fit([t for t, f in zip(texts, fitted, strict=True) if f], toxic[fitted], len(kept))
     model.buckets = kept
-    tables = model.tables()
     other = np.flatnonzero(~fitted)
-    logits = np.array([model.logit(texts[i], tables) for i in other])
+    logits = np.array([model.logit(texts[i]) for i in other])
     truth = toxic[other]
     if truth.min() < truth.max():
         model.shift = best_threshold(logits, truth)
@@ -289,9 +292,9 @@ def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         made = held.value and Model(**held.value)
-        rows, tables = (made.rows(), made.tables()) if made else (None, None)
+        rows = made.rows() if made else None
         for texts in batches:
-            values = [_sigmoid(made.logit(rows.text(t), tables)) if made else 0.0 for t in texts]
+            values = [_sigmoid(made.logit(rows.text(t))) if made else 0.0 for t in texts]
             yield pd.Series(values, dtype=float)
 
     threshold = F.lit(0.5)
