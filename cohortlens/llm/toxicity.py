@@ -127,10 +127,11 @@ def fit(texts: Sequence[np.ndarray], labels: np.ndarray, embeddings: int) -> Mod
     """
     rng = np.random.default_rng(SEED)
     filters = FILTERS * len(WIDTHS)
-    start = [(embeddings + 1, SIZE, 0.1), (len(FILTER_OF_TAP), SIZE, 0.3), (1, filters, 0.3)]
-    embedding, taps, out = (rng.normal(0, s, (n, m)).astype(np.float32) for n, m, s in start)
+    embedding = rng.normal(0, 0.1, (embeddings + 1, SIZE)).astype(np.float32)
     embedding[0] = 0
-    out = np.append(out[0], np.float32(_prior(labels)))
+    start = [rng.normal(0, 0.3, (w, SIZE, FILTERS)).transpose(0, 2, 1).reshape(-1, SIZE) for w in WIDTHS]
+    taps = np.concatenate(start).astype(np.float32)
+    out = np.append(rng.normal(0, 0.3, filters), _prior(labels)).astype(np.float32)
     model = Model(np.zeros(0, np.int64), embedding, taps, np.zeros(filters, np.float32), out)
     params = [model.embedding, model.taps, model.bias, model.out]
     memory = [np.full(p.shape, 1e-6, np.float32) for p in params]
