@@ -4,8 +4,14 @@ Every window of ``length`` bytes has an anchor: the place of its smallest hashed
 piece. Windows in a row with one anchor make a segment; equal windows have equal
 anchors, so they lie in segments with one anchor hash. Segments whose anchor hash
 occurs once hold no repeat. The others, equal ones at most twice, are dealt to shards
-by anchor hash, and each shard is sorted by induced sorting: a suffix that shares
-``length`` bytes with its neighbour starts a repeat.
+by anchor hash, and each shard is sorted: a suffix that shares ``length`` bytes with its
+neighbour starts a repeat.
+
+An anchor hash with more text than a shard is dealt further. Equal windows have their
+anchor at one offset, so the windows of a range of offsets can only be equal where the
+bytes are that all of them hold: the piece and what stands next to it. Segments go by the
+hash of those bytes, for halves of the range, until a group fits a shard. A range of one
+offset is the window itself, and needs no sorting.
 """
 
 from __future__ import annotations
@@ -99,6 +105,10 @@ class Anchors:
         end = np.append(begin[1:], n) - 1 + self.length
         return begin + at, end + at, hashes[anchor[begin]]
 
+    def place(self, segment: bytes) -> int:
+        """Place of the anchor in a segment: its smallest piece, as that is in all windows."""
+        return int(np.argmin(self._hashes(np.frombuffer(segment, np.uint8)) & ~_PLACE))
+
 
 def _key_rows(batches: Iterator[pa.RecordBatch], buckets: int, length: int) -> Iterator[pa.RecordBatch]:
     anchors, counter = Anchors(length), BucketCounter("anchor", range_bucket, buckets)
@@ -169,6 +179,134 @@ def _segment_rows(
         )
 
 
+class Cores:
+    """Groups of segments by the bytes that all windows of a range of anchor offsets hold."""
+
+    def __init__(self, length: int, piece: int = PIECE) -> None:
+        self.length, self.piece = length, min(piece, length)
+        self.pieces = self.length - self.piece + 1
+        self.levels = (self.pieces - 1).bit_length() + 1
+
+    def groups(self, text: bytes, place: int, large: list[set[bytes]]) -> Iterator[tuple[int, int, bytes, bool]]:
+        """(level, first offset, group, whether it is large) of a segment with its anchor at ``place``.
+
+        ``large`` has the large groups of each level done: those give way to their halves.
+        """
+        first, last = place - (len(text) - self.length), place
+        begins, size = [0], 1 << (self.levels - 1)
+        for level in range(min(len(large) + 1, self.levels)):
+            halves = []
+            for begin in begins:
+                end = min(begin + size, self.pieces) - 1
+                if end < first or begin > last:
+                    continue
+                core = text[place - begin : place + self.length - end]
+                group = xxhash.xxh3_128_digest(core, seed=size << 32 | begin)
+                known = level < len(large) and group in large[level]
+                if known and size > 1:
+                    halves += [begin, begin + size // 2]
+                else:
+                    yield level, begin, group, known
+            begins, size = halves, size // 2
+
+
+def _placed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    anchors = Anchors(length)
+    for batch in batches:
+        places = [anchors.place(t) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], ["cid", "n", "text", "place"])
+
+
+def _level_rows(batches: Iterator[pa.RecordBatch], large: list[set[bytes]], length: int) -> Iterator[pa.RecordBatch]:
+    """The groups of the next level, with the bytes of each segment."""
+    cores = Cores(length)
+    for batch in batches:
+        found, sizes = [], []
+        for text, place in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            own = [g for level, _, g, _ in cores.groups(text, place, large) if level == len(large)]
+            found += own
+            sizes += [len(text)] * len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(sizes, pa.int64())], ["core", "len"])
+
+
+def _last_rows(batches: Iterator[pa.RecordBatch], large: list[set[bytes]], length: int) -> Iterator[pa.RecordBatch]:
+    """The group of each range of a segment, or the bytes known to be covered by repeats."""
+    cores = Cores(length)
+    for batch in batches:
+        rows = []
+        for cid, n, text, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            spans = [(0, len(text))] if n > 1 else []
+            for _, offset, group, known in cores.groups(text, place, large):
+                if known:
+                    spans.append((place - offset, place - offset + length))
+                else:
+                    rows.append((cid, len(text), group, None, None))
+            merged = _merged_spans({"begin": a, "end": b} for a, b in spans)
+            rows += [(cid, len(text), None, a, b) for a, b in merged]
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["cid", "len", "core", "begin", "end"]
+        )
+
+
+def _dealt_by_core(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Texts of the segments of large anchor hashes by shard, and spans that need no sorting.
+
+    Large groups are fewer than the bytes of a level over those of a shard, so the
+    driver holds them. A group of one content holds no repeat but the content's own.
+    """
+    texts = cut(texts.mapInArrow(lambda b: _placed(b, length), "cid bigint, n bigint, text binary, place bigint"), "suffix-placed")
+    large: list[set[bytes]] = []
+    while len(large) < Cores(length).levels:
+        rows = texts.mapInArrow(lambda b, done=list(large): _level_rows(b, done, length), "core binary, len bigint")
+        most = rows.groupBy("core").agg(F.sum("len").alias("len"), F.count("*").alias("n"))
+        found = {bytes(r["core"]) for r in most.filter((F.col("len") > SHARD_BYTES) & (F.col("n") > 1)).toLocalIterator()}
+        if not found:
+            break
+        large.append(found)
+    last = cut(
+        texts.mapInArrow(
+            lambda b: _last_rows(b, large, length), "cid bigint, len bigint, core binary, begin bigint, end bigint"
+        ),
+        "suffix-cores",
+    )
+    groups = last.filter("core IS NOT NULL")
+    several = groups.groupBy("core").agg(F.count("*").alias("members")).filter("members > 1").select("core")
+    groups = cut(groups.join(several, "core", "left_semi").select("core", "cid", "len"), "suffix-groups")
+    shards = max(1, -(-(groups.agg(F.sum("len")).first()[0] or 0) // SHARD_BYTES))
+    members = groups.select(F.pmod(F.xxhash64("core"), F.lit(shards)).cast("int").alias("shard"), "cid").distinct()
+    return (
+        members.join(texts, "cid").select("shard", "cid", F.lit(1).cast("bigint").alias("n"), "text"),
+        last.filter("core IS NULL").select("cid", "begin", "end"),
+    )
+
+
+def _shards(
+    rows: DataFrame, contents: DataFrame, folder: str, buckets: int, length: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """Texts of the contents by shard, none much over ``SHARD_BYTES``, and spans known without sorting."""
+    held = F.sum(F.col("len") * F.least("n", F.lit(2)))
+    total = contents.agg(held).first()[0] or 0
+    large = cut(contents.groupBy("key").agg(held.alias("held")).filter(F.col("held") > SHARD_BYTES).select("key"), "suffix-large")
+    any_large = not large.isEmpty()
+
+    def texts_of(own: DataFrame, where: str, shards: int) -> DataFrame:
+        _write_representatives(own, where, buckets, shards)
+        return rows.select(F.xxhash64("id", "hash").alias("doc"), "hash", "text").mapInArrow(
+            lambda b: _content_rows(b, where, buckets), "shard int, cid bigint, n bigint, text binary"
+        )
+
+    small = contents.join(F.broadcast(large), "key", "left_anti") if any_large else contents
+    texts = texts_of(small, folder, max(1, -(-total // SHARD_BYTES)))
+    if not any_large:
+        return texts, None
+    own = texts_of(contents.join(F.broadcast(large), "key", "left_semi"), f"{folder}-large", 1).drop("shard")
+    by_core, spans = _dealt_by_core(own, length)
+    # Shards of both kinds are numbered apart.
+    return texts.unionByName(by_core.withColumn("shard", -1 - F.col("shard"))), spans
+
+
 def _write_representatives(contents: DataFrame, folder: str, buckets: int, shards: int) -> None:
     """Write, by hash range of the document, where to cut one copy of each content."""
     own = contents.select(
@@ -264,14 +402,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         .withColumn("cid", F.monotonically_increasing_id()),
         "suffix-contents",
     )
-    total = contents.agg(F.sum(F.col("len") * F.least("n", F.lit(2)))).first()[0] or 0
-    _write_representatives(contents, folder, buckets, max(1, -(-total // SHARD_BYTES)))
-    texts = rows.select(F.xxhash64("id", "hash").alias("doc"), "hash", "text").mapInArrow(
-        lambda b: _content_rows(b, folder, buckets), "shard int, cid bigint, n bigint, text binary"
-    )
+    texts, known = _shards(rows, contents, folder, buckets, length)
     spans = texts.groupBy("shard").applyInPandas(
         lambda rows: _shard_spans(rows, length), "cid bigint, begin bigint, end bigint"
     )
+    if known is not None:
+        spans = spans.unionByName(known)
     by_content = spans.groupBy("cid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     cuts = cut(contents.select("cid", "key", "body", "len").join(by_content, "cid").drop("cid"), "suffix-cuts")
     moved = F.transform(

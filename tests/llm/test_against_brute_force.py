@@ -285,6 +285,30 @@ def test_suffix_dedup(spark, monkeypatch):
     assert found == cut_plainly([t.encode() for t in texts], 40)
 
 
+def test_suffix_dedup_of_a_passage_in_many_surroundings(spark, monkeypatch):
+    rnd = random.Random(6)
+
+    def noise(n):
+        return "".join(rnd.choice("abcdefgh ") for _ in range(n))
+
+    texts, whole = [], []
+    for size, n in ((200, 120), (330, 40), (520, 40)):
+        passage, sides = noise(size), [noise(300) for _ in range(n)]
+        texts += [noise(300) + passage + s for s in sides]
+        texts += [noise(300 - k) + noise(k) + passage + sides[k % n][: 60 + 9 * k] + noise(250) for k in range(12)]
+        whole += texts[-2:]
+    texts += whole
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 6000)
+    dealt, inner = [], suffix_dedup._shards
+    monkeypatch.setattr(suffix_dedup, "_shards", lambda *a: dealt.append(inner(*a)) or dealt[-1])
+    got = suffix_dedup.dedup_substrings(docs).orderBy("doc_id").collect()
+    found = [(r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got]
+    assert found == cut_plainly([t.encode() for t in texts], 400)
+    sizes = dealt[0][0].groupBy("shard").agg(F.sum(F.octet_length("text") * F.least("n", F.lit(2))))
+    assert max(r[1] for r in sizes.collect()) < 4 * 6000
+
+
 def test_suffix_dedup_of_documents(spark):
     docs = texts_of(spark, SMALL)
     got = {r["doc_id"]: r for r in queries.op2_suffix_dedup(spark, SMALL).collect()}
