@@ -6,7 +6,8 @@ fall, a pass down those that rise: the queue of each character receives suffixes
 their order, with the common prefix that each has with the one before it in its
 queue, one more than the smallest value passed since. The LMS suffixes are sorted by
 the same method on the string of their substrings' names, or, where there are too
-many names for a queue each, by doubling ranks. Queues beyond a budget lie on disk.
+many names for a queue each, by doubling ranks in memory, which is the rule for texts.
+Queues beyond a budget lie on disk; those of the shards of ``suffix_dedup`` stay below it.
 """
 
 from __future__ import annotations
