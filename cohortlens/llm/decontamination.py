@@ -4,21 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import WORD_BYTES, free_name, packed, text_bytes
+from cohortlens.llm.common import WORD_BYTES, cut, new_folder, packed, text_bytes
+from cohortlens.llm.shared_arrays import range_bucket, save_array
+from cohortlens.llm.suffix_dedup import _Mapped
 
 #: Words of a window.
 WINDOW = 10
 #: Words of a block of the shift table.
 BLOCK = 2
-#: Benchmark texts are searched in parts of at most about so many bytes.
-PART_BYTES = 32 << 20
+#: Memory of the search tables of one part, and of a window in them besides its words.
+PART_BYTES = 192 << 20
+WINDOW_BYTES = 1000
+#: Window hashes of one array in the shared folder.
+BUCKET_WINDOWS = 4_000_000
 
 _SPANS = "array<struct<begin:int,end:int>>"
 _FOUND = f"n_words bigint, spans {_SPANS}, items array<string>"
+_PAIRS = "item string, window binary, hash bigint"
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -63,16 +73,33 @@ class WuManber:
             end += move
 
 
+def window_hashes(words: Sequence[bytes], lengths: Iterable[int]) -> Iterator[np.ndarray]:
+    """Hashes of all windows of the words, for each rising length that fits."""
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    sums, power, done = np.zeros(len(own), np.uint64), np.uint64(1), 0
+    for length in lengths:
+        if length > len(own):
+            return
+        with np.errstate(over="ignore"):
+            for j in range(done, length):
+                sums[: len(own) - j] += own[j:] * power
+                power *= _BASE
+            x = sums[: len(own) - length + 1] + np.uint64(length)
+            x ^= x >> np.uint64(31)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+        done = length
+        yield x ^ (x >> np.uint64(29))
+
+
 class Windows:
-    """The windows of some benchmark items, one search for each window length."""
+    """Windows of benchmark items, given as (item, words joined by blanks); one search for each length."""
 
-    def __init__(self, items: Iterable[tuple[str, bytes]], window: int = WINDOW) -> None:
+    def __init__(self, pairs: Iterable[tuple[str, bytes]]) -> None:
         self.owners: dict[tuple[bytes, ...], set[str]] = {}
-        for item, text in items:
-            words = words_of(text)
-            length = min(window, len(words))
-            for i in range(len(words) - length + 1 if words else 0):
-                self.owners.setdefault(tuple(words[i : i + length]), set()).add(item)
+        known: dict = {}
+        for item, window in pairs:
+            words = tuple(known.setdefault(w, w) for w in window.split())
+            self.owners.setdefault(words, set()).add(known.setdefault(item, item))
         lengths = sorted({len(p) for p in self.owners})
         self.searches = [WuManber(p for p in self.owners if len(p) == n) for n in lengths]
 
@@ -96,35 +123,135 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _parts(benchmark: DataFrame, part_bytes: int) -> Iterable[list[tuple[str, bytes]]]:
-    """The benchmark's items in parts of about ``part_bytes``, dealt by hash."""
+def _pair_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = words_of(text)
+            length = min(window, len(words))
+            if not length:
+                continue
+            hashes = next(window_hashes(words, [length])).view(np.int64)
+            for at in range(0, len(hashes), 10_000):
+                own = hashes[at : at + 10_000]
+                texts = [b" ".join(words[i : i + length]) for i in range(at, at + len(own))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([item] * len(own)), pa.array(texts, pa.binary()), pa.array(own)],
+                    ["item", "window", "hash"],
+                )
+
+
+def _pairs(benchmark: DataFrame, window: int) -> DataFrame:
+    """The different windows of each item."""
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
         text_bytes("text").alias("text"),
     )
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // part_bytes))
-    for part in range(n):
-        own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == part) if n > 1 else items
-        yield [(r[0], bytes(r[1])) for r in own.collect()]
-
-
-def _searched(
-    rows: DataFrame, text: str, benchmark: DataFrame, window: int, part_bytes: int
-) -> tuple[DataFrame, list[str]]:
-    """``rows`` with what was found in the text, one column for each benchmark part."""
-    names = []
-    for items in _parts(benchmark, part_bytes):
-        held = rows.sparkSession.sparkContext.broadcast(items)
-        names.append(free_name(rows, f"found_{len(names)}"))
-        rows = rows.withColumn(names[-1], _search_udf(held, window)(text_bytes(text)))
-    return rows, names
-
-
-def _search_udf(held, window: int):
+    pairs = items.mapInArrow(lambda b: _pair_rows(b, window), _PAIRS)
+    return cut(pairs.distinct(), "benchmark-windows")
+
+
+def _met(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose window, by its hash, stands in a text of ``rows``."""
+    spark = rows.sparkSession
+    folder = new_folder(spark, "benchmark-hashes")
+    size = F.size(F.split(F.col("window").cast("string"), " ")).alias("length")
+    lengths = sorted(r[0] for r in pairs.select(size).distinct().collect())
+    buckets = max(1, -(-pairs.count() // BUCKET_WINDOWS))
+
+    @F.pandas_udf("int")
+    def bucket_of(hashes: pd.Series) -> pd.Series:
+        return pd.Series(range_bucket(hashes.to_numpy().view(np.uint64), buckets).astype(np.int32))
+
+    def write(own: pd.DataFrame) -> pd.DataFrame:
+        save_array(f"{folder}/windows-{own['bucket'].iloc[0]}", np.sort(own["hash"].to_numpy().view(np.uint64)))
+        return own[["bucket"]][:1]
+
+    hashes = pairs.select("hash").distinct().withColumn("bucket", bucket_of("hash"))
+    done = {r["bucket"] for r in hashes.groupBy("bucket").applyInPandas(write, "bucket int").collect()}
+    for b in set(range(buckets)) - done:
+        save_array(f"{folder}/windows-{b}", np.zeros(0, np.uint64))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mapped = _Mapped(folder, "windows", buckets, "u8")
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for own in window_hashes(words_of(text), lengths):
+                    own = np.unique(own)
+                    hit = own[mapped.known(own)]
+                    if len(hit):
+                        yield pa.RecordBatch.from_arrays([pa.array(hit.view(np.int64))], ["hash"])
+
+    found = rows.select(text_bytes("row.text").alias("text")).mapInArrow(search, "hash bigint").distinct()
+    return cut(pairs.join(found, "hash", "left_semi"), "benchmark-met")
+
+
+def _weight(pairs: DataFrame) -> int:
+    own = F.octet_length("window") + F.octet_length("item") + F.lit(WINDOW_BYTES).cast("bigint")
+    return pairs.agg(F.sum(own)).first()[0] or 0
+
+
+def _held(pairs: DataFrame):
+    rows = [(r["item"], bytes(r["window"])) for r in pairs.select("item", "window").toLocalIterator()]
+    return pairs.sparkSession.sparkContext.broadcast(rows)
+
+
+def _searched(rows: DataFrame, benchmark: DataFrame, window: int, part_bytes: int) -> DataFrame:
+    """``rows`` (one column ``row``) with ``n_words``, ``spans`` and ``items`` found in the text.
+
+    A benchmark beyond one part is first brought down to the windows that the texts
+    hold. What is left is searched part by part, and only hits are written.
+    """
+    pairs = _pairs(benchmark, window)
+    weight = _weight(pairs)
+    if weight > part_bytes:
+        rows = cut(rows.withColumn("place", F.monotonically_increasing_id()), "benchmark-texts")
+        pairs = _met(rows, pairs)
+        weight = _weight(pairs)
+    if weight <= part_bytes:
+        found = rows.select("row", _search_udf(_held(pairs))(text_bytes("row.text")).alias("found"))
+        return found.select("row", "found.*")
+    parts, paths = -(-weight // part_bytes), []
+    for part in range(parts):
+        held = _held(pairs.filter(F.pmod(F.xxhash64("item", "window"), F.lit(parts)) == part))
+        paths.append(new_folder(rows.sparkSession, "benchmark-hits"))
+        texts = rows.select("place", text_bytes("row.text").alias("text"))
+        texts.mapInPandas(_hit_rows(held), f"place bigint, spans {_SPANS}, items array<string>").write.parquet(paths[-1])
+        held.destroy()
+    hits = rows.sparkSession.read.schema(f"place bigint, spans {_SPANS}, items array<string>").parquet(*paths)
+    hits = hits.groupBy("place").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")
+    )
+
+    @F.pandas_udf("bigint")
+    def n_words(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(words_of(t)) for t in texts], dtype="int64")
+
+    return rows.join(hits, "place", "left").select(
+        "row",
+        n_words(text_bytes("row.text")).alias("n_words"),
+        _merge_parts(F.coalesce("spans", F.array().cast(_SPANS))).alias("spans"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+    )
+
+
+def _hit_rows(held):
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        windows = Windows(held.value)
+        for own in batches:
+            rows = []
+            for place, text in zip(own["place"], own["text"], strict=True):
+                spans, items = windows.search(words_of(text))
+                if spans:
+                    rows.append((place, [{"begin": a, "end": b} for a, b in spans], items))
+            yield pd.DataFrame(rows, columns=["place", "spans", "items"])
+
+    return found
+
+
+def _search_udf(held):
     @F.pandas_udf(_FOUND)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        windows = Windows(held.value, window)
+        windows = Windows(held.value)
         for texts in batches:
             rows = []
             for text in texts:
@@ -142,23 +269,20 @@ def find_contamination(
     """``docs`` with ``n_words``, ``hit_spans`` (words, end excluded), ``n_hit``, ``items``.
 
     A window is ``window`` consecutive words of an item, or all words of a shorter
-    one. Each part of the benchmark, of bounded size, goes to the workers as search
-    tables and is searched in the whole texts where they lie; nothing is shuffled.
+    one. Windows go to the workers as search tables of bounded size. A benchmark that
+    fits one part is searched in the texts where they lie; a larger one see ``_searched``.
     NULL and empty texts have no words. A NULL item id counts as an empty one; items
     of equal ids are one item. Columns with the names of the results are replaced.
     """
     rows = packed(docs.drop("n_words", "hit_spans", "n_hit", "items"))
-    out, names = _searched(rows, "row.text", benchmark, window, part_bytes)
-    spans = F.flatten(F.array(*[F.col(f"{n}.spans") for n in names]))
-    items = F.flatten(F.array(*[F.col(f"{n}.items") for n in names]))
-    return out.withColumn("spans", _merge_parts(spans) if len(names) > 1 else spans).select(
+    return _searched(rows, benchmark, window, part_bytes).select(
         "row.*",
-        F.col(f"{names[0]}.n_words").alias("n_words"),
+        "n_words",
         F.col("spans").alias("hit_spans"),
         F.aggregate(
             "spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["begin"]
         ).alias("n_hit"),
-        F.array_sort(F.array_distinct(items)).alias("items"),
+        F.array_sort(F.array_distinct("items")).alias("items"),
     )
 
 
@@ -186,7 +310,4 @@ def decontamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without any benchmark window, columns unchanged."""
-    out, names = _searched(packed(docs), "row.text", benchmark, WINDOW, PART_BYTES)
-    for n in names:
-        out = out.filter(F.size(f"{n}.spans") == 0)
-    return out.select("row.*")
+    return _searched(packed(docs), benchmark, WINDOW, PART_BYTES).filter(F.size("spans") == 0).select("row.*")

@@ -136,6 +136,23 @@ def test_decontamination_of_short_items_and_overlaps(spark, frame):
         assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) == (len(w), len(hit), sorted(found))
 
 
+@pytest.mark.parametrize("met", [0, 400])
+def test_decontamination_by_a_large_benchmark(spark, frame, monkeypatch, met):
+    rnd = random.Random(7)
+    item = [f"w{rnd.randrange(10**6)}" for _ in range(3000)]
+    docs = [" ".join(f"v{rnd.randrange(50)}" for _ in range(30)) for _ in range(50)]
+    docs += [" ".join(item[i : i + 12]) for i in range(0, met, 8)]
+    docs = frame("doc_id bigint, text string", list(enumerate(docs)))
+    bench = frame("item_id bigint, text string", [(1, " ".join(item)), (2, " ".join(item[:40]))])
+    held, inner = [], decontamination._held
+    monkeypatch.setattr(decontamination, "_held", lambda pairs: held.append(pairs.count()) or inner(pairs))
+    got = decontamination.find_contamination(docs, bench, part_bytes=120_000).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_hit"]) for r in got] == [(30, 0)] * 50 + [(12, 12)] * (met // 8)
+    assert [r["items"] for r in got[50:]] == [["1", "2"] if i < 31 else ["1"] for i in range(0, met, 8)]
+    # One item of 2,991 windows: no table holds much more than a part, and windows in no text are in none.
+    assert max(held) < 200 and (sum(held) < 250 if met else held == [0])
+
+
 def plain_fingerprint(text):
     words = text.lower().split()
     runs = [b" ".join(words[i : i + 3]) for i in range(max(len(words) - 2, min(1, len(words))))]
