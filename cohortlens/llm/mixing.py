@@ -19,7 +19,7 @@ BITS, LEVELS = 12, 5
 
 def word_count(text: Column) -> Column:
     """Number of runs without blanks; 0 for NULL."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
     parts = F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))
     return F.when(trimmed == "", 0).otherwise(parts).cast("bigint")
 

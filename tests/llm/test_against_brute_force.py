@@ -101,6 +101,13 @@ def test_targets(spark, sizes):
     assert [r["target"] for r in got.orderBy("source").collect()] == pytest.approx(want)
 
 
+def test_words_before_a_last_line_separator(frame):
+    texts = ["abc \u0085", "abc \u2028", "a b \u2029", " abc \n", "abc \u0085 ", "abc\u0085", " \u2028", " ", ""]
+    docs = frame("doc_id bigint, text string", list(enumerate(texts)))
+    got = [r[0] for r in docs.orderBy("doc_id").select(mixing.word_count(F.col("text"))).collect()]
+    assert got == [2, 2, 3, 1, 2, 1, 1, 0, 0]
+
+
 def test_mixing_meets_targets(spark, sf_dir):
     rows = queries.op6_mixing(spark, sf_dir).collect()
     by = defaultdict(lambda: [0, 0.0, 0])
