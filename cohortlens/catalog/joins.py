@@ -153,7 +153,6 @@ def merge_suffix(spark, sf):
         "user2_id",
         ["cumul_rcmd_2way_response_users", "rr_rows"],
         "_rr",
-        ["o_orderkey"],
     )
 
 
