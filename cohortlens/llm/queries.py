@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.llm import sql
+from cohortlens.llm.chat import chat_digest
 from cohortlens.llm.common import table
 from cohortlens.llm.decontamination import decontamination_digest
 from cohortlens.llm.embedding_dedup import embedding_digest
 from cohortlens.llm.language_model import language_model_digest
+from cohortlens.llm.lexical_search import lexical_digest
 from cohortlens.llm.licenses import license_digest
 from cohortlens.llm.line_dedup import line_dedup_digest
 from cohortlens.llm.mixing import mixing_digest
 from cohortlens.llm.sharding import sharding_digest
 from cohortlens.llm.simhash import simhash_digest
+from cohortlens.llm.spelling import spelling_digest
 from cohortlens.llm.suffix_dedup import suffix_dedup_digest
 from cohortlens.llm.toxicity import toxicity_digest
 
@@ -62,6 +65,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_digest(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontamination,
         op9_simhash,
         op10_line_dedup,
+        op11_lexical_search,
+        op12_spelling,
+        op13_chat,
     )
 }
 
@@ -83,4 +101,7 @@ SQL: dict[str, str] = {
     "op6_mixing": sql.MIXING,
     "op8_decontamination": sql.DECONTAMINATION,
     "op10_line_dedup": sql.LINE_DEDUP,
+    "op11_lexical_search": sql.LEXICAL_SEARCH,
+    "op12_spelling": sql.SPELLING,
+    "op13_chat": sql.CHAT,
 }

@@ -116,3 +116,112 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(y, vec_id) AS compone
     coalesce(y, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN found ON x = vec_id LEFT JOIN degrees ON a = vec_id
 """
+
+LEXICAL_SEARCH = rf"""
+WITH words AS (
+    SELECT row_number() OVER () AS row, doc_id,
+        regexp_extract_all({_LOWER % "coalesce(text, '')"}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), docs AS (
+    SELECT row, doc_id, len(w)::BIGINT AS n FROM words WHERE len(w) > 0
+), corpus AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM docs),
+asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        {_LOWER % "coalesce(text, '')"}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), held AS (
+    SELECT row, term, count(*)::BIGINT AS tf
+    FROM (SELECT row, unnest(w) AS term FROM words)
+    WHERE term IN (SELECT term FROM asked) GROUP BY row, term
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight
+    FROM held, corpus GROUP BY term, big_n
+), scored AS (
+    SELECT item_id, doc_id, row,
+        sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l))))::BIGINT AS score
+    FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN docs USING (row), corpus
+    GROUP BY item_id, doc_id, row
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, row)::INT AS rank,
+    doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""
+
+SPELLING = rf"""
+WITH RECURSIVE steps AS (
+    SELECT n, CASE WHEN k = 8 THEN c END AS entry
+    FROM (
+        SELECT n, 8 AS k, list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1
+            THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n::BIGINT) AS c
+        FROM range(256) AS r(n)
+    )
+), crc AS (SELECT list(entry ORDER BY n) AS entries FROM steps),
+runs AS (
+    SELECT doc_id, run, count(*)::BIGINT AS n
+    FROM (SELECT doc_id, {_LOWER % "unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+'))"} AS run FROM documents)
+    GROUP BY doc_id, run
+), hashed AS (
+    SELECT run, n, xor(list_reduce(
+        flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x: CASE
+            WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT]
+            ELSE [(192 + (unicode(x) >> 6))::BIGINT, (128 + (unicode(x) & 63))::BIGINT] END)),
+        lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h
+    FROM runs, crc
+), harmed AS (
+    SELECT CASE WHEN h % 97 = 0
+        THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run) + 2)::BIGINT) ELSE run END AS word, n
+    FROM hashed
+), words AS (
+    SELECT word, sum(n)::BIGINT AS n FROM harmed WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), shorter AS (
+    SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest
+    FROM words, unnest(range(1, length(word) + 1)) AS r(i)
+), pairs AS (
+    SELECT a.word, b.word AS near, b.n AS near_n
+    FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION
+    SELECT s.word, w.word, w.n FROM shorter s JOIN words w ON s.rest = w.word
+    UNION
+    SELECT w.word, s.word, s.n FROM shorter s JOIN words w ON s.rest = w.word
+), ranked AS (
+    SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near,
+        row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place
+    FROM pairs
+), forms AS (
+    SELECT w.word, w.n, coalesce(r.n_near, 0)::BIGINT AS n_near,
+        CASE WHEN r.near_n >= 2 * w.n THEN r.near END AS form,
+        CASE WHEN r.near_n >= 2 * w.n THEN r.near_n END AS form_n
+    FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.place = 1
+), follow AS (
+    SELECT word, word AS at FROM forms
+    UNION ALL
+    SELECT f.word, g.form FROM follow f JOIN forms g ON f.at = g.word WHERE g.form IS NOT NULL
+)
+SELECT f.word, f.form, l.at AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN follow l ON l.word = f.word JOIN forms e ON e.word = l.at AND e.form IS NULL
+"""
+
+_MARKS = ["<|im_start|>", "<|im_sep|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>"]
+
+
+def _escaped_length(text: str) -> str:
+    out = f"replace({text}, chr(92), chr(92) || chr(92))"
+    for mark in _MARKS:
+        out = f"replace({out}, '{mark}', '{mark[0]}' || chr(92) || '{mark[1:]}')"
+    return f"length({out})"
+
+
+CHAT = f"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), ''))
+        AS loss_sha256,
+    sum({sum(map(len, _MARKS[:3]))} + {_escaped_length("role")} + {_escaped_length("text")})::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
