@@ -10,6 +10,7 @@ import hashlib
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,9 +18,6 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.common import cut
 
-#: Joins in a row before their result is written.
-CUT_ROUNDS = 4
-
 
 def _meets(a: str, b: str) -> bool:
     """Whether a shorter end of ``a`` is a beginning of ``b``."""
@@ -83,13 +81,14 @@ def branch_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 
     ``messages`` has ``tree``, ``node`` (unique, not NULL), ``parent`` (NULL for a root)
     and ``score`` (NULL: 0). Each round of self-joins doubles the reach of every
-    node's jump towards its root and adds up the scores on the way, so a path takes
-    rounds in the logarithm of its length and a node one row a round. Leaves are
-    ranked in their tree by the sum of scores of their path, then by length, both
-    highest first, then by id; the ``branches`` best of each tree are chosen. The
-    jumps then take the chosen paths apart again, from the longest jump to single
-    messages. A parent that is missing in the tree makes its replies roots. Messages
-    on a cycle of replies have no root and are in no path.
+    node's jump towards its root and adds up the scores on the way, until the root is
+    reached: a path takes rounds in the logarithm of its length, and each round joins
+    only the nodes that have not arrived. Leaves are ranked in their tree by the sum of
+    scores of their path, then by length, both highest first, then by id; the
+    ``branches`` best of each tree are chosen. The jumps then take the chosen paths apart
+    again, each piece once into halves, down to single messages. A parent that is missing
+    in the tree makes its replies roots. Messages on a cycle of replies have no root and
+    are in no path.
     """
     slim = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0)).cast("double").alias("score"))
     known = slim.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"))
@@ -99,35 +98,35 @@ def branch_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         ).select("tree", "node", F.col("_node").alias("jump"), "score", F.lit(1).cast("bigint").alias("size")),
         "chat-jumps",
     )
-    total, levels = level.count(), []
-    while not level.filter("jump IS NOT NULL").isEmpty():
-        if 1 << len(levels) > total:
-            # Longer than any path: what still jumps runs in a circle.
-            level = level.filter("jump IS NULL")
+    first, total = level, level.count()
+    ended, levels = level.filter("jump IS NULL"), []
+    while True:
+        level = level.filter("jump IS NOT NULL")
+        # What jumps farther than any path is long runs in a circle.
+        if 1 << len(levels) > total or level.isEmpty():
             break
         levels.append(level)
-        far = level.select(
+        far = level.unionByName(ended).select(
             F.col("tree").alias("_tree"),
             F.col("node").alias("_node"),
             F.col("jump").alias("_jump"),
             F.col("score").alias("_score"),
             F.col("size").alias("_size"),
         )
+        met = F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("jump") == F.col("_node"))
         level = cut(
-            level.join(
-                far, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("jump") == F.col("_node")), "left"
-            ).select(
+            level.join(far, met).select(
                 "tree",
                 "node",
                 F.col("_jump").alias("jump"),
-                (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"),
-                (F.col("size") + F.coalesce("_size", F.lit(0))).alias("size"),
+                (F.col("score") + F.col("_score")).alias("score"),
+                (F.col("size") + F.col("_size")).alias("size"),
             ),
             "chat-jumps",
         )
-    first = levels[0] if levels else level
+        ended = ended.unionByName(level.filter("jump IS NULL"))
     inner = first.select(F.col("tree").alias("_tree"), F.col("jump").alias("_node")).distinct()
-    leaves = level.join(
+    leaves = ended.join(
         inner, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("node") == F.col("_node")), "left_anti"
     )
     order = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("size"), "node")
@@ -136,28 +135,28 @@ def branch_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         .filter(F.col("branch") <= branches)
         .select("tree", F.col("node").alias("leaf"), "branch", F.col("size").alias("step"), "node", "size")
     )
-    pieces = chosen
+    pieces = [cut(chosen, "chat-pieces")]
     for k in range(len(levels) - 1, -1, -1):
         reach = 1 << k
+        longer = (F.col("size") > reach) & (F.col("size") <= 2 * reach)
         jumps = levels[k].select(
             F.col("tree").alias("_tree"), F.col("node").alias("_from"), F.col("jump").alias("_to")
         )
-        met = pieces.join(
-            jumps,
-            F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("node") == F.col("_from")) & (F.col("size") > reach),
-            "left",
-        )
-        near = F.struct("step", "node", F.least("size", F.lit(reach)).alias("size"))
+        near = F.struct("step", "node", F.lit(reach).cast("bigint").alias("size"))
         rest = F.struct(
             (F.col("step") - reach).alias("step"),
             F.col("_to").alias("node"),
             (F.col("size") - reach).alias("size"),
         )
-        both = F.when(F.col("_to").isNull(), F.array(near)).otherwise(F.array(near, rest))
-        pieces = met.select("tree", "leaf", "branch", F.inline(both))
-        if k % CUT_ROUNDS == 0:
-            pieces = cut(pieces, "chat-pieces")
-    return pieces.select("tree", "leaf", "branch", "step", "node")
+        halves = _union([p.filter(longer) for p in pieces]).join(
+            jumps, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("node") == F.col("_from"))
+        )
+        pieces.append(cut(halves.select("tree", "leaf", "branch", F.inline(F.array(near, rest))), "chat-pieces"))
+    return _union([p.filter("size = 1") for p in pieces]).select("tree", "leaf", "branch", "step", "node")
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def format_paths(paths: DataFrame, messages: DataFrame, template: Template | None = None) -> DataFrame:
