@@ -285,13 +285,13 @@ def search_cell(rows: pd.DataFrame) -> pd.DataFrame:
 def upper_trees(words: DataFrame, total: int, cell_words: int) -> dict[int, KdTree]:
     """A tree for each length, grown from a sample of words drawn by hash.
 
-    The sample is bounded; it shapes the cells only. Every word is placed in one.
+    The share drawn makes about ``SAMPLE_WORDS`` words; they shape the cells only. Every
+    word is placed in one.
     """
+    share = F.lit(SAMPLE_WORDS / max(total, 1) * (1 << 30))
     drawn = (
-        words.filter(F.char_length("word") <= SAMPLE_LENGTH)
+        words.filter((F.char_length("word") <= SAMPLE_LENGTH) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < share))
         .select("word")
-        .orderBy(F.xxhash64("word"), "word")
-        .limit(SAMPLE_WORDS)
         .collect()
     )
     by_length: dict[int, list[bytes]] = {}
