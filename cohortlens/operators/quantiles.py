@@ -1,4 +1,4 @@
-"""Exact quantiles and box statistics without holding a group in one task."""
+"""Exact quantiles and box statistics, by histograms first and values last."""
 
 from __future__ import annotations
 
@@ -7,23 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STEPS = 16_384
+from cohortlens.operators.bounded import held
+
+#: Slices for each power of two, and parts of a slice.
+STEPS, PARTS = 1_024, 65_536
+#: Wanted slices that a broadcast may hold.
+HELD_SLICES = 200_000
 _LOWEST_EXPONENT = -1075
 _LAST_SLICE = 1 << 40
 
 
-def value_counts(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(``keys``, ``_x``, ``_n``): how often each value occurs in each group.
+def points(rows: DataFrame, keys: Sequence[str], value: str, counted: bool = False) -> DataFrame:
+    """(``keys``, ``_x``, ``_n``): the values that count, and how often.
 
-    Rows with a NULL or NaN value or a NULL key are in no group.
+    Rows with a NULL or NaN value or a NULL key are in no group. ``counted`` adds up
+    equal values of a group first.
     """
     x = F.col(value).cast("double")
-    return (
-        rows.dropna(subset=[*keys, value])
-        .filter(~F.isnan(x))
-        .groupBy(*keys, x.alias("_x"))
-        .agg(F.count("*").alias("_n"))
-    )
+    known = rows.dropna(subset=[*keys, value]).filter(~F.isnan(x))
+    # Not NULL by type, so that no NULL test is pushed below one of the uses only: all
+    # passes then read the same shuffle where the rows come out of one.
+    x = F.coalesce(x, F.lit(0.0)).alias("_x")
+    if counted:
+        return known.groupBy(*keys, x).agg(F.count("*").alias("_n"))
+    return known.select(*keys, x, F.lit(1).cast("bigint").alias("_n"))
 
 
 def magnitude_slice(x: Column) -> Column:
@@ -39,79 +46,118 @@ def magnitude_slice(x: Column) -> Column:
     step = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * STEPS)
     number = (exponent - _LOWEST_EXPONENT) * STEPS + step
     number = F.when(infinite, F.lit(_LAST_SLICE)).otherwise(number)
-    return F.when(x == 0, 0).when(x > 0, number).otherwise(-number).cast("bigint")
+    return F.coalesce(F.when(x == 0, 0).when(x > 0, number).otherwise(-number), F.lit(0)).cast("bigint")
+
+
+def slice_part(x: Column, lo: Column, hi: Column) -> Column:
+    """Part of the slice with least value ``lo`` and greatest ``hi``; never decreases."""
+    return F.when(hi > lo, F.floor((x - lo) / (hi - lo) * PARTS)).otherwise(0).cast("bigint")
+
 
+def _joined(big: DataFrame, small: DataFrame, on: Sequence[str] | Column, few_groups: bool) -> DataFrame:
+    side = held(small, HELD_SLICES, "use few_groups=False for so many groups") if few_groups else small
+    return big.join(side, on if isinstance(on, Column) else list(on))
 
-def _sliced(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Counts with the slice of each value's distance from its group's least finite value.
 
-    Values that are close together relative to their size so get many slices.
+def slice_totals(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(``keys``, ``_slice``, ``_total``, ``_lo``, ``_hi``), combined before the shuffle.
+
+    What is shuffled is one row for each slice of each group and task, however many
+    rows and different values there are.
     """
-    finite = F.when(F.abs("_x") < float("inf"), F.col("_x"))
-    least = counts.groupBy(*keys).agg(F.coalesce(F.min(finite), F.lit(0.0)).alias("_least"))
-    # Not NULL by type, so that no NULL test is pushed into one of the uses of the
-    # counts only: all then read the same shuffled counts.
-    placed = F.coalesce(magnitude_slice(F.col("_x") - F.col("_least")), F.lit(0))
-    return counts.join(F.broadcast(least), list(keys)).withColumn("_slice", placed).drop("_least")
+    return (
+        values.groupBy(*keys, magnitude_slice(F.col("_x")).alias("_slice"))
+        .agg(F.sum("_n").alias("_total"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    )
 
 
 def exact_quantiles(
-    rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]
+    rows: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: Sequence[float],
+    few_groups: bool = True,
+    counted: bool = False,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group: ``keys``, ``n`` and one ``q_i`` per prob.
 
-    ``keys`` must name a small fixed set of groups, such as bins or column names.
-    NULL values are ignored; a group with none but NULLs has no row.
-    """
-    return quantiles_of_counts(value_counts(rows, keys, value), keys, probs)
+    NULL and NaN values are ignored; a group with no others has no row.
 
+    The built-in percentile gathers all values of a group in one buffer. Here slice
+    totals, summed straight from the rows, tell which slices hold the wanted ranks, at
+    most two for each quantile and group. Only rows of those slices are then counted, by
+    part of the slice. A part that holds one value gives it; the values of the others, if
+    any are left, are counted one by one in a last pass, which finds nothing to read
+    where there are none. No pass shuffles more than slices, parts, or the different
+    values of a few narrow parts.
 
-def quantiles_of_counts(
-    counts: DataFrame, keys: Sequence[str], probs: Sequence[float]
-) -> DataFrame:
-    """Quantiles from the output of ``value_counts``.
+    Each pass derives the rows anew. Where that is costly, or values repeat a lot, such as
+    counts, ``counted`` shuffles the different values once, and all passes read those.
 
-    The built-in percentile gathers all values of a group in one buffer. Here the
-    totals of value slices tell which slices hold the wanted ranks (at most two per
-    quantile and group, hence the broadcast), and only the distinct values of those
-    slices are ranked, each slice on its own.
+    The wanted slices are broadcast, and more than ``HELD_SLICES`` of them are an error;
+    ``few_groups=False`` takes any number of groups by joins that shuffle the rows.
     """
     keys = list(keys)
-    placed = _sliced(counts, keys)
+    values = points(rows, keys, value, counted)
+    totals = slice_totals(values, keys)
 
     whole = Window.partitionBy(*keys)
-    so_far = whole.orderBy("_slice")
     wanted = (
-        placed.groupBy(*keys, "_slice")
-        .agg(F.sum("_n").alias("_total"))
-        .withColumns(
-            {"n": F.sum("_total").over(whole), "_end": F.sum("_total").over(so_far)}
+        totals.withColumns(
+            {"n": F.sum("_total").over(whole), "_end": F.sum("_total").over(whole.orderBy("_slice"))}
         )
         .withColumn("_before", F.col("_end") - F.col("_total"))
         .withColumn("_ranks", _ranks_within(probs, F.col("_before"), F.col("_end")))
         .filter(F.size("_ranks") > 0)
-        .select(*keys, "_slice", "n", "_before", "_ranks")
+        .select(*keys, "_slice", "n", "_before", "_ranks", "_lo", "_hi")
+    )
+
+    sliced = values.withColumn("_slice", magnitude_slice(F.col("_x")))
+    in_slice = _joined(sliced, wanted, [*keys, "_slice"], few_groups)
+    part = slice_part(F.col("_x"), F.col("_lo"), F.col("_hi")).alias("_part")
+    parts = in_slice.groupBy(*keys, "_slice", part).agg(
+        F.sum("_n").alias("_total"),
+        F.min("_x").alias("_lo"),
+        F.max("_x").alias("_hi"),
+        *[F.any_value(c).alias(c) for c in ("n", "_before", "_ranks")],
+    )
+    in_order = Window.partitionBy(*keys, "_slice").orderBy("_part")
+    found = (
+        parts.withColumn("_end", F.col("_before") + F.sum("_total").over(in_order))
+        .withColumn("_before", F.col("_end") - F.col("_total"))
+        .withColumn("_ranks", _only("_ranks", F.col("_before"), F.col("_end")))
+        .filter(F.size("_ranks") > 0)
+        .drop("_end", "_total")
     )
 
-    in_slice = Window.partitionBy(*keys, "_slice").orderBy("_x")
+    known = found.filter("_lo = _hi").select(*keys, "n", F.explode("_ranks").alias("_rank"), F.col("_lo").alias("_x"))
+    open_ = found.filter("_lo < _hi").select(
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
+        F.col("_slice").alias("_of"), "_part", "n", "_before", "_ranks", "_lo", "_hi",
+    )
+    same = F.col("_slice") == F.col("_of")
+    for i, k in enumerate(keys):
+        same = same & (F.col(k) == F.col(f"_key{i}"))
+    inside = same & F.col("_x").between(F.col("_lo"), F.col("_hi"))
+    counted = (
+        _joined(sliced, open_, inside, few_groups)
+        .groupBy(*keys, "_slice", "_part", "_x")
+        .agg(F.sum("_n").alias("_n"), *[F.any_value(c).alias(c) for c in ("n", "_before", "_ranks")])
+    )
+    in_part = Window.partitionBy(*keys, "_slice", "_part").orderBy("_x")
     ranked = (
-        placed.join(F.broadcast(wanted), [*keys, "_slice"])
-        .withColumn("_end", F.col("_before") + F.sum("_n").over(in_slice))
+        counted.withColumn("_end", F.col("_before") + F.sum("_n").over(in_part))
         .withColumn("_start", F.col("_end") - F.col("_n"))
-        .withColumn(
-            "_rank",
-            F.explode(
-                F.filter("_ranks", lambda r: (r >= F.col("_start")) & (r < F.col("_end")))
-            ),
-        )
+        .select(*keys, "n", F.explode(_only("_ranks", F.col("_start"), F.col("_end"))).alias("_rank"), "_x")
     )
-    found = []
+    both = known.unionByName(ranked)
+    ends = []
     for i, p in enumerate(probs):
         for side, rank in (("a", F.floor(_position(p))), ("b", F.ceil(_position(p)))):
-            found.append(F.max(F.when(F.col("_rank") == rank, F.col("_x"))).alias(f"_{side}{i}"))
+            ends.append(F.max(F.when(F.col("_rank") == rank, F.col("_x"))).alias(f"_{side}{i}"))
     return (
-        ranked.groupBy(*keys, "n")
-        .agg(*found)
+        both.groupBy(*keys, "n")
+        .agg(*ends)
         .select(*keys, "n", *[_between(i, p).alias(f"q_{i}") for i, p in enumerate(probs)])
     )
 
@@ -127,6 +173,10 @@ def _between(i: int, p: float) -> Column:
     return F.when(low == high, low).otherwise(between)
 
 
+def _only(ranks: str, start: Column, end: Column) -> Column:
+    return F.filter(ranks, lambda r: (r >= start) & (r < end))
+
+
 def _ranks_within(probs: Sequence[float], start: Column, end: Column) -> Column:
     ranks = []
     for p in probs:
@@ -134,25 +184,30 @@ def _ranks_within(probs: Sequence[float], start: Column, end: Column) -> Column:
     return F.filter(F.array_distinct(F.array(*ranks)), lambda r: (r >= start) & (r < end))
 
 
-def _fences(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _fences(
+    rows: DataFrame, keys: Sequence[str], value: str, few_groups: bool, counted: bool
+) -> DataFrame:
     """Quartiles and the 1.5 IQR fences per group."""
     iqr = F.col("q3") - F.col("q1")
     return (
-        quantiles_of_counts(counts, keys, (0.25, 0.5, 0.75))
+        exact_quantiles(rows, keys, value, (0.25, 0.5, 0.75), few_groups, counted)
         .withColumnsRenamed({"q_0": "q1", "q_1": "median", "q_2": "q3"})
         .withColumns({"_fence_lo": F.col("q1") - iqr * 1.5, "_fence_hi": F.col("q3") + iqr * 1.5})
     )
 
 
-def box_stats(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def box_stats(
+    rows: DataFrame, keys: Sequence[str], value: str, few_groups: bool = True, counted: bool = False
+) -> DataFrame:
     """Quartiles, whisker ends within 1.5 IQR, and the number of points beyond them.
 
-    Everything comes from the value counts, so the rows are read once.
+    After the quartiles one more pass over the rows, with one row for each group and
+    task in its shuffle.
     """
-    counts = value_counts(rows, keys, value)
     inside = F.col("_x").between(F.col("_fence_lo"), F.col("_fence_hi"))
+    fences = _fences(rows, keys, value, few_groups, counted)
     return (
-        counts.join(F.broadcast(_fences(counts, keys)), list(keys))
+        _joined(points(rows, keys, value, counted), fences, keys, few_groups)
         .groupBy(*keys, "n", "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col("_x"))).alias("_w_lo"),
@@ -172,12 +227,14 @@ def box_stats(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def box_outliers(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def box_outliers(
+    rows: DataFrame, keys: Sequence[str], value: str, few_groups: bool = True, counted: bool = False
+) -> DataFrame:
     """The rows beyond the whiskers of their group."""
-    fences = _fences(value_counts(rows, keys, value), keys).select(*keys, "_fence_lo", "_fence_hi")
+    fences = _fences(rows, keys, value, few_groups, counted).select(*keys, "_fence_lo", "_fence_hi")
     x = F.col(value).cast("double")
     return (
-        rows.join(F.broadcast(fences), list(keys))
+        _joined(rows, fences, keys, few_groups)
         .filter(~x.between(F.col("_fence_lo"), F.col("_fence_hi")))
         .drop("_fence_lo", "_fence_hi")
     )

@@ -68,10 +68,10 @@ def response_boxes(rows: DataFrame, edges: tuple[int, int, int] = EDGES) -> Data
 
     ``rows`` is the filled output of ``early_exposure_response``.
     """
-    stats = box_stats(_responders(rows, edges), ["bin_idx"], RESPONSES_RR)
+    stats = box_stats(_responders(rows, edges), ["bin_idx"], RESPONSES_RR, counted=True)
     return bin_spine(rows.sparkSession, *edges).join(stats, "bin_idx", "left")
 
 
 def response_outliers(rows: DataFrame, edges: tuple[int, int, int] = EDGES) -> DataFrame:
     """The rows beyond the whiskers of their exposure bin."""
-    return box_outliers(_responders(rows, edges), ["bin_idx"], RESPONSES_RR)
+    return box_outliers(_responders(rows, edges), ["bin_idx"], RESPONSES_RR, counted=True)

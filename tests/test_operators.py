@@ -112,10 +112,11 @@ def test_running_totals_keep_rows_without_a_key(frame):
 def test_quantiles_equal_numpy(spark, values):
     probs = (0.0, 0.25, 0.5, 0.75, 1.0)
     df = spark.createDataFrame([(1, float(v)) for v in values] + [(1, None), (2, 4.0)], "g int, v double")
-    got = {r["g"]: r for r in q.exact_quantiles(df, ["g"], "v", probs).collect()}
     want = np.quantile(values, probs)
-    assert got[1]["n"] == len(values) and got[2]["q_2"] == 4.0
-    assert [got[1][f"q_{i}"] for i in range(5)] == pytest.approx(list(want), rel=1e-12)
+    for counted in (False, True):
+        got = {r["g"]: r for r in q.exact_quantiles(df, ["g"], "v", probs, counted=counted).collect()}
+        assert got[1]["n"] == len(values) and got[2]["q_2"] == 4.0
+        assert [got[1][f"q_{i}"] for i in range(5)] == pytest.approx(list(want), rel=1e-12)
 
 
 def test_value_slices_never_decrease(spark):
@@ -260,11 +261,39 @@ def test_quantiles_take_infinity_and_leave_out_nan(frame):
     assert (row["count"], row["mean"], row["p50"], row["max"]) == (2, 2.0, 2.0, 3.0)
 
 
-def test_close_values_lie_in_many_slices(spark):
-    hour = spark.range(1_000_000).select(F.lit(1).alias("k"), (F.col("id") * 3600 + 1_700_000_000_000_000).alias("x"))
-    placed = q._sliced(q.value_counts(hour, ["k"], "x"), ["k"])
-    top = placed.groupBy("_slice").count().agg(F.max("count"), F.count("*")).first()
-    assert top[0] < 1000 and top[1] > 10_000
+@pytest.mark.parametrize("few", [True, False])
+def test_quantiles_of_values_within_one_slice(spark, few):
+    """A million instants of one slice, and neighbours that only the last pass tells apart."""
+    hour = spark.range(1_000_000).select(
+        F.lit(1).alias("k"), (F.col("id") * 3600 + 1_700_000_000_000_000).cast("double").alias("x")
+    )
+    totals = q.slice_totals(q.points(hour, ["k"], "x"), ["k"])
+    assert totals.count() < 20
+    got = q.exact_quantiles(hour, ["k"], "x", (0.25, 0.5), few).first()
+    assert (got["n"], got["q_0"]) == (1_000_000, 1_700_000_000_000_000 + 3600 * 249_999.75)
+    near = [1.0 + i * 2.0**-52 for i in range(50)] + [1.5] * 3
+    df = spark.createDataFrame([(g, x) for g in (1, 2) for x in near], "g int, x double")
+    for r in q.exact_quantiles(df, ["g"], "x", (0.1, 0.5, 0.9, 1.0), few).collect():
+        assert [r[f"q_{i}"] for i in range(4)] == pytest.approx(list(np.quantile(near, (0.1, 0.5, 0.9, 1.0))), abs=1e-15)
+
+
+def test_quantile_plans_shuffle_slices_only(spark, sf_dir):
+    """Exchanges below the joins carry slices and parts; no different values before the last pass."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.lit(1).alias("k"), "l_extendedprice")
+    n = lines.select("l_extendedprice").distinct().count()
+    totals = q.slice_totals(q.points(lines, ["k"], "l_extendedprice"), ["k"])
+    assert totals.count() < n / 2
+    plan = q.exact_quantiles(lines, ["k"], "l_extendedprice", (0.5,))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_too_many_groups_are_an_error_not_a_broadcast(spark):
+    from cohortlens.operators.bounded import held
+
+    few = spark.range(10)
+    assert held(few, 10).count() == 10
+    with pytest.raises(Exception, match="more than 9 rows to broadcast; take the other way"):
+        few.join(held(few, 9, "take the other way"), "id").collect()
 
 
 def test_csv_cells_survive_other_readers(spark, frame, tmp_path):
