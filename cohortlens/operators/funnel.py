@@ -41,6 +41,7 @@ def two_sided_funnel(
     late: tuple[int, int] = LATE_WINDOW,
     special_types: list[int] = SPECIAL_TYPES,
     excluded_channel: int = EXCLUDED_CHANNEL,
+    log_by_candidate: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct counterparts per stage for cohort users, as receiver and as candidate.
 
@@ -54,6 +55,10 @@ def two_sided_funnel(
     The log is joined to the cohort once on either side, so that rows of other users
     are gone before anything is stacked; then it is reduced to one mask of flags per
     (user, side, counterpart), and the bits are summed.
+
+    ``log_by_candidate`` is the same log in a second copy bucketed by ``user2_id``, next
+    to ``log`` and ``cohort`` bucketed by their users: then each side is summed where its
+    rows lie, and the sides are joined, without a shuffle.
     """
     if short < 0 or ten_days < 0 or late[0] < 1:
         raise ValueError("windows must be 0 hours or more, and the late one start at 1 or more")
@@ -65,7 +70,7 @@ def two_sided_funnel(
         _elapsed(late[1] + 1).alias("late_end"),
     )
 
-    def seen_from(own: str, other: str, role: int) -> DataFrame:
+    def seen_from(own: str, other: str, role: int, log: DataFrame = log) -> DataFrame:
         return log.join(bounds.withColumnRenamed("user_id", own), own).select(
             F.col(own).alias("user_id"),
             F.col(other).alias("other_id"),
@@ -74,7 +79,6 @@ def two_sided_funnel(
             *[c for c in bounds.columns if c != "user_id"],
         )
 
-    joined = seen_from("user1_id", "user2_id", 1).unionByName(seen_from("user2_id", "user1_id", 2))
     types = ", ".join(str(t) for t in special_types)
     plain = f"rcmd_type NOT IN ({types}) AND channel_id <> {excluded_channel}"
     flags = {
@@ -91,7 +95,6 @@ def two_sided_funnel(
         "jo14": "joined_time >= late_start AND joined_time < late_end",
     }
     mask = F.when(F.col("other_id").isNotNull(), flag_mask(flags)).otherwise(0)
-    per_pair = joined.groupBy("user_id", "role", "other_id").agg(F.bit_or(mask).alias("_mask"))
     position = {name: i for i, name in enumerate(flags)}
 
     def side(role: int, flag: str) -> str:
@@ -113,12 +116,42 @@ def two_sided_funnel(
         "rcmd_other_profile_14d": side(2, "prof14"),
         "rcmd_other_request_14d": side(2, "req14"),
     }
+    measures = [F.expr(e).alias(n) for n, e in sides.items()]
+    if log_by_candidate is not None:
+        return _joined_sides(
+            seen_from("user1_id", "user2_id", 1), seen_from("user2_id", "user1_id", 2, log_by_candidate), mask, sides
+        )
+    joined = seen_from("user1_id", "user2_id", 1).unionByName(seen_from("user2_id", "user1_id", 2))
+    per_pair = joined.groupBy("user_id", "role", "other_id").agg(F.bit_or(mask).alias("_mask"))
     return (
         per_pair.groupBy("user_id")
-        .agg(
-            F.min("role").alias("_first_role"),
-            *[F.expr(e).alias(n) for n, e in sides.items()],
-        )
+        .agg(F.min("role").alias("_first_role"), *measures)
         .filter("_first_role = 1")
         .drop("_first_role")
     )
+
+
+def _joined_sides(own: DataFrame, shown: DataFrame, mask: Column, sides: dict[str, str]) -> DataFrame:
+    """The sums of ``sides`` from one table for each role, joined on the user.
+
+    A sum over one role is taken from its table; sums of both roles are added up.
+    """
+    tables = []
+    for role, rows in ((1, own), (2, shown)):
+        per_pair = rows.groupBy("user_id", "other_id").agg(F.bit_or(mask).alias("_mask"))
+        parts = {
+            f"{name}_{role}": part
+            for name, whole in sides.items()
+            for part in whole.split(" + ")
+            if f"role = {role} " in part
+        }
+        with_role = per_pair.withColumn("role", F.lit(role))
+        tables.append(with_role.groupBy("user_id").agg(*[F.expr(e).alias(n) for n, e in parts.items()]))
+    both = tables[0].join(tables[1], "user_id", "left")
+    return both.select(
+        "user_id",
+        *[
+            F.expr(" + ".join(f"{name}_{role}" for role in (1, 2) if f"role = {role} " in whole)).alias(name)
+            for name, whole in sides.items()
+        ],
+    )

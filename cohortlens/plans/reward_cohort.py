@@ -120,6 +120,7 @@ def reward_cohort(
     patterns: Mapping[str, str] = COUPON_PATTERNS,
     max_score: float = MAX_SCORE,
     gender: int = 1,
+    log_by_candidate: DataFrame | None = None,
 ) -> DataFrame:
     """One row per cohort user: attributes, coupons, retention, two-sided funnel.
 
@@ -127,6 +128,9 @@ def reward_cohort(
     joined back on the user, so the users it removes could not appear anyway. Every
     branch is one row per user when joined. Only ``redeem_cnt`` is 0 where there is
     nothing to count, the other branch columns are NULL. Sorted by approval time.
+
+    With all inputs bucketed by their user, and the log a second time by its candidate
+    (``log_by_candidate``), the branches are computed and joined without shuffles.
     """
     cohort = sign_up_cohort(metrics, since, until).filter(F.col("gender") == gender)
     people = accounts.filter(F.col("relative_score") < max_score).select(
@@ -134,7 +138,9 @@ def reward_cohort(
     )
     coupons = coupon_issue_redeem(box, coupon_since)
     retention = cohort_retention(cohort, screen_log, log_days, screen)
-    funnel = two_sided_funnel(date_partitions(log, *log_days), cohort)
+    if log_by_candidate is not None:
+        log_by_candidate = date_partitions(log_by_candidate, *log_days)
+    funnel = two_sided_funnel(date_partitions(log, *log_days), cohort, log_by_candidate=log_by_candidate)
     used = coupon_use_by_pattern(code, source, patterns)
     joined = (
         with_approval_date(cohort)

@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.operators.bounded import held
+
+#: Days that a runtime filter may hold.
+HELD_DAYS = 50_000
+
 
 def date_partitions(
     df: DataFrame,
@@ -67,3 +72,17 @@ def snapshots(
         newest = kept.agg(F.max(column).alias(column))
         kept = kept.join(F.broadcast(newest), column, "left_semi")
     return kept.select(*columns)
+
+
+def on_days_of(
+    log: DataFrame, rows: DataFrame, day: Column | str, column: str = "date_ymd_kst"
+) -> DataFrame:
+    """Rows of ``log`` on the days that occur in ``rows``, a condition known at run time only.
+
+    The different days are broadcast, and where ``column`` is a partition column the scan
+    of ``log`` waits for them and opens their directories alone (dynamic partition
+    pruning, which needs a filter among what ``rows`` comes from). ``day`` gives the day
+    in the form of ``column``; NULL is no day.
+    """
+    days = rows.select((F.col(day) if isinstance(day, str) else day).alias(column)).distinct()
+    return log.join(held(days, HELD_DAYS), column, "left_semi")

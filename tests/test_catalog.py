@@ -51,3 +51,29 @@ JOINS = [
 def test_same_rows_without_broadcasts(spark, sf_dir, con, no_broadcast, name):
     df = contract.queries()[name](spark, sf_dir)
     assert compare(df, con, contract.oracle_sql()[name]) == []
+
+
+def executed(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_day_reads_the_days_of_the_cohort_only(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from cohortlens.catalog import stored
+
+    df = contract.queries()["cohort_first_day"](spark, sf_dir)
+    plan = executed(df)
+    assert re.search(r"PartitionFilters: \[[^\]]*dynamicpruning", plan)
+    log = stored.daily_log(spark, sf_dir)
+    days = {r[0] for r in df.select(F.col("approval_date").cast("string")).distinct().collect()}
+    assert 0 < len(days) < log.select("date_ymd_kst").distinct().count()
+    assert stored.daily_log(spark, sf_dir).inputFiles() == log.inputFiles()
+
+
+def test_bucketed_cohort_shuffles_less(spark, sf_dir, no_broadcast):
+    """Without broadcasts every join of the plain job shuffles; the bucketed one only its coupon branch."""
+    runs = contract.queries()
+    plain = executed(runs["reward_cohort"](spark, sf_dir)).count("Exchange hashpartitioning")
+    bucketed = executed(runs["reward_cohort_bucketed"](spark, sf_dir)).count("Exchange hashpartitioning")
+    assert bucketed <= 5 < plain / 2, (bucketed, plain)
