@@ -8,7 +8,7 @@ from cohortlens.catalog import standins as s
 from cohortlens.catalog.registry import query
 from cohortlens.functions.measures import any_flag, count_when, percent
 from cohortlens.operators.distincts import distinct_by_flags
-from cohortlens.operators.firsts import first_per_key, top_rows
+from cohortlens.operators.firsts import best_per_key, first_per_key, top_rows
 from cohortlens.operators.funnel import two_sided_funnel
 from cohortlens.operators.matching import both_roles
 from cohortlens.operators.running import running_totals
@@ -194,9 +194,8 @@ SELECT user_id, event_id, event_type, value FROM (
   FROM events WHERE ts <= TIMESTAMP '2024-01-20') WHERE rn = 1""")
 def latest_per_key(spark, sf):
     events = s.table(spark, sf, "events").filter(F.col("ts") <= F.lit("2024-01-20").cast("timestamp_ntz"))
-    return first_per_key(
-        events, ["user_id"], [F.desc_nulls_last("ts"), F.desc("event_id")]
-    ).select("user_id", "event_id", "event_type", "value")
+    latest = [F.col("ts"), F.col("event_id")]
+    return best_per_key(events, ["user_id"], latest, ["event_id", "event_type", "value"])
 
 
 @query("max_per_key", """
@@ -205,9 +204,8 @@ SELECT o_custkey, o_orderkey, o_totalprice FROM (
 WHERE rn = 1""")
 def max_per_key(spark, sf):
     orders = s.table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    return first_per_key(
-        orders, ["o_custkey"], [F.desc_nulls_last("o_totalprice"), F.asc("o_orderkey")]
-    )
+    largest = [F.col("o_totalprice"), -F.col("o_orderkey")]
+    return best_per_key(orders, ["o_custkey"], largest, ["o_orderkey", "o_totalprice"])
 
 
 @query("running_sums", s.with_inputs(s.LOG_SQL, body="""

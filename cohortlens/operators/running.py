@@ -72,3 +72,27 @@ def running_totals(
         .withColumns({n: F.col(n) + F.col(f"_o_{n}") for n in totals})
         .drop("_slice", *[f"_m_{n}" for n in totals], *[f"_o_{n}" for n in totals])
     )
+
+
+def gapless_numbers(df: DataFrame, keys: Sequence[str], by: str, name: str, pieces: int = 256) -> DataFrame:
+    """``df`` with numbers from 0 without gaps within each key, in no set order between pieces.
+
+    Rows with a NULL in ``keys`` are left out; without ``keys`` all rows are one key. A key is cut into ``pieces`` by the hash of the column ``by``; each is numbered on its own
+    and begins after those before it, so no key is numbered in one task.
+    """
+    piece = F.pmod(F.xxhash64(by), F.lit(pieces)).cast("int")
+    cut = df.withColumn("_piece", piece)
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        cut.groupBy(*keys, "_piece")
+        .agg(F.count("*").alias("_size"))
+        .withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+        .drop("_size")
+    )
+    own = Window.partitionBy(*keys, "_piece").orderBy(by)
+    return (
+        cut.withColumn("_own", F.row_number().over(own) - 1)
+        .join(starts, [*keys, "_piece"])
+        .withColumn(name, F.col("_own") + F.col("_start"))
+        .drop("_piece", "_own", "_start")
+    )

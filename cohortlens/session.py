@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # Keys that an aggregate of whole rows holds in a task before it goes over to sorting.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
     "spark.ui.enabled": "false",
 }
 

@@ -13,16 +13,17 @@ def read_extract(
     spark: SparkSession,
     path: str,
     schema: StructType | str | None = None,
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """A headed CSV file or directory; quotes inside quoted cells are doubled.
 
     ``schema`` is a ``StructType``, the name of a known extract, or None to infer
     the types (one more pass over the file). NaN cells become NULL, so that
     NULL-aware operators treat them as missing. Columns are taken by header name. A
-    record with other cells than the header is an error. ``multi_line`` allows line
-    breaks in quoted cells, but makes each file one task; without it a large file is
-    split.
+    record with other cells than the header is an error. A large file is split, which
+    holds for files without line breaks in quoted cells; ``multi_line`` allows those, but
+    makes each file one task. ``csv_records.read_checked`` splits such files too, and
+    keeps bad records apart.
     """
     reader = spark.read.options(
         header=True,

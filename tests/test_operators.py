@@ -307,7 +307,39 @@ def test_csv_cells_survive_other_readers(spark, frame, tmp_path):
     assert theirs == list(enumerate(cells))
     other = str(tmp_path / "other.csv")
     duckdb.sql(f"COPY (SELECT * FROM read_csv('{path}/*.csv', header = true)) TO '{other}' (HEADER, QUOTE '\"', ESCAPE '\"')")
-    assert rows_of(read_extract(spark, other), "n", "t") == rows_of(df, "n", "t")
+    assert rows_of(read_extract(spark, other, multi_line=True), "n", "t") == rows_of(df, "n", "t")
     (tmp_path / "long.csv").write_text("n,t\n1,a,extra\n")
     with pytest.raises(Exception, match="(?i)malformed"):
         read_extract(spark, str(tmp_path / "long.csv")).collect()
+
+
+@pytest.mark.parametrize("split", [64, 1 << 20])
+def test_csv_of_quoted_breaks_is_read_by_many_tasks(spark, tmp_path, split):
+    from pyspark.sql.types import StructType
+
+    from cohortlens.sources.csv_records import csv_records, read_checked
+
+    def quoted(x):
+        return '"' + x.replace('"', '""') + '"'
+
+    texts = ["plain", 'two\nlines, "quoted"', "", "\n\n", "x" * 300 + "\n" + "y" * 300, 'ends "', "é\n\r\nü"] * 9
+    rows = [f"{i},{quoted(t)},{i}.5" for i, t in enumerate(texts)]
+    (tmp_path / "a.csv").write_text("n,t,unused\n" + "\n".join(rows) + "\n", newline="")
+    (tmp_path / "b.csv").write_text('n,t,unused\n1000,x,NaN\n1001,too,many,cells\nword,y,1\n\n1002,"never\nends,1\n', newline="")
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(key, str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        records = csv_records(spark, str(tmp_path))
+        tasks = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+        assert split > 64 or tasks > 30
+        assert records.count() == 2 + len(texts) + 5
+        good, bad = read_checked(spark, str(tmp_path), StructType.fromDDL("t string, n bigint"))
+        want = [(t.replace("\r\n", "\n") or None, i) for i, t in enumerate(texts)] + [("x", 1000)]
+        assert sorted(map(tuple, good.collect()), key=lambda r: r[1]) == want
+        assert sorted(r["reason"] for r in bad.collect()) == ["a quote never ends", "not of its type: n", "other cells than the header"]
+        with pytest.raises(ValueError, match="no column m"):
+            read_checked(spark, str(tmp_path), StructType.fromDDL("m int"))
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -17,6 +19,7 @@ from cohortlens.plans.exposure_curves import exposure_curves
 from cohortlens.plans.exposure_histogram import exposure_histogram
 from cohortlens.plans.exposure_timeline import RESPONSE_TIME, exposure_timeline
 from cohortlens.plans.first_reward_daily import first_reward_daily
+from cohortlens.sources import extract_sets as sets
 from cohortlens.sources.schemas import EXTRACTS, TABLES
 from cohortlens.sources.tables import read_table
 from tests.conftest import rows_of
@@ -292,18 +295,37 @@ def test_usage_extracts(spark, table, tmp_path):
     out = str(tmp_path / "extracts")
     up.write_usage_extracts(log, out)
 
+    def lines(name):
+        folder = sets.published(spark, out)[name]
+        return sorted(line for f in Path(folder).glob("part-*") for line in f.read_text().splitlines())
+
     def extract(name):
-        df = spark.read.option("header", True).csv(f"{out}/{name}")
+        df = sets.read_published(spark, out, name)
         return df.columns, rows_of(df)
 
     assert extract("a_all_vol_periods") == (
-        ["ci_hash", "period", "x|a", "x|d"], [("p", "post_10", None, "2.0"), ("p", "pre", "1.0", None)],
+        ["use_type|description", "ci_hash", "x|a", "x|d", "period"],
+        [("0", "p", "1.0", None, "pre"), ("0", "p", None, "2.0", "post_10")],
     )
-    assert extract("a_pre_freq") == (["ci_hash", "x|a"], [("p", "1")])
-    assert extract("b_non_vol") == (["ci_hash", "x|d"], [("q", "4.0")])
-    assert extract("user_grade")[1] == [("p", "4"), ("q", "4")]
-    up.write_usage_extracts(log, out)
-    assert extract("b_non_vol") == (["ci_hash", "x|d"], [("q", "4.0")])
+    assert set(lines("a_all_vol_periods")) == {
+        "use_type,ci_hash,x,x,period", "description,,a,d,", "0,p,,2.0,post_10", "0,p,1.0,,pre",
+    }
+    assert lines("a_pre_freq") == ["ci_hash,", "description,a", "p,1", "use_type,x"]
+    assert extract("b_non_vol") == (["use_type|description|ci_hash", "x|d"], [("q", "4.0")])
+    grades = extract("user_grade")[1]
+    assert sorted(r[0] for r in grades) == ["0", "1"] and sorted(r[1:] for r in grades) == [("p", "4"), ("q", "4")]
+    assert not list(Path(out).glob("work-*"))
+
+    first = sets.published(spark, out)
+    broken = {"good": sets.Extract(spark.range(3)), "bad": sets.Extract(spark.range(3).selectExpr("raise_error('no') AS x"))}
+    with pytest.raises(Exception, match="no"):
+        sets.write_set(spark, out, broken)
+    assert sets.published(spark, out) == first and len(list(Path(out, "sets").iterdir())) == 1
+    assert extract("b_non_vol")[1] == [("q", "4.0")]
+    for _ in range(3):
+        sets.write_set(spark, out, {"empty": sets.Extract(spark.range(0)), "odd": sets.Extract(spark.createDataFrame([('a"b,c', None), ("x\ny", " z ")], "a string, b string"))})
+    assert len(list(Path(out, "sets").iterdir())) == sets.KEPT
+    assert extract("empty") == (["id"], []) and extract("odd")[1] == [('a"b,c', None), ("x\ny", " z ")]
 
 
 def test_use_type_cleaning_is_optional(frame):
