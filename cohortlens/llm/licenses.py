@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -54,36 +55,54 @@ class Notice:
         )
 
     def windows(self, line: bytes) -> list[tuple[int, int]]:
-        """Merged byte ranges in which an occurrence must lie."""
-        found = []
+        """Byte ranges in which an occurrence must lie, one for each seed found."""
+        found = set()
         for offset, seed in self.seeds:
             at = line.find(seed)
             while at >= 0:
                 begin = at - offset - self.edits
-                found.append((max(0, begin), begin + len(self.bytes) + 2 * self.edits))
+                found.add((max(0, begin), begin + len(self.bytes) + 2 * self.edits))
                 at = line.find(seed, at + 1)
-        out: list[tuple[int, int]] = []
-        for begin, end in sorted(found):
-            if out and begin <= out[-1][1]:
-                out[-1] = (out[-1][0], max(end, out[-1][1]))
-            else:
-                out.append((begin, end))
-        return out
+        return sorted(found)
+
+    def occurrences(self, line: bytes) -> list[tuple[int, int, int]]:
+        """(begin, end, edits) in bytes of the words joined by spaces, by rising place.
 
-    def occurrences(self, line: bytes) -> Iterator[tuple[int, int, int]]:
-        """(begin, end, edits) in bytes of the words joined by spaces."""
+        Each window is too short for two occurrences, and is searched by itself; equal
+        windows once. Of finds that share more than half a notice the one with the
+        fewest edits stays, the first of equal ones.
+        """
+        known: dict[bytes, tuple[int, int, int] | None] = {}
+        kept: list[tuple[int, int, int]] = []
         for begin, end in self.windows(line):
-            for m in self.match.finditer(line[begin:end]):
-                yield begin + m.start(), begin + m.end(), sum(m.fuzzy_counts)
+            window = line[begin:end]
+            if window not in known:
+                m = self.match.search(window)
+                known[window] = (m.start(), m.end(), sum(m.fuzzy_counts)) if m else None
+            if known[window] is not None:
+                a, b, edits = known[window]
+                kept.append((begin + a, begin + b, edits))
+        out: list[tuple[int, int, int]] = []
+        for span in sorted(set(kept)):
+            shared = min(span[1], out[-1][1]) - span[0] if out else 0
+            if 2 * shared <= len(self.bytes):
+                out.append(span)
+            elif span[2] < out[-1][2]:
+                out[-1] = span
+        return out
+
+
+def spaces_of(line: bytes) -> np.ndarray:
+    return np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
 
 
 def base_places(line: bytes, phrases: Mapping[str, str]) -> list[tuple[str, int]]:
-    """(label, first word) of every place of a phrase; ``line`` has a space at either end."""
+    """(label, byte) of every place of a phrase; ``line`` has a space at either end."""
     found = []
     for phrase, label in phrases.items():
         at = line.find(b" %b " % phrase.encode())
         while at >= 0:
-            found.append((label, line.count(b" ", 0, at)))
+            found.append((label, at))
             at = line.find(b" %b " % phrase.encode(), at + 1)
     return found
 
@@ -94,19 +113,27 @@ def scan(
     """Words, base places and notices of one text."""
     words = text.translate(WORD_BYTES).split()
     line = b" %b " % b" ".join(words)
-    spans = []
-    for notice in notices:
-        for begin, end, edits in notice.occurrences(line):
-            spans.append(
-                {
-                    "label": notice.label,
-                    "begin": max(0, line.count(b" ", 0, begin + 1) - 1),
-                    "end": line.count(b" ", 0, end - 1),
-                    "edits": edits,
-                    "text": line[begin:end].decode(errors="replace").strip(),
-                }
-            )
-    return len(words), base_places(line, phrases), sorted(spans, key=lambda s: (s["begin"], s["label"]))
+    places = base_places(line, phrases)
+    found = [(notice.label, *span) for notice in notices for span in notice.occurrences(line)]
+    if not places and not found:
+        return len(words), [], []
+    spaces = spaces_of(line)
+
+    def spaces_before(at: int) -> int:
+        return int(np.searchsorted(spaces, at))
+
+    spans = [
+        {
+            "label": label,
+            "begin": max(0, spaces_before(begin + 1) - 1),
+            "end": spaces_before(end - 1),
+            "edits": edits,
+            "text": line[begin:end].decode(errors="replace").strip(),
+        }
+        for label, begin, end, edits in found
+    ]
+    named = [(label, spaces_before(at)) for label, at in places]
+    return len(words), named, sorted(spans, key=lambda s: (s["begin"], s["label"]))
 
 
 def scan_licenses(
@@ -120,8 +147,11 @@ def scan_licenses(
     Texts are searched whole, as lower-case words joined by spaces. ``places`` are
     the exact places of ``phrases``, every one. ``notices`` lists each span within
     the edits allowed for its notice (one for ``bytes_per_edit`` bytes): label, first
-    word, word after the last, edits and the words found. An edit is a byte. NULL and
-    empty texts have no words. Columns with the names of the results are replaced.
+    word, word after the last, edits and the words found. An edit is a byte. Finds that
+    share more than half a notice are one. NULL and empty texts have no words, and a
+    table without rows none either; equal rows are scanned each. The time grows with
+    the length of a text and the seeds in it. Columns with the names of the results
+    are replaced.
     """
     phrases, notices = dict(phrases), dict(notices)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -215,6 +216,53 @@ def test_license_places_and_errors():
     assert licenses.scan(b"this work is a permit of charges", licenses.BASE, notices)[2] == []
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(before + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def edited(rnd, text, edits):
+    for _ in range(edits):
+        at = rnd.randrange(1, len(text) - 1)
+        kind = rnd.choice(["drop", "put", "change"])
+        letter = rnd.choice(b"abcdefgh").to_bytes(1, "little")
+        text = text[:at] + (b"" if kind == "drop" else letter) + text[at + (kind != "put") :]
+    return text
+
+
+def test_every_edited_notice_is_listed():
+    """Notices back to back, with edits, against the distance of each planted and each found text."""
+    rnd = random.Random(12)
+    for phrase, label in licenses.NOTICES.items():
+        notice = licenses.Notice(phrase, label)
+        for _ in range(12):
+            planted, line = [], b" "
+            for _ in range(rnd.choice([2, 5])):
+                own = edited(rnd, notice.bytes, rnd.randrange(notice.edits + 1))
+                planted.append((len(line), len(line) + len(own), edit_distance(own, notice.bytes)))
+                line += own + rnd.choice([b" ", b" x ", b" word or two "])
+            found = notice.occurrences(line)
+            for begin, end, edits in found:
+                assert edits == edit_distance(line[begin:end], notice.bytes) <= notice.edits
+            for begin, end, least in planted:
+                shared = [(min(e, end) - max(b, begin), n) for b, e, n in found]
+                assert any(2 * both > len(notice.bytes) - 2 * notice.edits and n <= least for both, n in shared)
+    both = licenses.Notice("all rights reserved", "x").occurrences(b" all rights resrved all rights reserved ")
+    assert [(b, e) for b, e, _ in both] == [(1, 19), (20, 39)]
+
+
+def test_many_seeds_take_linear_time():
+    notices = [licenses.Notice(p, label) for p, label in licenses.NOTICES.items()]
+    for text in (b"all right permission i " * 45_000, b"all rights reserved mit license " * 32_000):
+        start = time.perf_counter()
+        licenses.scan(text, licenses.BASE, notices)
+        assert time.perf_counter() - start < 30
+
+
 def test_held_out_toxicity(spark):
     folder = "/root/testdata/sf0.1"
     truth = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
