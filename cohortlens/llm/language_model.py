@@ -185,7 +185,9 @@ def _pair_part(rows: pd.DataFrame, words: Words) -> Iterator[pa.RecordBatch]:
     bucket = int(rows["bucket"].iloc[0])
     keys, counts = merged_rows(rows)
     save_array(f"{words.folder}/pairs-{bucket}", keys)
-    save_array(f"{words.folder}/pair_counts-{bucket}", counts.astype(np.uint32))
+    # Four bytes a count, or eight throughout a bucket where one needs them.
+    wide = len(counts) and counts.max() > np.iinfo(np.uint32).max
+    save_array(f"{words.folder}/pair_counts-{bucket}", counts.astype(np.uint64 if wide else np.uint32))
     u, v = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
     left, distinct = np.unique(v, return_counts=True)
     yield from _sent("left", words, left, distinct.astype(np.int64))
@@ -271,7 +273,9 @@ class KneserNey:
             known = self.words.part("pairs", int(b), "u8")
             at = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
             hit = known[at] == keys[own]
-            out[own[hit]] = self.words.part("pair_counts", int(b), "u4")[at[hit]]
+            counts = self.words.part("pair_counts", int(b), "u4")
+            counts = counts if len(counts) == len(known) else counts.view("u8")
+            out[own[hit]] = counts[at[hit]]
         return out
 
     def score(self, texts: list[bytes]) -> pd.DataFrame:

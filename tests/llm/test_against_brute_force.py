@@ -9,6 +9,7 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from cohortlens.llm import (
     toxicity,
 )
 from cohortlens.llm.components import components
+from cohortlens.llm.shared_arrays import pack
 from tests.oracle import compare, connect
 
 SMALL = "/root/testdata/sf0.001"
@@ -302,6 +304,17 @@ def plain_kneser_ney(texts):
     return pair, vocabulary
 
 
+def test_pair_counts_of_any_size(tmp_path):
+    """A count beyond 32 bits is stored and read whole, next to small ones."""
+    keys = np.array([3, 5, 9], np.uint64)
+    for counts in ([1, 7, 2], [1, 5_000_000_000, 2]):
+        words = language_model.Words(str(tmp_path), 1, np.array([20]), 20)
+        rows = pd.DataFrame({"kind": ["pair"], "bucket": [0], "data": [pack(keys, np.array(counts, np.int64))]})
+        list(language_model._pair_part(rows, words))
+        model = language_model.KneserNey(words, np.zeros(4), np.zeros(4), 0, np.zeros(3))
+        assert model._pair_counts(np.array([5, 3, 4, 9], np.uint64)).tolist() == [counts[1], counts[0], 0, counts[2]]
+
+
 def test_language_model(spark):
     docs = texts_of(spark, SMALL, 60) + [(900, b""), (901, b"never seen words")]
     train = [t for _, t in docs[:40]]
