@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.operators.bounded import held
+
+#: Most tables stacked in one pivot.
+HELD_FRAMES = 10_000
+
 
 def mean_by(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Mean of each measure per group; NULL keys and groups without any mean are left out."""
@@ -55,8 +60,8 @@ def usage_pivot(
     ``frame`` (a subset of ``keys``) marks what would be separate tables stacked on
     each other: within a frame an absent cell is 0, but a label that never occurs in
     the frame is NULL. What occurs is read off the wide rows, one row per frame; there
-    are as many frames as there would be tables, so that side is broadcast. A cell
-    whose label has no column is an error.
+    are as many frames as there would be tables, so that side is broadcast, and more than
+    ``HELD_FRAMES`` of them are an error. A cell whose label has no column is an error.
     """
     missing = F.raise_error(F.concat(F.lit("no column for the label "), F.col(label)))
     known = cells.dropna(subset=[label, *keys]).withColumn(
@@ -69,7 +74,7 @@ def usage_pivot(
     occurs = named.groupBy(*frame).agg(
         *[F.expr(f"max(_v{i} IS NOT NULL)").alias(f"_o{i}") for i in range(len(labels))]
     )
-    return named.join(F.broadcast(occurs), list(frame)).select(
+    return named.join(held(occurs, HELD_FRAMES, "choose a coarser frame"), list(frame)).select(
         *keys,
         *[F.expr(f"CASE WHEN _o{i} THEN coalesce(_v{i}, 0) END").alias(c) for i, c in enumerate(labels)],
     )
