@@ -1,10 +1,12 @@
 """Embedding near-dedup by an epsilon grid order join.
 
 Unit vectors with a cosine of at least c are within eps = sqrt(2 - 2c). On the leading
-principal axes they lie in grid cells of width eps; in the order of these cells, runs
-of vectors are blocks with bounds. Two sequences of blocks are joined recursively:
-intervals whose cells are two or more apart on some axis cannot hold a link and are
-skipped; the others are split, down to pairs of blocks, whose vectors are compared.
+principal axes they lie in grid cells, several to eps; in the order of these cells, runs
+of vectors are blocks with bounds on more of the axes. Two sequences of blocks are joined
+recursively: intervals whose bounds are farther apart than eps cannot hold a link and are
+skipped; the others are split, down to pairs of blocks and to short runs within them.
+What is left is compared on the leading axes first, and in full only where these leave
+a distance of at most eps.
 """
 
 from __future__ import annotations
@@ -21,15 +23,21 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import cut, packed
 from cohortlens.llm.components import components
 
-#: Least cosine of a link, leading axes of the grid, vectors of a block, children of an interval.
+#: Least cosine of a link, vectors of a block, of a run within it, children of an interval.
 COSINE = 0.93
-AXES = 6
 BLOCK = 1024
+RUN = 32
 FAN = 8
+#: Leading axes of the grid order, its cells to eps, and leading axes of bounds and first comparisons.
+AXES = 6
+FINE = 4
+BOUNDS = 16
+#: Room for rounding in squared distances of unit vectors.
+SLACK = 1e-9
 #: Partial sums of moments meet in so many groups first.
 GROUPS = 64
 
-_BLOCK = "label int, dim int, part int, seq int, lo array<int>, hi array<int>, ids binary, weights binary, vectors binary"
+_BLOCK = "label int, dim int, part int, seq int, lo array<double>, hi array<double>, ids binary, weights binary, vectors binary"
 
 
 @contextmanager
@@ -54,7 +62,12 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def principal_axes(classes: DataFrame, axes: int = AXES) -> dict[int, np.ndarray]:
+def reach(cosine: float) -> float:
+    """Squared distance within which unit vectors of at least this cosine lie."""
+    return 2 - 2 * cosine + SLACK
+
+
+def principal_axes(classes: DataFrame, axes: int = BOUNDS) -> dict[int, np.ndarray]:
     """The leading principal axes of the unit vectors of each dimension.
 
     Every task sends one matrix of sums for a dimension; they are added up in groups.
@@ -123,48 +136,55 @@ def vector_classes(rows: DataFrame) -> DataFrame:
     )
 
 
-def grid_blocks(classes: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
-    """Runs of at most ``block`` vectors in grid order, with the range of cells on each axis."""
-    axes = principal_axes(classes)
-    held = classes.sparkSession.sparkContext.broadcast(axes)
-    eps = float(np.sqrt(2 - 2 * cosine)) * (1 + 1e-9)
+def _on_axes(vectors: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Unit vectors on the leading axes; zeros stand for axes that short vectors lack."""
+    found = _units(vectors) @ axes
+    return np.pad(found, ((0, 0), (0, BOUNDS - found.shape[1])))
+
+
+def grid_blocks(classes: DataFrame, held, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+    """Runs of at most ``block`` vectors in grid order, with their range on each leading axis.
+
+    ``held`` is the broadcast of the axes by dimension, a matrix of ``BOUNDS`` columns each.
+    """
+    width = float(np.sqrt(reach(cosine))) / FINE
 
     @F.pandas_udf("array<int>")
     def cells(dims: pd.Series, vectors: pd.Series) -> pd.Series:
-        out = []
-        for dim, v in zip(dims, vectors, strict=True):
-            unit = _units(np.asarray(v, np.float64)[None, :])[0]
-            own = np.floor(unit @ held.value[dim] / eps).astype(np.int32)
-            out.append(np.concatenate([own, np.zeros(AXES - len(own), np.int32)]))
-        return pd.Series(out, dtype=object)
+        out = np.zeros((len(dims), AXES), np.int32)
+        for dim in dims.unique():
+            own = np.flatnonzero(dims == dim)
+            x = np.stack(vectors.iloc[own].to_numpy()).astype(np.float64)
+            out[own] = np.floor(_on_axes(x, held.value[dim])[:, :AXES] / width)
+        return pd.Series(list(out), dtype=object)
 
     placed = classes.withColumn("cell", cells("dim", "vector"))
     ordered = placed.repartitionByRange("label", "dim", "cell", "cid").sortWithinPartitions(
         "label", "dim", "cell", "cid"
     )
     runs = ordered.select("label", "dim", "cell", "cid", "n", "vector", F.spark_partition_id().alias("part"))
-    return runs.mapInArrow(lambda b: _block_rows(b, block), _BLOCK)
+    return runs.mapInArrow(lambda b: _block_rows(b, block, held.value), _BLOCK)
 
 
-def _block_rows(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+def _block_rows(batches: Iterator[pa.RecordBatch], block: int, axes: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     held: pa.Table | None = None
     seq = 0
 
     def made(t: pa.Table) -> pa.RecordBatch:
-        cells = _matrix(t.column("cell").combine_chunks()).astype(np.int32)
         kind = t.column("vector").type.value_type
         vectors = t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         vectors = vectors.astype(np.float32 if pa.types.is_float32(kind) else np.float64)
         head = {c: int(t.column(c)[0].as_py()) for c in ("label", "dim", "part")}
+        places = _on_axes(vectors.astype(np.float64).reshape(t.num_rows, -1), axes[head["dim"]])
         row = head | {
             "seq": seq,
-            "lo": cells.min(axis=0).tolist(),
-            "hi": cells.max(axis=0).tolist(),
+            "lo": places.min(axis=0).tolist(),
+            "hi": places.max(axis=0).tolist(),
             "ids": t.column("cid").to_numpy().astype(np.int64).tobytes(),
             "weights": t.column("n").to_numpy().astype(np.int64).tobytes(),
             "vectors": vectors.tobytes(),
         }
-        types = [pa.int32()] * 4 + [pa.list_(pa.int32())] * 2 + [pa.binary()] * 3
+        types = [pa.int32()] * 4 + [pa.list_(pa.float64())] * 2 + [pa.binary()] * 3
         names = ["label", "dim", "part", "seq", "lo", "hi", "ids", "weights", "vectors"]
         return pa.RecordBatch.from_arrays([pa.array([row[n]], k) for n, k in zip(names, types, strict=True)], names)
 
@@ -187,12 +207,12 @@ def _block_rows(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Re
 
 
 def _bounds(rows: DataFrame, keys: list[str]) -> DataFrame:
-    low = [F.min(F.col("lo")[i]) for i in range(AXES)]
-    high = [F.max(F.col("hi")[i]) for i in range(AXES)]
+    low = [F.min(F.col("lo")[i]) for i in range(BOUNDS)]
+    high = [F.max(F.col("hi")[i]) for i in range(BOUNDS)]
     return rows.groupBy(*keys).agg(F.array(*low).alias("lo"), F.array(*high).alias("hi"))
 
 
-def block_pairs(blocks: DataFrame, fan: int = FAN) -> DataFrame:
+def block_pairs(blocks: DataFrame, cosine: float = COSINE, fan: int = FAN) -> DataFrame:
     """(label, dim, a, b) with a <= b of blocks that may hold a link.
 
     Blocks of a label are numbered in grid order. Level k has intervals of fan^k
@@ -207,9 +227,10 @@ def block_pairs(blocks: DataFrame, fan: int = FAN) -> DataFrame:
         levels.append(
             _bounds(levels[-1].withColumn("no", F.floor(F.col("no") / fan).cast("bigint")), ["label", "dim", "no"])
         )
-    near = " AND ".join(
-        f"la[{i}] - hb[{i}] <= 1 AND lb[{i}] - ha[{i}] <= 1" for i in range(AXES)
+    apart = " + ".join(
+        f"power(greatest(la[{i}] - hb[{i}], lb[{i}] - ha[{i}], 0D), 2)" for i in range(BOUNDS)
     )
+    near = f"{apart} <= {reach(cosine)!r}D"
     pairs = levels[-1].select("label", "dim", F.col("no").alias("a"), F.col("no").alias("b"))
     for level in reversed(levels[:-1]):
         one = level.select("label", "dim", F.col("no").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
@@ -230,13 +251,55 @@ def block_pairs(blocks: DataFrame, fan: int = FAN) -> DataFrame:
     return pairs
 
 
-def _compared(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], cosine: float, axes: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            yield _pair_links(row, cosine)
+            yield _pair_links(row, cosine, axes[row["dim"]])
+
 
+def _run_bounds(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First vector of each run of ``RUN``, and the run's range on the leading axes."""
+    begin = np.arange(0, len(places), RUN)
+    return begin, np.minimum.reduceat(places, begin), np.maximum.reduceat(places, begin)
 
-def _pair_links(row: dict, cosine: float) -> pa.RecordBatch:
+
+def linked_vectors(
+    x: np.ndarray, y: np.ndarray, axes: np.ndarray, cosine: float = COSINE
+) -> tuple[np.ndarray, int, int]:
+    """Which vectors of ``x`` and ``y`` link, and how many pairs were compared on the axes and in full.
+
+    Runs whose bounds are farther apart than eps are skipped. Of the others, pairs that
+    the leading axes alone set farther apart are left out; the cosine decides the rest.
+    """
+    linked = np.zeros((len(x), len(y)), bool)
+    p, q = _on_axes(x, axes), _on_axes(y, axes)
+    most = reach(cosine)
+    begin, low, high = _run_bounds(p)
+    begin2, low2, high2 = _run_bounds(q)
+    norm, norm2 = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
+    size2 = np.diff(np.append(begin2, len(y)))
+    square, square2 = (p * p).sum(axis=1), (q * q).sum(axis=1)
+    first = full = 0
+    for at, lo, hi in zip(begin, low, high, strict=True):
+        gap = np.maximum(np.maximum(lo - high2, low2 - hi), 0)
+        columns = np.flatnonzero(np.repeat((gap * gap).sum(axis=1) <= most, size2))
+        rows = slice(at, at + RUN)
+        apart = square[rows, None] + square2[columns] - 2 * (p[rows] @ q[columns].T)
+        i, j = np.nonzero(apart <= most)
+        first += apart.size
+        if 4 * len(i) > apart.size:
+            full += apart.size
+            dots = x[rows] @ y[columns].T
+            linked[rows, columns] = dots / (norm[rows, None] * norm2[columns]) >= cosine
+        else:
+            full += len(i)
+            i, j = i + at, columns[j]
+            dots = np.einsum("ij,ij->i", x[i], y[j])
+            linked[i, j] = dots / (norm[i] * norm2[j]) >= cosine
+    return linked, first, full
+
+
+def _pair_links(row: dict, cosine: float, axes: np.ndarray) -> pa.RecordBatch:
     """(cid, n, root) of vectors of a block pair that have links in it.
 
     ``n`` counts the linked vectors with their copies; ``root`` joins what this pair's
@@ -249,12 +312,11 @@ def _pair_links(row: dict, cosine: float) -> pa.RecordBatch:
         raw = row[f"vectors_{name}"]
         kind = np.float32 if len(raw) == 4 * row["dim"] * len(ids) else np.float64
         x = np.frombuffer(raw, kind).reshape(len(ids), -1).astype(np.float64)
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        return ids, np.frombuffer(row[f"weights_{name}"], np.int64), x, np.sqrt((x * x).sum(axis=1))
+        return ids, np.frombuffer(row[f"weights_{name}"], np.int64), x / np.abs(x).max(axis=1, keepdims=True)
 
-    ids, weights, x, norm = side("a")
-    ids2, weights2, x2, norm2 = (ids, weights, x, norm) if same else side("b")
-    linked = (x @ x2.T) / (norm[:, None] * norm2[None, :]) >= cosine
+    ids, weights, x = side("a")
+    ids2, weights2, x2 = (ids, weights, x) if same else side("b")
+    linked, _, _ = linked_vectors(x, x2, axes, cosine)
     if same:
         np.fill_diagonal(linked, False)
         count = linked @ weights
@@ -283,14 +345,15 @@ def vector_links(classes: DataFrame, cosine: float = COSINE, block: int = BLOCK)
     """(cid, n, root) rows: linked vectors of each class by block pair, and whom they connect."""
     spark = classes.sparkSession
     numbering = Window.partitionBy("label", "dim").orderBy("part", "seq")
-    blocks = cut(grid_blocks(classes, cosine, block), "grid-blocks")
+    held = spark.sparkContext.broadcast(principal_axes(classes))
+    blocks = cut(grid_blocks(classes, held, cosine, block), "grid-blocks")
     bounds = cut(
         blocks.select("label", "dim", "part", "seq", "lo", "hi").withColumn(
             "no", (F.row_number().over(numbering) - 1).cast("bigint")
         ),
         "grid-bounds",
     )
-    pairs = block_pairs(bounds)
+    pairs = block_pairs(bounds, cosine)
     data = blocks.drop("lo", "hi").join(bounds.drop("lo", "hi"), ["label", "dim", "part", "seq"])
 
     def named(name: str) -> DataFrame:
@@ -299,7 +362,8 @@ def vector_links(classes: DataFrame, cosine: float = COSINE, block: int = BLOCK)
 
     met = pairs.join(named("a"), ["label", "dim", "a"]).join(named("b"), ["label", "dim", "b"])
     with _few_rows_a_batch(spark):
-        return cut(met.mapInArrow(lambda b: _compared(b, cosine), "cid bigint, n bigint, root bigint"), "vector-links")
+        links = met.mapInArrow(lambda b: _compared(b, cosine, held.value), "cid bigint, n bigint, root bigint")
+        return cut(links, "vector-links")
 
 
 def dedup_embeddings(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -311,7 +375,7 @@ def dedup_embeddings(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     zero or hold NULL or non-finite components, and those without label, link with
     nothing. ``component_id`` is the smallest ``vec_id`` reachable, its own for a
     vector without links; of rows without ``vec_id`` none counts as smallest. Columns
-    with the names of the results are replaced.
+    with the names of the results are replaced. An empty table gives no rows.
     """
     classes = vector_classes(rows)
     links = vector_links(classes, cosine)

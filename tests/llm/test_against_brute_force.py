@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -440,6 +441,43 @@ def test_embeddings_over_many_blocks(spark):
     assert got == {i: (degree[i], roots[i], roots[i] == i) for i in range(303)}
 
 
+@pytest.mark.parametrize("dim", [3, 24, 64])
+def test_linked_vectors(dim):
+    rng = np.random.default_rng(dim)
+    centers = rng.normal(size=(40, dim)) * np.linspace(3, 0.3, dim)
+    x = centers[np.sort(rng.integers(0, 40, 700))] + rng.normal(size=(700, dim)) * 0.2
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    axes = np.linalg.eigh(np.cov(unit.T))[1][:, ::-1][:, : min(dim, embedding_dedup.BOUNDS)]
+    # In grid order, as the blocks are; any order gives the same links.
+    order = np.lexsort(np.floor(unit @ axes[:, :4] / 0.1).T[::-1])
+    x, unit = x[order], unit[order]
+    linked, first, full = embedding_dedup.linked_vectors(x[:400], x[300:], axes)
+    assert (linked == (unit[:400] @ unit[300:].T >= 0.93)).all()
+    assert linked.sum() <= full <= first <= 400 * 400
+    assert dim < 24 or (first < 0.8 * 400 * 400 and full < 0.3 * 400 * 400)
+
+
+def test_blocks_farther_apart_than_eps_do_not_meet(spark):
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(64, 12))
+    x = np.concatenate([c + rng.normal(size=(8, 12)) * 0.05 for c in centers])
+    df = spark.createDataFrame(
+        [(i, [float(v) for v in row], 0) for i, row in enumerate(x)], "vec_id bigint, embedding array<double>, label int"
+    )
+    classes = embedding_dedup.vector_classes(df)
+    held = spark.sparkContext.broadcast(embedding_dedup.principal_axes(classes))
+    blocks = embedding_dedup.grid_blocks(classes, held, block=8)
+    numbered = blocks.withColumn("no", F.row_number().over(Window.orderBy("part", "seq")) - F.lit(1)).cache()
+    n = numbered.count()
+    pairs = {(r["a"], r["b"]) for r in embedding_dedup.block_pairs(numbered.withColumn("no", F.col("no").cast("bigint"))).collect()}
+    assert len(pairs) < 0.5 * n * (n + 1) / 2
+    held_by = {r["no"]: (np.frombuffer(r["vectors"]).reshape(-1, 12)) for r in numbered.collect()}
+    unit = {k: v / np.sqrt((v * v).sum(axis=1, keepdims=True)) for k, v in held_by.items()}
+    must = {(a, b) for a in unit for b in unit if a <= b and (unit[a] @ unit[b].T >= 0.93).any()}
+    assert must <= pairs
+    numbered.unpersist()
+
+
 def test_pipeline_by_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept = {}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from cohortlens.llm import (
     decontamination,
+    embedding_dedup,
     language_model,
     licenses,
     line_dedup,
@@ -103,6 +104,33 @@ def test_repeats_of_equal_rows(spark):
     assert sorted(got, key=str) == [(1, 510, 1), (1, 510, 1), (2, 0, 0), (None, 0, 0)]
 
 
+def test_vectors_of_odd_rows(spark):
+    rows = [
+        (1, [1.0, 0.0], 1, "x"),
+        (1, [1.0, 0.0], 1, "y"),
+        (2, [2.0, 0.1], 1, "x"),
+        (3, [1.0, 0.0], None, "x"),
+        (None, [0.0, 1.0], 1, "x"),
+        (4, [0.0, 1.0], 1, "x"),
+        (5, None, 1, "x"),
+        (6, [], 1, "x"),
+        (7, [0.0, 0.0], 1, "x"),
+        (8, [1.0, None], 1, "x"),
+        (9, [1.0, float("inf")], 1, "x"),
+        (10, [1.0], 1, "x"),
+    ]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int, note string")
+    df = df.select("*", *[F.lit("x").alias(c) for c in ("cid", "n", "first", "dim", "vector", "root", "kept", "component")])
+    out = embedding_dedup.dedup_embeddings(df)
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in out.collect())
+    assert got == sorted(
+        [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (0, 1, 4, True), (4, 1, 4, True)]
+        + [(i, 0, i, True) for i in range(5, 11)]
+    )
+    assert {"note", "cid", "vector", "root"} <= set(out.columns)
+    assert embedding_dedup.dedup_embeddings(df.limit(0)).collect() == []
+
+
 def test_training_needs_both_labels(spark, docs):
     labels = spark.createDataFrame([(i, 0) for i in range(9)], "doc_id bigint, toxic int")
     assert toxicity.train(docs, labels) is None
