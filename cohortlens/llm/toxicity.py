@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import warnings
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -14,15 +15,16 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.common import WORD_BYTES, id_text, packed, text_bytes
 
-#: Most labelled rows, and most bytes of their texts, that a fit takes.
+#: Most labelled rows, most bytes of their texts, and of one text, that a fit takes.
 SAMPLE_ROWS = 20_000
 SAMPLE_BYTES = 96 << 20
-#: Hash buckets of words; an embedding needs this share of the fitted texts, and this many.
+SAMPLE_TEXT = 4 << 20
+#: Hash buckets of words; an embedding needs so many of the fitted texts.
 BUCKETS = 1 << 22
-LEAST_SHARE, LEAST_TEXTS = 0.0015, 3
+LEAST_TEXTS = 3
 #: Numbers of an embedding, filter widths in words, filters of each width.
-SIZE, WIDTHS, FILTERS = 16, (1, 2, 3), 8
-EPOCHS, BATCH, RATE, SEED = 5, 32, 0.2, 7
+SIZE, WIDTHS, FILTERS = 16, (1, 2, 3), 16
+EPOCHS, BATCH, RATE, SEED = 8, 32, 0.1, 7
 #: Every so many of the sample's rows calibrate thresholds instead of fitting.
 CALIBRATE = 5
 #: A language needs so many toxic and clean rows there for a threshold of its own.
@@ -127,7 +129,7 @@ def fit(texts: Sequence[np.ndarray], labels: np.ndarray, embeddings: int) -> Mod
     """
     rng = np.random.default_rng(SEED)
     filters = FILTERS * len(WIDTHS)
-    embedding = rng.normal(0, 0.1, (embeddings + 1, SIZE)).astype(np.float32)
+    embedding = rng.normal(0, 0.02, (embeddings + 1, SIZE)).astype(np.float32)
     embedding[0] = 0
     start = [rng.normal(0, 0.3, (w, SIZE, FILTERS)).transpose(0, 2, 1).reshape(-1, SIZE) for w in WIDTHS]
     taps = np.concatenate(start).astype(np.float32)
@@ -185,11 +187,16 @@ def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES
+    docs: DataFrame,
+    labels: DataFrame,
+    rows: int = SAMPLE_ROWS,
+    size: int = SAMPLE_BYTES,
+    longest: int = SAMPLE_TEXT,
 ) -> DataFrame:
     """(buckets, lang, toxic, place) of at most ``rows`` labelled rows and ``size`` bytes of text.
 
-    Taken in the order of a hash of the id, from rows that are not held out. A
+    Taken in the order of a hash of the id, from rows that are not held out; texts of
+    more than ``longest`` bytes are passed over, they are scored but not learned from. A
     document labelled both ways counts as toxic. ``buckets`` holds the buckets of the
     words as 32-bit numbers.
     """
@@ -209,7 +216,7 @@ def labelled_sample(
     )
     found = docs.select("doc_id", text_bytes("text").alias("text"), "lang").join(
         F.broadcast(ids), "doc_id"
-    )
+    ).filter(F.octet_length("text") <= longest)
     order = Window.orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
     return (
         found.orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
@@ -233,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 
     A fifth of the sample is kept from the fit: on it the score is shifted so that
     0.5 is the best cut, and each language with enough rows of both kinds gets its
-    own cut. None where the sample lacks toxic or clean rows.
+    own cut. None, with a warning, where the sample lacks toxic or clean rows.
     """
     found = (
         labelled_sample(docs, labels)
@@ -242,7 +249,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         .applyInPandas(_trained, "model binary")
         .collect()
     )
-    return Model(**pickle.loads(found[0]["model"])) if found else None
+    if not found:
+        warnings.warn("too few labelled rows of both kinds: no model, all scores are 0", stacklevel=2)
+        return None
+    return Model(**pickle.loads(found[0]["model"]))
 
 
 def _trained(rows: pd.DataFrame) -> pd.DataFrame:
@@ -262,7 +272,7 @@ def _train(rows: pd.DataFrame) -> Model | None:
     words = [np.frombuffer(b, np.int32) for b in rows["buckets"]]
     own = [np.unique(w) for w, f in zip(words, fitted, strict=True) if f]
     seen, count = np.unique(np.concatenate(own), return_counts=True)
-    kept = seen[count >= max(LEAST_TEXTS, LEAST_SHARE * len(own))].astype(np.int64)
+    kept = seen[count >= LEAST_TEXTS].astype(np.int64)
     texts = [_places(w, kept) for w in words]
     model = fit([t for t, f in zip(texts, fitted, strict=True) if f], toxic[fitted], len(kept))
     model.buckets = kept
@@ -285,8 +295,9 @@ def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
 
     The score comes from the words of the whole text alone; an empty or NULL text
     gets the score of no words, and all texts get 0 where there is no model. Unknown
-    and NULL languages have the threshold 0.5. Columns with the names of the results
-    are replaced.
+    and NULL languages have the threshold 0.5. Long texts are compared whole, in blocks
+    of positions; equal texts score the same; an empty table gives no rows. Columns with
+    the names of the results are replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(None if model is None else vars(model))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import struct
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -78,6 +80,18 @@ def test_sharding(spark, sf_dir):
         assert r["grown_shard"] in (r["shard"], 40)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(slots) < 40
     assert 0 < sum(r["grown_shard"] == 40 for r in rows) < len(rows) / 10
+    def winner(doc_id, shards):
+        seed = 42 if doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42)
+        draws = [(xxhash.xxh64_intdigest(struct.pack("<i", k), seed) >> 11) for k in range(shards)]
+        return min(range(shards), key=lambda k: (-math.log((draws[k] + 0.5) * 2.0**-53), k))
+
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    want = []
+    for d, text in documents:
+        raw = (text or "").encode()
+        want.append((d, len(raw) + 16, zlib.crc32(raw), "key", winner(d, 40), winner(d, 41)))
+    got = [(r["doc_id"], r["size"], r["text_crc32"], r["law"], r["shard"], r["grown_shard"]) for r in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
     heavy = sharding.assign_shards(spark.range(20_000), "id", [1.0, 3.0, 0.0])
     share = {r["shard"]: r["count"] / 20_000 for r in heavy.groupBy("shard").count().collect()}
     assert set(share) == {0, 1} and abs(share[1] - 0.75) < 0.02
@@ -275,6 +289,43 @@ def test_held_out_toxicity(spark):
     assert hits > 0.8 and false < 0.02
 
 
+@pytest.mark.parametrize("block", [7, toxicity.BLOCK])
+def test_scores_by_a_plain_forward_pass(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(30)]
+    texts = [[vocabulary[i] for i in rng.integers(0, 30, n)] for n in rng.integers(0, 60, 60)]
+    words = [np.array([toxicity.bucket(w.encode()) for w in t], np.int32) for t in texts]
+    rows = pd.DataFrame(
+        {"buckets": [w.tobytes() for w in words], "lang": "en", "toxic": ["w3" in t for t in texts], "place": range(60)}
+    )
+    model = toxicity._train(rows)
+    row_of = {int(b): i + 1 for i, b in enumerate(model.buckets)}
+    taps = {}
+    for tap, (f, j) in enumerate(zip(toxicity.FILTER_OF_TAP, toxicity.PLACE_OF_TAP, strict=True)):
+        taps[int(f), int(j)] = model.taps[tap].astype(float)
+    known = model.rows()
+    for t, w in zip(texts, words, strict=True):
+        z = float(model.out[-1]) - model.shift
+        for f in range(toxicity.FILTERS * len(toxicity.WIDTHS)):
+            width = toxicity.WIDTHS[f // toxicity.FILTERS]
+            vectors = [model.embedding[row_of.get(int(b), 0)].astype(float) for b in w]
+            vectors += [np.zeros(toxicity.SIZE)] * (width - len(vectors))
+            best = max(
+                sum(float(vectors[i + j] @ taps[f, j]) for j in range(width)) for i in range(len(vectors) - width + 1)
+            )
+            z += max(best + float(model.bias[f]), 0) * float(model.out[f])
+        assert math.isclose(model.logit(known.text(" ".join(t).encode())), z, rel_tol=1e-4, abs_tol=1e-4)
+
+
+def test_sample_passes_over_long_texts(spark):
+    docs = spark.createDataFrame([(i, "x" * (500 if i % 3 == 0 else 20), "en") for i in range(60)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    free = docs.filter(~toxicity.held_out()).filter("doc_id % 3 != 0").count()
+    assert toxicity.labelled_sample(docs, labels, longest=100).count() == free
+    assert toxicity.labelled_sample(docs, labels, size=100, longest=100).count() == 5
+
+
 def plain_kneser_ney(texts):
     """Probabilities by dictionaries, straight from the definition."""
     pairs, vocabulary = Counter(), {None}

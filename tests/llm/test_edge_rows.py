@@ -131,6 +131,24 @@ def test_vectors_of_odd_rows(spark):
     assert embedding_dedup.dedup_embeddings(df.limit(0)).collect() == []
 
 
+def test_trained_model_on_odd_rows(spark, docs):
+    words = ["good day to you", "bad vile words here"]
+    fitted = spark.createDataFrame(
+        [(i, f"{words[i % 2]} {i % 7}", "en") for i in range(200)], "doc_id bigint, text string, lang string"
+    )
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, toxic int")
+    model = toxicity.train(fitted, labels)
+    out = toxicity.score_toxicity(docs, model)
+    assert out.count() == len(ROWS) and {"score", "row", "key"} <= set(out.columns)
+    scores = {(r["doc_id"], r["text"]): r["score"] for r in out.collect()}
+    # The odd rows collapse to their (doc_id, text): rows 4 and 4 are equal.
+    assert len(scores) == len(ROWS) - 1 and all(0 <= s <= 1 for s in scores.values())
+    assert scores[1, None] == scores[2, ""] == scores[3, " \t\n"] == scores[None, None]
+    assert toxicity.score_toxicity(docs.limit(0), model).collect() == []
+    learned = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(fitted, model).collect()}
+    assert all((learned[i] >= 0.5) == bool(i % 2) for i in range(200))
+
+
 def test_training_needs_both_labels(spark, docs):
     labels = spark.createDataFrame([(i, 0) for i in range(9)], "doc_id bigint, toxic int")
     assert toxicity.train(docs, labels) is None
