@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -21,9 +21,16 @@ SEED = 42
 BITS = 3
 #: Fixed value: generator polynomial of the binary Golay code of 23 bits, 12 of them data.
 GENERATOR = 0b101011100011
-#: Segments of a fingerprint, and the distance within which a codeword gives a key.
-SEGMENTS = 4
+#: Bits of the segments of a fingerprint, and the distance within which a codeword gives a key.
+WIDTHS = (13, 13, 13, 13, 12)
 REACH = 4
+#: Of a key: two segments taken as they are, and the one after them taken by codewords.
+CHOICES = [
+    (i, j, next(k % len(WIDTHS) for k in range(j + 1, j + 4) if k % len(WIDTHS) != i))
+    for i, j in combinations(range(len(WIDTHS)), 2)
+]
+#: Fingerprints and groups with more than this share of all rows are joined apart.
+HOT_SHARE = 1000
 #: Fingerprints of one key are compared in pieces of at most about so many.
 PIECE = 4096
 
@@ -57,7 +64,7 @@ def fingerprints(docs: DataFrame, name: str, shingle: int = SHINGLE) -> DataFram
     return docs.withColumn(name, of_texts(text_bytes("text")))
 
 
-def near_codewords(width: int = 64 // SEGMENTS, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
+def near_codewords(width: int = WIDTHS[0], reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
     """(start, number): the Golay codewords within ``reach`` bits of each segment value.
 
     A segment of ``width`` bits stands in the low bits of a word of 23. The code is
@@ -80,30 +87,31 @@ def near_codewords(width: int = 64 // SEGMENTS, reach: int = REACH) -> tuple[np.
 
 def _key_batches(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatch]:
     starts, numbers = tables.value
-    width = 64 // SEGMENTS
+    wide = WIDTHS[0]
     for batch in batches:
         prints = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        segments = [
-            (prints.view(np.uint64) >> np.uint64(width * s) & np.uint64((1 << width) - 1)).astype(np.int64)
-            for s in range(SEGMENTS)
-        ]
-        for s in range(SEGMENTS):
-            exact, fuzzy = segments[s], segments[(s + 1) % SEGMENTS]
-            count = starts[fuzzy + 1] - starts[fuzzy]
+        segments, low = [], 0
+        for width in WIDTHS:
+            own = prints.view(np.uint64) >> np.uint64(low) & np.uint64((1 << width) - 1)
+            segments.append(own.astype(np.int64))
+            low += width
+        for choice, (i, j, k) in enumerate(CHOICES):
+            exact = ((choice << wide | segments[i]) << wide | segments[j]) << 12
+            count = starts[segments[k] + 1] - starts[segments[k]]
             row = np.repeat(np.arange(len(prints)), count)
             within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            number = numbers[starts[fuzzy][row] + within]
-            keys = (s << (width + 12)) | (exact[row] << 12) | number
+            keys = exact[row] | numbers[starts[segments[k]][row] + within]
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints[row])], ["key", "print"])
 
 
 def candidate_keys(prints: DataFrame) -> DataFrame:
     """(key, print): several keys for each distinct fingerprint.
 
-    With at most three errors in four segments, some error-free segment is followed
-    (the last by the first) by one with at most one error: of three segments with one
-    error each, or of two or one with more, not every error-free one can stand before
-    a bad one. A key is the bits of a segment and a codeword number near the next.
+    A key is the bits of two of five segments and a codeword number near a third, 38
+    bits and the choice of segments. At most three errors leave two segments or more
+    without any. If just two are, each other one has one error, so the third segment
+    of that pair will do. Otherwise one segment at most has more than one error, and
+    of the pairs among three error-free ones not all go with that segment.
     """
     tables = prints.sparkSession.sparkContext.broadcast(near_codewords())
     return prints.select("print").mapInArrow(
@@ -193,6 +201,20 @@ def fingerprint_links(prints: DataFrame, bits: int = BITS, piece: int = PIECE) -
     return dealt.mapInArrow(lambda b: _link_batches(b, bits), "a bigint, b bigint").distinct()
 
 
+def _joined_by(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to a table with one row of each ``key``; both are written tables.
+
+    Keys with more than a thousandth of all rows, of which there are fewer than a
+    thousand, are broadcast with their values, so their rows stay where they are.
+    """
+    least = rows.count() // HOT_SHARE
+    found = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > least).select(key)
+    hot = cut(values.join(F.broadcast(cut(found, "simhash-hot")), key, "left_semi"), "simhash-hot-values")
+    apart = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(values, key)
+    return apart.unionByName(others)
+
+
 def _classes(prints: DataFrame) -> DataFrame:
     """(print, root) of each distinct fingerprint."""
     distinct = cut(prints.select("print").distinct(), "simhash-prints")
@@ -208,14 +230,14 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame
         "doc_id", F.xxhash64("text").alias("text_hash"), "print"
     )
     slim = cut(slim, "simhash-rows")
-    return slim.join(_classes(slim), "print")
+    return _joined_by(slim, cut(_classes(slim), "simhash-roots"), "print")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
     """Per document: fingerprint as 16 hex digits and the smallest doc_id of its group."""
     rows = cut(near_duplicate_classes(docs), "simhash-classes")
     ids = cut(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "simhash-ids")
-    return rows.join(ids, "root").select(
+    return _joined_by(rows, ids, "root").select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
     )
 
