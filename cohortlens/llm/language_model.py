@@ -1,13 +1,15 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney bigram model.
+"""Language-model scoring: an interpolated modified Kneser-Ney model of any order from 2.
 
 Counted in Spark, stored as sorted hash arrays in the shared folder, and memory-mapped
 by the workers that score texts.
 
 Words are 64-bit hashes; a word's number is its place among the sorted hashes of all
-training words. A bigram is the pair of numbers. Tasks count what they read, and send
-(bucket, compressed arrays) rows; a bucket's task adds them up and writes its part of
-the arrays. Words are bucketed by hash range and bigrams by a hash of the pair, so a
-frequent word weighs no more than a rare one in any task.
+training words, 64 bits wide. A gram is a row of numbers, stored under a 64-bit hash of
+them. Tasks count what they read, and send (bucket, compressed arrays) rows; a bucket's
+task adds them up, writes its part of the arrays, and sends on what its grams say of
+their contexts and of the grams without the first word. Words are bucketed by hash
+range and grams by their hash, so a frequent word weighs no more than a rare one in any
+task. From the highest order down each order is one job.
 """
 
 from __future__ import annotations
@@ -29,14 +31,18 @@ from cohortlens.llm.shared_arrays import (
     bucket_row,
     map_array,
     merged_rows,
+    pack,
     range_bucket,
     save_array,
     summed,
+    unpack,
 )
 
 #: Bytes of text for each bucket of counts, and of text taken in one go.
 BUCKET_BYTES = 32 << 20
 CHUNK_BYTES = 4 << 20
+#: Words of the longest gram.
+ORDER = 3
 #: A line break is in no word, so this hash stands for the end of a text.
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 
@@ -69,11 +75,6 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), sizes
 
 
-def _pair_bucket(pairs: np.ndarray, buckets: int) -> np.ndarray:
-    mixed = pairs * np.uint64(0x9E3779B97F4A7C15)
-    return range_bucket(mixed ^ (mixed >> np.uint64(29)), buckets)
-
-
 @dataclass
 class Words:
     """Sorted word hashes with counts, in parts by hash range."""
@@ -139,32 +140,69 @@ def count_words(texts: DataFrame, folder: str, buckets: int) -> Words:
     return Words(folder, buckets, sizes, sum(r["total"] for r in found))
 
 
-def _pairs(texts: list[bytes], words: Words) -> tuple[np.ndarray, ...]:
-    """(context number, word number, count of the word, tokens of each text) over all tokens.
+def _grams(texts: list[bytes], words: Words, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(numbers, count of the word, tokens of each text) over all tokens.
 
-    The context of a text's first word is the number after the last word's.
+    The numbers are ``order`` arrays, the last one of the tokens and those before it of
+    the words in front of them. Before a text stands the number after the last word's.
     """
     hashes, sizes = _tokens(texts)
     keys, where = np.unique(hashes, return_inverse=True)
     number, count = words.find(keys)
-    v = number[where]
-    u = np.empty_like(v)
-    u[1:] = v[:-1]
-    u[np.cumsum(sizes) - sizes] = words.distinct
-    return u, v, count[where], sizes
-
-
-def _joined(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return (u.astype(np.uint64) << np.uint64(32)) | v.astype(np.uint64)
-
-
-def _pair_rows(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[pa.RecordBatch]:
-    counter = BucketCounter("pair", _pair_bucket, words.buckets)
+    place = np.arange(len(hashes)) + (order - 1) * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    padded = np.full(len(hashes) + (order - 1) * len(sizes), words.distinct, np.int64)
+    padded[place] = number[where]
+    return [padded[place - back] for back in range(order - 1, -1, -1)], count[where], sizes
+
+
+def _hashed(numbers: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of rows of numbers: each number is mixed into the hash of those before."""
+    out = np.full(len(numbers[0]), len(numbers), np.uint64)
+    for column in numbers:
+        out = (out ^ (column.astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(27)
+    return out
+
+
+class GramCounter(BucketCounter):
+    """Adds up counts of grams; sends their numbers and counts, by the first number."""
+
+    def _merge(self) -> None:
+        keys, counts, *numbers = [np.concatenate(c) for c in zip(*self.held, strict=True)]
+        self.held = [_counted(keys, counts, numbers)]
+        self.size = len(self.held[0][0])
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        self._merge()
+        keys, counts, *numbers = self.held[0]
+        self.held, self.size = [], 0
+        bucket = self.bucket_of(keys, self.buckets)
+        order = np.lexsort((numbers[0], bucket))
+        ends = np.cumsum(np.bincount(bucket, minlength=self.buckets))
+        for b, (begin, end) in enumerate(zip([0, *ends], ends, strict=False)):
+            if end > begin:
+                own = order[begin:end]
+                yield bucket_row(self.kind, b, pack(numbers[0][own], counts[own], *[c[own] for c in numbers[1:]]))
+
+
+def _counted(keys: np.ndarray, counts: np.ndarray, numbers: list[np.ndarray]) -> list[np.ndarray]:
+    """Distinct keys in order, the sum of counts of each, and its numbers."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return [keys[begin], np.add.reduceat(counts[order], begin), *[c[order[begin]] for c in numbers]]
+
+
+def _gram_rows(batches: Iterator[pa.RecordBatch], words: Words, order: int) -> Iterator[pa.RecordBatch]:
+    counter = GramCounter("gram", range_bucket, words.buckets)
     for batch in batches:
         for texts in _chunks(batch.column(0).to_pylist()):
-            u, v, _, _ = _pairs(texts, words)
-            keys, counts = np.unique(_joined(u, v), return_counts=True)
-            yield from counter.add(keys, counts.astype(np.int64))
+            numbers, _, _ = _grams(texts, words, order)
+            keys, first, counts = np.unique(_hashed(numbers), return_index=True, return_counts=True)
+            yield from counter.add(keys, counts.astype(np.int64), *[c[first] for c in numbers])
     yield from counter.flush()
 
 
@@ -173,51 +211,79 @@ def _count_of_counts(counts: np.ndarray) -> np.ndarray:
 
 
 def _place_bucket(words: Words):
-    """Bucket of a word number: the one of its hash; the number of text starts is in the last."""
+    """Bucket of a word number: the one of its hash."""
     ends = words.starts[1:]
     return lambda numbers, buckets: np.minimum(
         np.searchsorted(ends, numbers.astype(np.int64), side="right"), buckets - 1
     )
 
 
-def _pair_part(rows: pd.DataFrame, words: Words) -> Iterator[pa.RecordBatch]:
-    """Write one part of the bigram counts; send on what it says of words and contexts."""
-    bucket = int(rows["bucket"].iloc[0])
-    keys, counts = merged_rows(rows)
-    save_array(f"{words.folder}/pairs-{bucket}", keys)
-    # Four bytes a count, or eight throughout a bucket where one needs them.
-    wide = len(counts) and counts.max() > np.iinfo(np.uint32).max
-    save_array(f"{words.folder}/pair_counts-{bucket}", counts.astype(np.uint64 if wide else np.uint32))
-    u, v = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-    left, distinct = np.unique(v, return_counts=True)
-    yield from _sent("left", words, left, distinct.astype(np.int64))
-    kinds = [(counts == 1), (counts == 2), (counts >= 3)]
-    yield from _sent("context", words, *summed(u, counts, *[k.astype(np.int64) for k in kinds]))
-    yield bucket_row("seen", bucket, _count_of_counts(counts).astype(np.int64).tobytes())
+def _save_counts(uri: str, counts: np.ndarray) -> None:
+    """Four bytes a count, or eight throughout an array where one needs them."""
+    wide = counts.size and counts.max() > np.iinfo(np.uint32).max
+    save_array(uri, counts.astype(np.uint64 if wide else np.uint32))
 
 
-def _sent(kind: str, words: Words, keys: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    counter = BucketCounter(kind, _place_bucket(words), words.buckets)
+def _gram_part(rows: pd.DataFrame, words: Words, order: int, level: int) -> Iterator[pa.RecordBatch]:
+    """Write one part of the grams of ``level`` words, and of what longer ones say of them as
+    contexts; send on what it says of the shorter ones.
+
+    Of the highest order the counts are those of the texts, of others the number of
+    words that stand before.
+    """
+    bucket = int(rows["bucket"].iloc[0])
+    if level < order:
+        _write_contexts(rows, words, bucket, level + 1)
+    parts = [unpack(d) for d in rows.loc[rows["kind"] == "gram", "data"]]
+    if not parts:
+        parts = [[np.zeros(0, np.int64)] * (level + 1)]
+    first, counts, *others = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    del parts
+    numbers = [first, *others]
+    keys = _hashed(numbers)
+    if len(keys):
+        keys, counts, *numbers = _counted(keys, counts, numbers)
+    save_array(f"{words.folder}/grams{level}-{bucket}", keys)
+    _save_counts(f"{words.folder}/gram_counts{level}-{bucket}", counts)
+    yield bucket_row("seen", bucket, _count_of_counts(counts).astype(np.int64).tobytes())
+    if not len(keys):
+        return
+    kinds = [(counts == 1), (counts == 2), (counts >= 3)]
+    contexts = summed(_hashed(numbers[:-1]), counts, *[k.astype(np.int64) for k in kinds])
+    yield from _sent(BucketCounter("context", range_bucket, words.buckets), *contexts)
+    del contexts
+    once = np.ones(len(keys), np.int64)
+    if level > 2:
+        shorter = _counted(_hashed(numbers[1:]), once, numbers[1:])
+        yield from _sent(GramCounter("gram", range_bucket, words.buckets), *shorter)
+    else:
+        left = summed(numbers[1].astype(np.uint64), once)
+        yield from _sent(BucketCounter("left", _place_bucket(words), words.buckets), *left)
+
+
+def _sent(counter: BucketCounter, keys: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield from counter.add(keys, *columns)
     yield from counter.flush()
 
 
+def _write_contexts(rows: pd.DataFrame, words: Words, bucket: int, level: int) -> None:
+    """Hashes of the contexts of ``level``; of each the sum of counts, and how many are 1, 2 and more."""
+    own = rows[rows["kind"] == "context"]
+    keys, *sums = merged_rows(own) if len(own) else [np.zeros(0, t) for t in "Qqqqq"]
+    save_array(f"{words.folder}/contexts{level}-{bucket}", keys)
+    _save_counts(f"{words.folder}/context_sums{level}-{bucket}", np.stack(sums, axis=1))
+
+
 def _word_part(rows: pd.DataFrame, words: Words) -> pd.DataFrame:
-    """Write the continuation count and the context sums of a range of words."""
+    """Write the continuation counts of a range of words, and the contexts of one word."""
     bucket = int(rows["bucket"].iloc[0])
-    start = int(words.starts[bucket])
-    size = int(words.sizes[bucket]) + (bucket == words.buckets - 1)
-    left, context = np.zeros(size, np.int64), np.zeros((size, 4), np.int64)
+    _write_contexts(rows, words, bucket, 2)
+    left = np.zeros(int(words.sizes[bucket]), np.int64)
     own = rows[rows["kind"] == "left"]
     if len(own):
         keys, n = merged_rows(own)
-        left[keys.astype(np.int64) - start] = n
-    own = rows[rows["kind"] == "context"]
-    if len(own):
-        keys, *columns = merged_rows(own)
-        context[keys.astype(np.int64) - start] = np.stack(columns, axis=1)
+        left[keys.astype(np.int64) - int(words.starts[bucket])] = n
     save_array(f"{words.folder}/left-{bucket}", left)
-    save_array(f"{words.folder}/context-{bucket}", context)
     counts = np.bincount(np.minimum(left, 5), minlength=6)
     return pd.DataFrame(
         {"total": [left.sum()], "data": [np.concatenate([counts[1:5], [(left >= 3).sum()]]).astype(np.int64).tobytes()]}
@@ -225,21 +291,26 @@ def _word_part(rows: pd.DataFrame, words: Words) -> pd.DataFrame:
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more, from counts of counts."""
+    """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more, from counts of counts.
+
+    An estimate that is not above 0, as of a few texts, gives way to half the count, so
+    that every context leaves something to words not seen after it.
+    """
     n1, n2, n3, n4 = (float(x) for x in n[:4])
     y = n1 / (n1 + 2 * n2) if n1 else 0.0
     d = [0.0]
     for k, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), start=1):
-        d.append(min(max(k - (k + 1) * y * b / a, 0.0), k) if a else float(k) * y)
+        own = k - (k + 1) * y * b / a if a else k * y
+        d.append(own if own > 0 else k / 2)
     return np.array(d)
 
 
 @dataclass
 class KneserNey:
-    """A stored model: its words, the discounts of both orders, and the continuation sums."""
+    """A stored model: its words, the discounts of each order from 2, and the continuation sums."""
 
     words: Words
-    pair_discounts: np.ndarray
+    gram_discounts: dict[int, np.ndarray]
     word_discounts: np.ndarray
     left_total: int
     left_kinds: np.ndarray
@@ -249,55 +320,59 @@ class KneserNey:
         uniform = 1.0 / (self.words.distinct + 1)
         if not self.left_total:
             return np.full(len(v), uniform)
-        left = self._by_word(v, "left")[:, 0]
+        left = self._left(v)
         d = self.word_discounts
         spare = (d[1:] * self.left_kinds).sum() / self.left_total
         return np.maximum(left - d[np.minimum(left, 3)], 0) / self.left_total + spare * uniform
 
-    def _by_word(self, numbers: np.ndarray, what: str) -> np.ndarray:
-        width = 4 if what == "context" else 1
-        out = np.zeros((len(numbers), width), np.int64)
+    def _left(self, numbers: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(numbers), np.int64)
         known = np.flatnonzero(numbers >= 0)
         bucket = _place_bucket(self.words)(numbers[known], self.words.buckets)
         for b in np.unique(bucket):
             own = known[bucket == b]
-            part = self.words.part(what, int(b), "i8").reshape(-1, width)
-            out[own] = part[numbers[own] - self.words.starts[b]]
+            out[own] = self.words.part("left", int(b), "i8")[numbers[own] - self.words.starts[b]]
         return out
 
-    def _pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.int64)
-        bucket = _pair_bucket(keys, self.words.buckets)
+    def _stored(self, what: str, sums: str, keys: np.ndarray, width: int = 1) -> np.ndarray:
+        """Rows of counts of distinct, sorted hashes; zeros for unknown ones."""
+        out = np.zeros((len(keys), width), np.int64)
+        bucket = range_bucket(keys, self.words.buckets)
         for b in np.unique(bucket):
-            own = np.flatnonzero(bucket == b)
-            known = self.words.part("pairs", int(b), "u8")
-            at = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
-            hit = known[at] == keys[own]
-            counts = self.words.part("pair_counts", int(b), "u4")
-            counts = counts if len(counts) == len(known) else counts.view("u8")
-            out[own[hit]] = counts[at[hit]]
+            begin, end = np.searchsorted(bucket, [b, b + 1])
+            known = self.words.part(what, int(b), "u8")
+            if not len(known):
+                continue
+            at = np.minimum(np.searchsorted(known, keys[begin:end]), len(known) - 1)
+            hit = np.flatnonzero(known[at] == keys[begin:end])
+            counts = self.words.part(sums, int(b), "u4")
+            counts = (counts if len(counts) == width * len(known) else counts.view("u8")).reshape(-1, width)
+            out[begin + hit] = counts[at[hit]]
         return out
 
+    def _of_grams(self, numbers: list[np.ndarray], shorter: np.ndarray) -> np.ndarray:
+        """Probability of the last words after those before, mixed with that of one word less."""
+        level = len(numbers)
+        d = self.gram_discounts[level]
+        contexts, at = np.unique(_hashed(numbers[:-1]), return_inverse=True)
+        sums = self._stored(f"contexts{level}", f"context_sums{level}", contexts, 4)
+        total = sums[:, 0].astype(float)
+        safe = np.maximum(total, 1)
+        spare = np.where(total > 0, (sums[:, 1:] * d[1:]).sum(axis=1) / safe, 1.0)
+        keys, back = np.unique(_hashed(numbers), return_inverse=True)
+        counts = self._stored(f"grams{level}", f"gram_counts{level}", keys)[back, 0]
+        return np.maximum(counts - d[np.minimum(counts, 3)], 0) / safe[at] + spare[at] * shorter
+
     def score(self, texts: list[bytes]) -> pd.DataFrame:
         """Tokens, known tokens, add-one and Kneser-Ney log10 probability of each text."""
-        words = self.words
-        u, v, count, sizes = _pairs(texts, words)
+        words, order = self.words, max(self.gram_discounts)
+        numbers, count, sizes = _grams(texts, words, order)
         begin = np.cumsum(sizes) - sizes
         base = np.log10((count + 1) / (words.total + words.distinct + 1))
-        numbers, where = np.unique(v, return_inverse=True)
-        p = self.of_words(numbers)[where]
-        contexts, at = np.unique(u, return_inverse=True)
-        sums = self._by_word(contexts, "context")
-        d = self.pair_discounts
-        total = sums[:, 0].astype(float)
-        safe = np.maximum(total, 1)
-        spare = np.where(total > 0, (sums[:, 1:] * d[1:]).sum(axis=1) / safe, 1.0)
-        pairs = np.zeros(len(v), np.int64)
-        known = np.flatnonzero((v >= 0) & (u >= 0))
-        if words.distinct:
-            keys, back = np.unique(_joined(u[known], v[known]), return_inverse=True)
-            pairs[known] = self._pair_counts(keys)[back]
-        p = np.maximum(pairs - d[np.minimum(pairs, 3)], 0) / safe[at] + spare[at] * p
+        distinct, where = np.unique(numbers[-1], return_inverse=True)
+        p = self.of_words(distinct)[where]
+        for level in range(2, order + 1):
+            p = self._of_grams(numbers[-level:], p)
         return pd.DataFrame(
             {
                 "n_tokens": sizes,
@@ -308,33 +383,41 @@ class KneserNey:
         )
 
 
-def train(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> KneserNey:
+def train(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES, order: int = ORDER) -> KneserNey:
     """A model of a table with one binary column of texts, in a new shared folder.
 
     Every token of every text is counted. The number of buckets follows the bytes of
-    text, so a bucket's arrays stay of one size however large the corpus. Files are
-    whole when they appear, and a task that runs again writes the same.
+    text and the order, so a bucket's arrays stay of one size however large the corpus;
+    repeated rows count each time, and an empty table gives a model that knows nothing.
+    Files are whole when they appear, and a task that runs again writes the same.
     """
+    if order < 2:
+        raise ValueError("the order is 2 or more")
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
-    words = count_words(texts, new_folder(spark, "kneser-ney"), max(1, -(-size // bucket_bytes)))
-    if words.distinct >= 1 << 32:
-        raise ValueError("word numbers have 32 bits; the corpus has more distinct words")
-
-    def pair_parts(rows: pd.DataFrame) -> pd.DataFrame:
-        return pa.Table.from_batches(list(_pair_part(rows, words))).to_pandas()
-
-    rows = texts.mapInArrow(lambda b: _pair_rows(b, words), BUCKET_ROWS)
-    sent = cut(rows.groupBy("bucket").applyInPandas(pair_parts, BUCKET_ROWS), "kneser-ney-sums")
-    seen = np.zeros(4, np.int64)
-    for r in sent.filter("kind = 'seen'").select("data").toLocalIterator():
-        seen += np.frombuffer(bytes(r["data"]), np.int64)
-    places = spark.range(words.buckets).selectExpr(
+    buckets = max(1, -(-size * order // (2 * bucket_bytes)))
+    words = count_words(texts, new_folder(spark, "kneser-ney"), buckets)
+    places = spark.range(buckets).selectExpr(
         "'none' AS kind", "CAST(id AS int) AS bucket", "CAST(NULL AS binary) AS data"
     )
+
+    def part_of(level: int):
+        def part(rows: pd.DataFrame) -> pd.DataFrame:
+            return pa.Table.from_batches(list(_gram_part(rows, words, order, level))).to_pandas()
+
+        return part
+
+    sent, of_grams = texts.mapInArrow(lambda b: _gram_rows(b, words, order), BUCKET_ROWS), {}
+    for level in range(order, 1, -1):
+        whole = sent.unionByName(places).groupBy("bucket").applyInPandas(part_of(level), BUCKET_ROWS)
+        written = cut(whole, "kneser-ney-sums")
+        seen = np.zeros(4, np.int64)
+        for r in written.filter("kind = 'seen'").select("data").toLocalIterator():
+            seen += np.frombuffer(bytes(r["data"]), np.int64)
+        of_grams[level] = discounts(seen)
+        sent = written.filter("kind != 'seen'")
     parts = (
-        sent.filter("kind != 'seen'")
-        .unionByName(places)
+        sent.unionByName(places)
         .groupBy("bucket")
         .applyInPandas(lambda rows: _word_part(rows, words), "total bigint, data binary")
         .collect()
@@ -342,7 +425,7 @@ def train(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> KneserNey:
     left = sum((np.frombuffer(bytes(r["data"]), np.int64) for r in parts), np.zeros(5, np.int64))
     total = sum(r["total"] for r in parts)
     kinds = np.array([left[0], left[1], left[4]], float)
-    return KneserNey(words, discounts(seen), discounts(left), total, kinds)
+    return KneserNey(words, of_grams, discounts(left), total, kinds)
 
 
 def score_texts(docs: DataFrame, model: KneserNey) -> DataFrame:
@@ -366,9 +449,9 @@ def score_texts(docs: DataFrame, model: KneserNey) -> DataFrame:
     )
 
 
-def language_model_digest(docs: DataFrame) -> DataFrame:
+def language_model_digest(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Per document: counts and scores under the model of the rows that are not held out."""
-    model = train(docs.filter(~held_out()).select(text_bytes("text").alias("text")))
+    model = train(docs.filter(~held_out()).select(text_bytes("text").alias("text")), order=order)
     return score_texts(docs.select("doc_id", "text"), model).select(
         "doc_id",
         held_out().alias("held_out"),

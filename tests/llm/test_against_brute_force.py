@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import struct
@@ -12,6 +13,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import Window
@@ -32,6 +34,7 @@ from cohortlens.llm import (
     suffix_dedup,
     toxicity,
 )
+from cohortlens.llm.common import cut
 from cohortlens.llm.components import components
 from cohortlens.llm.shared_arrays import pack
 from tests.oracle import compare, connect
@@ -217,9 +220,24 @@ def test_every_link_within_three_bits_is_found(spark):
 
 
 def test_segments_one_bit_apart_share_a_codeword():
-    starts, numbers = simhash.near_codewords()
-    keys = [set(numbers[starts[v] : starts[v + 1]]) for v in range(1 << 16)]
-    assert all(keys[v] & keys[v ^ (1 << b)] for v in range(0, 1 << 16, 7) for b in range(16))
+    width = max(simhash.WIDTHS)
+    starts, numbers = simhash.near_codewords(width)
+    keys = [set(numbers[starts[v] : starts[v + 1]]) for v in range(1 << width)]
+    assert all(keys[v] & keys[v ^ (1 << b)] for v in range(1 << width) for b in range(width))
+
+
+def test_three_errors_leave_a_key_by_any_segments():
+    assert sum(simhash.WIDTHS) == 64
+    for errors in itertools.product(range(4), repeat=len(simhash.WIDTHS)):
+        if sum(errors) <= 3:
+            assert any(errors[i] == errors[j] == 0 and errors[k] <= 1 for i, j, k in simhash.CHOICES), errors
+
+
+def test_rows_of_a_hot_key_are_joined_apart(spark):
+    rows = cut(spark.range(6000).selectExpr("id", "IF(id < 2000, 7L, id % 3500) AS root"))
+    values = cut(rows.select("root").distinct().selectExpr("root", "-root AS value"))
+    got = simhash._joined_by(rows, values, "root")
+    assert sorted(r["id"] for r in got.filter("value = -root").collect()) == list(range(6000))
 
 
 def test_license_places_and_errors():
@@ -326,61 +344,82 @@ def test_sample_passes_over_long_texts(spark):
     assert toxicity.labelled_sample(docs, labels, size=100, longest=100).count() == 5
 
 
-def plain_kneser_ney(texts):
+def plain_kneser_ney(texts, order):
     """Probabilities by dictionaries, straight from the definition."""
-    pairs, vocabulary = Counter(), {None}
+    grams, vocabulary = Counter(), {None}
     for t in texts:
         tokens = [*t.lower().split(), None]
         vocabulary |= set(tokens)
-        pairs.update(zip(["<s>", *tokens], tokens, strict=False))
-    left, context = Counter(v for _, v in pairs), defaultdict(list)
-    for (u, _), c in pairs.items():
-        context[u].append(c)
-
-    def cut(counts):
-        return language_model.discounts([sum(c == k for c in counts) for k in (1, 2, 3, 4)])
-
-    d2, d1 = cut(pairs.values()), cut(left.values())
-    total = len(pairs)
-
-    def word(v):
-        spare = sum(d1[min(c, 3)] for c in left.values()) / total
-        return max(left[v] - d1[min(left[v], 3)], 0) / total + spare / (len(vocabulary) + 1)
-
-    def pair(u, v):
-        if u not in context:
-            return word(v)
-        n, c = sum(context[u]), pairs[u, v]
-        return max(c - d2[min(c, 3)], 0) / n + sum(d2[min(x, 3)] for x in context[u]) / n * word(v)
-
-    return pair, vocabulary
-
-
-def test_pair_counts_of_any_size(tmp_path):
-    """A count beyond 32 bits is stored and read whole, next to small ones."""
-    keys = np.array([3, 5, 9], np.uint64)
+        padded = ["<s>"] * (order - 1) + tokens
+        grams.update(tuple(padded[i : i + order]) for i in range(len(tokens)))
+    counts = {order: grams}
+    for level in range(order - 1, 0, -1):
+        counts[level] = Counter(g[1:] for g in counts[level + 1])
+    d = {
+        level: language_model.discounts([sum(c == k for c in own.values()) for k in (1, 2, 3, 4)])
+        for level, own in counts.items()
+    }
+    after = {level: defaultdict(list) for level in counts}
+    for level, own in counts.items():
+        for g, c in own.items():
+            after[level][g[:-1]].append(c)
+
+    def probability(gram):
+        level = len(gram)
+        if not level:
+            return 1 / (len(vocabulary) + 1)
+        own = after[level].get(gram[:-1])
+        if own is None:
+            return probability(gram[1:])
+        c = counts[level][gram]
+        spare = sum(d[level][min(o, 3)] for o in own)
+        return (max(c - d[level][min(c, 3)], 0) + spare * probability(gram[1:])) / sum(own)
+
+    return probability, vocabulary
+
+
+def test_gram_counts_of_any_size(tmp_path):
+    """A count beyond 32 bits is stored and read whole, next to small ones, and so are its contexts."""
+    numbers = [np.array([0, 0, 1 << 40], np.int64), np.array([3, 5, 9], np.int64)]
     for counts in ([1, 7, 2], [1, 5_000_000_000, 2]):
-        words = language_model.Words(str(tmp_path), 1, np.array([20]), 20)
-        rows = pd.DataFrame({"kind": ["pair"], "bucket": [0], "data": [pack(keys, np.array(counts, np.int64))]})
-        list(language_model._pair_part(rows, words))
-        model = language_model.KneserNey(words, np.zeros(4), np.zeros(4), 0, np.zeros(3))
-        assert model._pair_counts(np.array([5, 3, 4, 9], np.uint64)).tolist() == [counts[1], counts[0], 0, counts[2]]
-
-
-def test_language_model(spark):
+        words = language_model.Words(str(tmp_path), 1, np.array([1 << 41]), 20)
+        data = pack(numbers[0], np.array(counts, np.int64), numbers[1])
+        rows = pd.DataFrame({"kind": ["gram"], "bucket": [0], "data": [data]})
+        sent = pa.Table.from_batches(list(language_model._gram_part(rows, words, 2, 2))).to_pandas()
+        language_model._write_contexts(sent, words, 0, 2)
+        model = language_model.KneserNey(words, {2: np.zeros(4)}, np.zeros(4), 0, np.zeros(3))
+        asked = language_model._hashed([np.array([0, 0, 0, 1 << 40]), np.array([5, 3, 4, 9])])
+        order = np.argsort(asked)
+        got = np.empty(4, np.int64)
+        got[order] = model._stored("grams2", "gram_counts2", asked[order])[:, 0]
+        assert got.tolist() == [counts[1], counts[0], 0, counts[2]]
+        context = language_model._hashed([np.array([0])])
+        assert model._stored("contexts2", "context_sums2", context, 4)[0, 0] == counts[0] + counts[1]
+
+
+def test_discounts_leave_something_to_unseen_words():
+    for n in itertools.product([0, 1, 3, 20], repeat=4):
+        d = language_model.discounts(n)
+        assert d[0] == 0 and all(0 < d[k] <= k for k in (1, 2, 3))
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model(spark, order):
     docs = texts_of(spark, SMALL, 60) + [(900, b""), (901, b"never seen words")]
     train = [t for _, t in docs[:40]]
     df = spark.createDataFrame([(t,) for t in train], "text binary")
-    model = language_model.train(df, bucket_bytes=20_000)
+    model = language_model.train(df, bucket_bytes=10_000 * order, order=order)
     assert model.words.buckets > 3
-    pair, vocabulary = plain_kneser_ney(train)
-    assert sum(pair(b"the", v) for v in [*vocabulary, b"unseen"]) == pytest.approx(1)
+    probability, vocabulary = plain_kneser_ney(train, order)
+    context = tuple(train[0].lower().split()[: order - 1])
+    assert sum(probability((*context, v)) for v in [*vocabulary, b"unseen"]) == pytest.approx(1)
     counts = Counter(w for t in train for w in [*t.lower().split(), None])
     got = model.score([t for _, t in docs])
     for i, (_, t) in enumerate(docs):
         tokens = [*t.lower().split(), None]
         base = sum(math.log10((counts[w] + 1) / (sum(counts.values()) + len(counts) + 1)) for w in tokens)
-        score = sum(math.log10(pair(u, v)) for u, v in zip(["<s>", *tokens], tokens, strict=False))
+        padded = ["<s>"] * (order - 1) + tokens
+        score = sum(math.log10(probability(tuple(padded[i : i + order]))) for i in range(len(tokens)))
         row = got.iloc[i]
         assert (row["n_tokens"], row["n_known"]) == (len(tokens), sum(counts[w] > 0 for w in tokens))
         assert (row["base_score"], row["score"]) == pytest.approx((base, score))
