@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import cut, id_text, new_folder, packed, text_bytes
+from cohortlens.llm.common import id_text, new_folder, packed, text_bytes
 from cohortlens.llm.shared_arrays import (
     BUCKET_ROWS,
     BucketCounter,
@@ -86,16 +86,17 @@ class Words:
 
     def __post_init__(self) -> None:
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.parts: dict[tuple[str, int], np.ndarray] = {}
+        self.parts: dict[str, np.ndarray] = {}
 
     @property
     def distinct(self) -> int:
         return int(self.starts[-1])
 
-    def part(self, what: str, bucket: int, dtype: str) -> np.ndarray:
-        if (what, bucket) not in self.parts:
-            self.parts[what, bucket] = map_array(f"{self.folder}/{what}-{bucket}", dtype)
-        return self.parts[what, bucket]
+    def part(self, what: str, bucket: int, dtype: str, suffix: str = "") -> np.ndarray:
+        name = f"{what}-{bucket}{suffix}"
+        if name not in self.parts:
+            self.parts[name] = map_array(f"{self.folder}/{name}", dtype)
+        return self.parts[name]
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number, count) of each hash; -1 and 0 for unknown ones. ``hashes`` is sorted."""
@@ -218,10 +219,16 @@ def _place_bucket(words: Words):
     )
 
 
+#: Counts from this one on are kept apart.
+LARGE = 255
+
+
 def _save_counts(uri: str, counts: np.ndarray) -> None:
-    """Four bytes a count, or eight throughout an array where one needs them."""
-    wide = counts.size and counts.max() > np.iinfo(np.uint32).max
-    save_array(uri, counts.astype(np.uint64 if wide else np.uint32))
+    """A byte for each count, and the places and values of large ones in an array of their own."""
+    counts = counts.reshape(-1)
+    large = np.flatnonzero(counts >= LARGE)
+    save_array(uri, np.minimum(counts, LARGE).astype(np.uint8))
+    save_array(f"{uri}-large", np.concatenate([large, counts[large]]).astype(np.int64))
 
 
 def _gram_part(rows: pd.DataFrame, words: Words, order: int, level: int) -> Iterator[pa.RecordBatch]:
@@ -245,7 +252,9 @@ def _gram_part(rows: pd.DataFrame, words: Words, order: int, level: int) -> Iter
         keys, counts, *numbers = _counted(keys, counts, numbers)
     save_array(f"{words.folder}/grams{level}-{bucket}", keys)
     _save_counts(f"{words.folder}/gram_counts{level}-{bucket}", counts)
-    yield bucket_row("seen", bucket, _count_of_counts(counts).astype(np.int64).tobytes())
+    for kind, data in rows.loc[rows["kind"].str.startswith("seen"), ["kind", "data"]].itertuples(index=False):
+        yield bucket_row(kind, bucket, data)
+    yield bucket_row(f"seen{level}", bucket, _count_of_counts(counts).astype(np.int64).tobytes())
     if not len(keys):
         return
     kinds = [(counts == 1), (counts == 2), (counts >= 3)]
@@ -267,15 +276,26 @@ def _sent(counter: BucketCounter, keys: np.ndarray, *columns: np.ndarray) -> Ite
 
 
 def _write_contexts(rows: pd.DataFrame, words: Words, bucket: int, level: int) -> None:
-    """Hashes of the contexts of ``level``; of each the sum of counts, and how many are 1, 2 and more."""
+    """Hashes of the contexts of ``level``; of each the sum of counts, and how many are 1, 2 and more.
+
+    A context of two or more words that was met once is left out: as every gram but
+    the last of a text is a context, it is one of the stored grams of its length. Only
+    the context in front of a text is no gram.
+    """
     own = rows[rows["kind"] == "context"]
     keys, *sums = merged_rows(own) if len(own) else [np.zeros(0, t) for t in "Qqqqq"]
+    if level > 2:
+        kept = (sums[0] != 1) | (keys == _hashed([np.array([words.distinct])] * (level - 1)))
+        keys, sums = keys[kept], [c[kept] for c in sums]
     save_array(f"{words.folder}/contexts{level}-{bucket}", keys)
     _save_counts(f"{words.folder}/context_sums{level}-{bucket}", np.stack(sums, axis=1))
 
 
 def _word_part(rows: pd.DataFrame, words: Words) -> pd.DataFrame:
-    """Write the continuation counts of a range of words, and the contexts of one word."""
+    """Write the continuation counts of a range of words, and the contexts of one word.
+
+    Returned are sums for the whole model: counts of counts, and of words.
+    """
     bucket = int(rows["bucket"].iloc[0])
     _write_contexts(rows, words, bucket, 2)
     left = np.zeros(int(words.sizes[bucket]), np.int64)
@@ -285,9 +305,10 @@ def _word_part(rows: pd.DataFrame, words: Words) -> pd.DataFrame:
         left[keys.astype(np.int64) - int(words.starts[bucket])] = n
     save_array(f"{words.folder}/left-{bucket}", left)
     counts = np.bincount(np.minimum(left, 5), minlength=6)
-    return pd.DataFrame(
-        {"total": [left.sum()], "data": [np.concatenate([counts[1:5], [(left >= 3).sum()]]).astype(np.int64).tobytes()]}
-    )
+    found = [("left", np.concatenate([counts[1:5], [(left >= 3).sum(), left.sum()]]))]
+    for kind in sorted(k for k in set(rows["kind"]) if k.startswith("seen")):
+        found.append((kind, sum(np.frombuffer(d, np.int64) for d in rows.loc[rows["kind"] == kind, "data"])))
+    return pd.DataFrame({"kind": [k for k, _ in found], "sums": [list(map(int, v)) for _, v in found]})
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -345,9 +366,12 @@ class KneserNey:
                 continue
             at = np.minimum(np.searchsorted(known, keys[begin:end]), len(known) - 1)
             hit = np.flatnonzero(known[at] == keys[begin:end])
-            counts = self.words.part(sums, int(b), "u4")
-            counts = (counts if len(counts) == width * len(known) else counts.view("u8")).reshape(-1, width)
-            out[begin + hit] = counts[at[hit]]
+            counts = self.words.part(sums, int(b), "u1").reshape(-1, width)[at[hit]].astype(np.int64)
+            row, column = np.nonzero(counts == LARGE)
+            if len(row):
+                places, values = self.words.part(sums, int(b), "i8", "-large").reshape(2, -1)
+                counts[row, column] = values[np.searchsorted(places, at[hit][row] * width + column)]
+            out[begin + hit] = counts
         return out
 
     def _of_grams(self, numbers: list[np.ndarray], shorter: np.ndarray) -> np.ndarray:
@@ -356,6 +380,10 @@ class KneserNey:
         d = self.gram_discounts[level]
         contexts, at = np.unique(_hashed(numbers[:-1]), return_inverse=True)
         sums = self._stored(f"contexts{level}", f"context_sums{level}", contexts, 4)
+        if level > 2:
+            fresh = np.flatnonzero(sums[:, 0] == 0)
+            once = self._stored(f"grams{level - 1}", f"gram_counts{level - 1}", contexts[fresh])[:, 0] > 0
+            sums[fresh[once], :2] = 1
         total = sums[:, 0].astype(float)
         safe = np.maximum(total, 1)
         spare = np.where(total > 0, (sums[:, 1:] * d[1:]).sum(axis=1) / safe, 1.0)
@@ -407,25 +435,26 @@ def train(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES, order: int = ORDER
 
         return part
 
-    sent, of_grams = texts.mapInArrow(lambda b: _gram_rows(b, words, order), BUCKET_ROWS), {}
+    sent = texts.mapInArrow(lambda b: _gram_rows(b, words, order), BUCKET_ROWS)
     for level in range(order, 1, -1):
-        whole = sent.unionByName(places).groupBy("bucket").applyInPandas(part_of(level), BUCKET_ROWS)
-        written = cut(whole, "kneser-ney-sums")
-        seen = np.zeros(4, np.int64)
-        for r in written.filter("kind = 'seen'").select("data").toLocalIterator():
-            seen += np.frombuffer(bytes(r["data"]), np.int64)
-        of_grams[level] = discounts(seen)
-        sent = written.filter("kind != 'seen'")
+        sent = sent.unionByName(places).groupBy("bucket").applyInPandas(part_of(level), BUCKET_ROWS)
     parts = (
         sent.unionByName(places)
         .groupBy("bucket")
-        .applyInPandas(lambda rows: _word_part(rows, words), "total bigint, data binary")
+        .applyInPandas(lambda rows: _word_part(rows, words), "kind string, sums array<bigint>")
+        .groupBy("kind")
+        .agg(*[F.sum(F.get("sums", F.lit(k))).alias(f"n{k}") for k in range(6)])
         .collect()
     )
-    left = sum((np.frombuffer(bytes(r["data"]), np.int64) for r in parts), np.zeros(5, np.int64))
-    total = sum(r["total"] for r in parts)
-    kinds = np.array([left[0], left[1], left[4]], float)
-    return KneserNey(words, of_grams, discounts(left), total, kinds)
+    sums = {r["kind"]: np.array([r[f"n{k}"] or 0 for k in range(6)], float) for r in parts}
+    left = sums["left"]
+    return KneserNey(
+        words,
+        {level: discounts(sums[f"seen{level}"]) for level in range(2, order + 1)},
+        discounts(left),
+        int(left[5]),
+        np.array([left[0], left[1], left[4]], float),
+    )
 
 
 def score_texts(docs: DataFrame, model: KneserNey) -> DataFrame:

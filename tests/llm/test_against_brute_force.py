@@ -379,9 +379,9 @@ def plain_kneser_ney(texts, order):
 
 
 def test_gram_counts_of_any_size(tmp_path):
-    """A count beyond 32 bits is stored and read whole, next to small ones, and so are its contexts."""
+    """A count beyond a byte or 32 bits is stored and read whole, next to small ones, and so are its contexts."""
     numbers = [np.array([0, 0, 1 << 40], np.int64), np.array([3, 5, 9], np.int64)]
-    for counts in ([1, 7, 2], [1, 5_000_000_000, 2]):
+    for counts in ([1, 7, 2], [1, 255, 254], [1, 5_000_000_000, 2]):
         words = language_model.Words(str(tmp_path), 1, np.array([1 << 41]), 20)
         data = pack(numbers[0], np.array(counts, np.int64), numbers[1])
         rows = pd.DataFrame({"kind": ["gram"], "bucket": [0], "data": [data]})
