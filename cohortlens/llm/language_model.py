@@ -34,7 +34,6 @@ from cohortlens.llm.shared_arrays import (
     pack,
     range_bucket,
     save_array,
-    summed,
     unpack,
 )
 
@@ -177,24 +176,41 @@ class GramCounter(BucketCounter):
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        self._merge()
+        if len(self.held) > 1:
+            self._merge()
         keys, counts, *numbers = self.held[0]
         self.held, self.size = [], 0
         bucket = self.bucket_of(keys, self.buckets)
-        order = np.lexsort((numbers[0], bucket))
+        order = np.argsort(bucket * (int(numbers[0].max()) + 1) + numbers[0])
         ends = np.cumsum(np.bincount(bucket, minlength=self.buckets))
         for b, (begin, end) in enumerate(zip([0, *ends], ends, strict=False)):
             if end > begin:
                 own = order[begin:end]
-                yield bucket_row(self.kind, b, pack(numbers[0][own], counts[own], *[c[own] for c in numbers[1:]]))
+                columns = [_narrow(c[own]) for c in (numbers[0], counts, *numbers[1:])]
+                yield bucket_row(self.kind, b, pack(*columns))
 
 
-def _counted(keys: np.ndarray, counts: np.ndarray, numbers: list[np.ndarray]) -> list[np.ndarray]:
-    """Distinct keys in order, the sum of counts of each, and its numbers."""
-    order = np.argsort(keys, kind="stable")
+def _narrow(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.uint32) if values.max() <= np.iinfo(np.uint32).max else values
+
+
+def _counted(keys: np.ndarray, counts: np.ndarray | None, numbers: list[np.ndarray]) -> list[np.ndarray]:
+    """Distinct keys in order, the sum of counts (one each without any), and the numbers of each."""
+    order = np.argsort(keys)
     keys = keys[order]
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return [keys[begin], np.add.reduceat(counts[order], begin), *[c[order[begin]] for c in numbers]]
+    sums = np.diff(np.append(begin, len(keys))) if counts is None else np.add.reduceat(counts[order], begin)
+    return [keys[begin], sums, *[c[order[begin]] for c in numbers]]
+
+
+def _context_sums(keys: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Distinct contexts in order; of each the sum of counts, and how many are 1, 2 and more."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    ones, twos = (np.add.reduceat((counts == k).astype(np.int64), begin) for k in (1, 2))
+    size = np.diff(np.append(begin, len(keys)))
+    return [keys[begin], np.add.reduceat(counts, begin), ones, twos, size - ones - twos]
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch], words: Words, order: int) -> Iterator[pa.RecordBatch]:
@@ -202,8 +218,7 @@ def _gram_rows(batches: Iterator[pa.RecordBatch], words: Words, order: int) -> I
     for batch in batches:
         for texts in _chunks(batch.column(0).to_pylist()):
             numbers, _, _ = _grams(texts, words, order)
-            keys, first, counts = np.unique(_hashed(numbers), return_index=True, return_counts=True)
-            yield from counter.add(keys, counts.astype(np.int64), *[c[first] for c in numbers])
+            yield from counter.add(*_counted(_hashed(numbers), None, numbers))
     yield from counter.flush()
 
 
@@ -246,8 +261,8 @@ def _gram_part(rows: pd.DataFrame, words: Words, order: int, level: int) -> Iter
         parts = [[np.zeros(0, np.int64)] * (level + 1)]
     first, counts, *others = [np.concatenate(c) for c in zip(*parts, strict=True)]
     del parts
-    numbers = [first, *others]
-    keys = _hashed(numbers)
+    numbers = [c.astype(np.int64) for c in (first, *others)]
+    keys, counts = _hashed(numbers), counts.astype(np.int64)
     if len(keys):
         keys, counts, *numbers = _counted(keys, counts, numbers)
     save_array(f"{words.folder}/grams{level}-{bucket}", keys)
@@ -257,16 +272,14 @@ def _gram_part(rows: pd.DataFrame, words: Words, order: int, level: int) -> Iter
     yield bucket_row(f"seen{level}", bucket, _count_of_counts(counts).astype(np.int64).tobytes())
     if not len(keys):
         return
-    kinds = [(counts == 1), (counts == 2), (counts >= 3)]
-    contexts = summed(_hashed(numbers[:-1]), counts, *[k.astype(np.int64) for k in kinds])
+    contexts = _context_sums(_hashed(numbers[:-1]), counts)
     yield from _sent(BucketCounter("context", range_bucket, words.buckets), *contexts)
     del contexts
-    once = np.ones(len(keys), np.int64)
     if level > 2:
-        shorter = _counted(_hashed(numbers[1:]), once, numbers[1:])
+        shorter = _counted(_hashed(numbers[1:]), None, numbers[1:])
         yield from _sent(GramCounter("gram", range_bucket, words.buckets), *shorter)
     else:
-        left = summed(numbers[1].astype(np.uint64), once)
+        left = _counted(numbers[1].astype(np.uint64), None, [])
         yield from _sent(BucketCounter("left", _place_bucket(words), words.buckets), *left)
 
 
@@ -356,7 +369,7 @@ class KneserNey:
         return out
 
     def _stored(self, what: str, sums: str, keys: np.ndarray, width: int = 1) -> np.ndarray:
-        """Rows of counts of distinct, sorted hashes; zeros for unknown ones."""
+        """Rows of counts of sorted hashes; zeros for unknown ones."""
         out = np.zeros((len(keys), width), np.int64)
         bucket = range_bucket(keys, self.words.buckets)
         for b in np.unique(bucket):
@@ -378,18 +391,25 @@ class KneserNey:
         """Probability of the last words after those before, mixed with that of one word less."""
         level = len(numbers)
         d = self.gram_discounts[level]
-        contexts, at = np.unique(_hashed(numbers[:-1]), return_inverse=True)
+        contexts = _hashed(numbers[:-1])
+        order = np.argsort(contexts)
+        contexts = contexts[order]
+        begin = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))
+        size, contexts = np.diff(np.append(begin, len(contexts))), contexts[begin]
         sums = self._stored(f"contexts{level}", f"context_sums{level}", contexts, 4)
         if level > 2:
             fresh = np.flatnonzero(sums[:, 0] == 0)
             once = self._stored(f"grams{level - 1}", f"gram_counts{level - 1}", contexts[fresh])[:, 0] > 0
             sums[fresh[once], :2] = 1
-        total = sums[:, 0].astype(float)
-        safe = np.maximum(total, 1)
-        spare = np.where(total > 0, (sums[:, 1:] * d[1:]).sum(axis=1) / safe, 1.0)
-        keys, back = np.unique(_hashed(numbers), return_inverse=True)
-        counts = self._stored(f"grams{level}", f"gram_counts{level}", keys)[back, 0]
-        return np.maximum(counts - d[np.minimum(counts, 3)], 0) / safe[at] + spare[at] * shorter
+        safe, spare = np.empty(len(order)), np.empty(len(order))
+        total = np.maximum(sums[:, 0], 1).astype(float)
+        safe[order] = np.repeat(total, size)
+        spare[order] = np.repeat(np.where(sums[:, 0] > 0, sums[:, 1:] @ d[1:] / total, 1.0), size)
+        keys = _hashed(numbers)
+        order = np.argsort(keys)
+        counts = np.empty(len(keys), np.int64)
+        counts[order] = self._stored(f"grams{level}", f"gram_counts{level}", keys[order])[:, 0]
+        return np.maximum(counts - d[np.minimum(counts, 3)], 0) / safe + spare * shorter
 
     def score(self, texts: list[bytes]) -> pd.DataFrame:
         """Tokens, known tokens, add-one and Kneser-Ney log10 probability of each text."""
