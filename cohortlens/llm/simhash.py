@@ -184,15 +184,15 @@ def fingerprint_links(prints: DataFrame, bits: int = BITS, piece: int = PIECE) -
     """
     if bits > 3:
         raise ValueError("the keys hold for at most 3 differing bits")
-    keys = cut(candidate_keys(prints), "simhash-keys")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    keys = candidate_keys(prints)
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > piece)
     # A table of its own, so that the join may split a key with many fingerprints.
     cuts = cut(sizes.select("key", F.ceil(F.col("n") / piece).cast("int").alias("g")), "simhash-sizes")
+    keys = keys.join(cuts, "key", "left").select("key", "print", F.coalesce("g", F.lit(1)).alias("g"))
     own = F.pmod(F.xxhash64("print"), F.col("g")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
     placed = (
-        keys.join(cuts, "key")
-        .select("key", "print", "g", own.alias("s"), other.alias("t"))
+        keys.select("key", "print", "g", own.alias("s"), other.alias("t"))
         .select(
             F.xxhash64("key", F.least("s", "t"), F.greatest("s", "t")).alias("key"), "print"
         )
