@@ -41,7 +41,7 @@ from cohortlens.llm.shared_arrays import (
 BUCKET_BYTES = 32 << 20
 CHUNK_BYTES = 4 << 20
 #: Words of the longest gram.
-ORDER = 3
+ORDER = 2
 #: A line break is in no word, so this hash stands for the end of a text.
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 
