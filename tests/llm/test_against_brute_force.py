@@ -494,6 +494,28 @@ def test_suffix_dedup_of_documents(spark):
         assert r["kept_sha256"] == hashlib.sha256(kept).hexdigest()
 
 
+def test_suffix_dedup_of_passages_of_over_50_words(spark):
+    # What repeats goes from 400 bytes on, however many words that are.
+    rnd = random.Random(9)
+
+    def words(n_bytes):
+        return "".join(rnd.choice("abcdefgh" if k % 7 else " ") for k in range(1, n_bytes + 1))
+
+    texts, held = [words(900) for _ in range(9)], {}
+    for n_bytes in (394, 399, 400, 460):
+        passage = words(n_bytes)
+        assert len(passage.split()) > 50
+        held |= {len(texts) + k: n_bytes for k in range(3)}
+        texts += [f"{words(300)}{k}{passage}{k}{words(300)}" for k in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    got = {r["doc_id"]: r for r in suffix_dedup.suffix_dedup_digest(docs).collect()}
+    for i, (n, gone, spans, kept) in enumerate(cut_plainly([t.encode() for t in texts], 400)):
+        r = got[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == (n, gone, spans)
+        assert r["kept_sha256"] == hashlib.sha256(kept).hexdigest()
+        assert gone == (held[i] if held.get(i, 0) >= 400 else 0)
+
+
 def test_line_dedup_on_few_different_lines(spark):
     rnd = random.Random(8)
     texts = ["\n".join(rnd.choice(["", "a", "b", "c", "d"]) for _ in range(rnd.choice([1, 2, 3, 9, 20]))) for _ in range(60)]
